@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, token_counts, url_filter
+from . import mixing, packing, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -24,6 +24,11 @@ def packed(documents: DataFrame) -> DataFrame:
     return packing.pack(digest, order=("doc_id", "piece", "start", "ids_crc32"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.shuffled(mixing.mix(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "source", "lang", "n_chars", "copy", "copies")
@@ -106,6 +111,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op9_url_filters": op9_url_filters,
     "op10_shards": op10_shards,
