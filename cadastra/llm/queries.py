@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, token_counts, toxicity, url_filter
+from . import licenses, mixing, packing, quality, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -63,6 +63,10 @@ SELECT doc_id, source, lang, n_chars, unnest(range(copies))::INTEGER AS copy, co
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -119,6 +123,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
+    "op7_license_scan": op7_license_scan,
     "op9_url_filters": op9_url_filters,
     "op10_shards": op10_shards,
 }
