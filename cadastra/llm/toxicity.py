@@ -8,6 +8,7 @@ max(0, R-(unlabelled) - p R-(positives)), whose second part can't be driven belo
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,8 @@ POSITIVES = 4_000  # most rows fitted on; the classifier is fitted on samples of
 UNLABELLED = 8_000
 FEATURES = 512
 LEAST_Z = 4.0
-PREFIXES = (3, 4, 5, 6)
+LEAST_PURITY = 0.6  # of a feature's texts, so many must be toxic by the prior
+PREFIXES = (3, 4, 5, 6, 7, 8)
 CACHE_ENTRIES = 200_000
 
 _letters = re.compile(r"[^\W\d_]+")
@@ -133,7 +135,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     odds = F.log(((F.col("a") + 0.5) / (p + 1)) / ((F.col("b") + 0.5) / (u + 1)))
     # what a few positives hold by chance is no evidence: the log odds must be several standard errors
     sure = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)) > LEAST_Z
-    best = counts.where("a >= 2").withColumn("gain", (F.col("a") / max(p, 1)) * odds).where((odds > 1.0) & sure).orderBy(F.desc("gain"), "feature").limit(FEATURES)
+    best = counts.where("a >= 2").withColumn("gain", (F.col("a") / max(p, 1)) * odds).where((odds > math.log(LEAST_PURITY / share)) & sure).orderBy(F.desc("gain"), "feature").limit(FEATURES)
     features = {f: i for i, (f,) in enumerate(best.select("feature").collect())}
     bare = Model(features, np.zeros(len(features)), 0.0, hash(tuple(features)))
 
