@@ -79,12 +79,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     before = None
     for _ in range(limit):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        # durable, so that the join has an exchange of its own on either side and a hub can be dealt anew
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = durable(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        least = durable(down.groupBy("u").agg(F.min("v").alias("m")))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         links = durable(small.select("e.u", "e.v").where("u <> v").distinct())
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, sharding, token_counts, toxicity, url_filter
+from . import licenses, mixing, ngram_join, packing, quality, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -29,6 +29,10 @@ def packed(documents: DataFrame) -> DataFrame:
     return packing.pack(digest, order=("doc_id", "piece", "start", "ids_crc32"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -121,6 +125,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_license_scan": op7_license_scan,
