@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, ngram_join, packing, quality, sharding, token_counts, toxicity, url_filter
+from . import licenses, mixing, ngram_join, packing, quality, sharding, token_counts, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -129,6 +133,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_license_scan": op7_license_scan,
+    "op8_vector_dedup": op8_vector_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_shards": op10_shards,
 }
