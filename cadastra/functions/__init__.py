@@ -1 +1 @@
-
+"""Column functions and numpy geometry."""

@@ -1 +1 @@
-
+"""Table operators: spatial joins, state collapse, windows, graph and statistics."""
