@@ -68,28 +68,37 @@ def ranked(df: DataFrame, key: Sequence[str], order: Sequence[str], name: str, s
     return out.select(*df.columns, name)
 
 
+ROWS_A_TASK = 100_000  # of a few numbers each
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than ``rows`` short rows are worth, without a shuffle."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_TASK)))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """Connected components of undirected ``edges``: (node, component), component the smallest node reached.
 
-    Large-star and small-star steps in turn (Kiveris et al., 2014); each is one group-by on the
-    centre's minimum and one join, every step is durable, and hub nodes are split because the minimum
-    is pre-aggregated and the join back may be dealt anew by AQE. Nodes without an edge don't occur.
+    Large-star and small-star steps in turn (Kiveris et al., 2014) until every node but the roots points
+    at one root; each is one group-by on the centre's minimum and one join. Every step is durable, and hub
+    nodes are split because the minimum is pre-aggregated and both sides of a join have exchanges of
+    their own, which may be dealt anew. Nodes without an edge don't occur.
     """
-    links = durable(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
-    before = None
+    links = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(limit):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # durable, so that the join has an exchange of its own on either side and a hub can be dealt anew
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = durable(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        least = durable(down.groupBy("u").agg(F.min("v").alias("m")))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        links = durable(small.select("e.u", "e.v").where("u <> v").distinct())
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == now:
+        n = links.count()
+        links = compact(links, n)
+        ends = links.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(links.select("v", F.lit(0), F.lit(1)))
+        state = compact(ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root")), 2 * n)
+        if state.where((F.col("child") > 1) | ((F.col("child") == 1) & (F.col("root") == 1))).isEmpty():
             break
-        before = now
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = durable(compact(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        down = durable(compact(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n))
+        least = durable(compact(down.groupBy("u").agg(F.min("v").alias("m")), n))
+        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = durable(compact(small.union(least.select("u", "m")).distinct(), n))
     else:
         raise RuntimeError("components did not settle")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -8,9 +8,9 @@ that follows from their sizes are dropped. What is left is verified on whole set
 
 Columns of more than ``width`` rows aren't multiplied: a row loses at most its number of such columns,
 so the bound is lowered by that. Rows that could link through them alone are joined a second time, on
-whole sets, rarest columns first. There, and in verifying, pairs within a component found so far are
-skipped: a first round links each row to one candidate and to the pivots of its min-hash groups, so a
-large group of near copies is joined by one pair a row.
+whole sets, rarest columns first, against components instead of rows. There, and in verifying, pairs within a component found so far are
+skipped: a first round pairs each row with one candidate and with a few pivots of its min-hash groups,
+so that a large group of near copies is joined by a few pairs a row.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import arrow_rows, components, durable, renamed, shuffle_width
 
 SHINGLE = 5
 WIDTH = 32  # rows of a column up to which all its pairs are counted; others go the second way
-PIVOTS = 4
+KEYS, HASHES, PIVOTS = 4, 3, 4  # keys of a row, min-hashes in a key, pivots of a group of rows with one key
 CACHE_ENTRIES = 400_000
 
 
@@ -181,16 +181,24 @@ def _multiply(incidences: DataFrame, width: int) -> DataFrame:
     return incidences.groupBy("block").applyInPandas(block, "x long, y long, c long")
 
 
+def _keys(s: np.ndarray, salts: np.ndarray) -> list[int]:
+    """Numbers that two sets have in common with a chance of the ``HASHES``-th power of their similarity."""
+    if not len(s):
+        return []
+    least = np.array([mixed(s ^ salt).min() for salt in salts]).reshape(KEYS, HASHES)
+    return mixed((least * np.array([1, 31, 961], np.uint64)[:HASHES]).sum(axis=1, dtype=np.uint64)).astype(np.int64).tolist()
+
+
 def _whole_sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(fp, n, hashes, pivot keys) of the ``wanted`` (key, fp)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        salts = mixed(np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        salts = mixed(np.arange(1, KEYS * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = list(map(shingle_set, part.column(0).to_pylist()))
-                least = [[int(mixed(s ^ salt).min().astype(np.int64)) for salt in salts] if len(s) else [] for s in sets]
+                least = [_keys(s, salts) for s in sets]
                 yield {"fp": list(map(fingerprint, sets)), "n": list(map(len, sets)), "hashes": [s.tobytes() for s in sets], "least": least, "want": part.column(1)}
 
     rows = df.join(wanted, "_key").select(text, F.col("fp").alias("want"))
@@ -224,9 +232,20 @@ def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return joined.where(F.coalesce(F.col("cx"), F.col("x")) != F.coalesce(F.col("cy"), F.col("y"))).select(*pairs.columns)
 
 
+def _between(links: DataFrame, of: DataFrame) -> DataFrame:
+    """Links as pairs of components; a node in none is one of its own."""
+    x = of.select(F.col("node").alias("x"), F.col("component").alias("cx"))
+    y = of.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    joined = links.join(x, "x", "left").join(y, "y", "left")
+    return joined.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).distinct()
+
+
 def _second(sets: DataFrame, comps: DataFrame, width: int) -> DataFrame:
-    """Candidate pairs of different components among ``sets``, by prefixes with the rarest columns first."""
-    spelled = sets.select("fp", "n", "hashes")
+    """(x, c): a set of ``sets`` and another component with which it may link, by prefixes with the rarest columns first.
+
+    A column's rows are first summed up by component, so that a column of one family is one row. A row
+    outside the column's largest component meets the column's components, not their rows.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -234,24 +253,57 @@ def _second(sets: DataFrame, comps: DataFrame, width: int) -> DataFrame:
                 h = np.frombuffer(hashes, np.int64)
                 yield {"fp": np.full(len(h), fp), "n": np.full(len(h), n), "h": h}
 
-    rows = arrow_rows(spelled, explode, "fp long, n long, h long")
+    rows = arrow_rows(sets.select("fp", "n", "hashes"), explode, "fp long, n long, h long")
     common = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1))
     # columns of one row only take a place in its prefix
     order = Window.partitionBy("fp").orderBy(F.when(F.col("df") > width, F.col("df")).otherwise(0), "h")
     placed = rows.join(common, "h", "left").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).where("df is not null")
     of = comps.select(F.col("node").alias("fp"), "component")
-    placed = durable(placed.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp")).select("h", "fp", "n", "pos", "component"))
-    held = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("k"))
-    top = durable(held.groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("h", "top"))
-    here = durable(placed.join(top, "h"))
-    others = here.where(F.col("component") != F.col("top"))
-    a = others.select("h", F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("pos").alias("pu"), F.col("component").alias("cu"))
-    b = here.select("h", F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("pos").alias("pv"), F.col("component").alias("cv"), "top")
-    bound = F.floor((4 * (F.col("nu") + F.col("nv")) + 8) / 9)
-    # two rows that are both outside the largest component would meet twice
-    once = (F.col("cv") == F.col("top")) | (F.col("u") < F.col("v"))
-    near = a.join(b, "h").where((F.col("cu") != F.col("cv")) & once & (F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) + 1 >= bound))
-    return near.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y")).distinct()
+    placed = durable(placed.join(of, "fp", "left").withColumn("c", F.coalesce("component", "fp")).select("h", "fp", "n", (F.col("n") - F.col("pos")).alias("rest"), "c"))
+    held = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
+    held = durable(held)
+    top = durable(held.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("h", "top"))
+    x = placed.join(top, "h").where("c <> top").select("h", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("c").alias("cx"))
+    least_n = F.greatest("least_n", F.floor((4 * F.col("nx") + 4) / 5))
+    fits = (5 * F.col("nx") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("nx"))
+    bound = F.floor((4 * (F.col("nx") + least_n) + 8) / 9)
+    return x.join(held, "h").where((F.col("cx") != F.col("c")) & fits & (F.least("rx", "most_rest") + 1 >= bound)).select("x", "cx", "c").distinct()
+
+
+BLOCK = 512
+
+
+def _with_members(wanted: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(x, y): the component cx of a set that links with a member of the component c, for each ``wanted`` (x, cx, c).
+
+    Products of blocks: members of a component in blocks of about ``BLOCK``, and the sets that ask for it too.
+    """
+    of = comps.select(F.col("node").alias("fp"), F.col("component").alias("c"))
+    asked = durable(wanted.groupBy("c").agg(F.count(F.lit(1)).alias("asking")))
+    member = sets.select("fp", "hashes").join(of, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    sizes = durable(member.groupBy("c").agg(F.count(F.lit(1)).alias("members")).join(asked, "c").select("c", F.ceil(F.col("members") / BLOCK).alias("bs"), F.ceil(F.col("asking") / BLOCK).alias("ls")))
+    right = member.join(sizes, "c").select("c", F.pmod(F.xxhash64("fp"), F.col("bs")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ls") - 1)).alias("l"), F.lit(0).cast("long").alias("cx"), "hashes", F.lit(False).alias("asks"))
+    left = wanted.join(sets.select(F.col("fp").alias("x"), "hashes"), "x").join(sizes, "c").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bs") - 1)).alias("b"), F.pmod(F.xxhash64("x"), F.col("ls")).alias("l"), "cx", "hashes", F.lit(True).alias("asks"))
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy(bool)
+        rows = [np.frombuffer(h, np.uint64) for h in pdf["hashes"][~asks]]
+        found = set()
+        if rows:
+            n = np.array(list(map(len, rows)))
+            column = np.concatenate(rows)
+            row = np.repeat(np.arange(len(rows)), n)
+            order = np.argsort(column, kind="stable")
+            column, row = column[order], row[order]
+            for cx, hashes in zip(pdf["cx"][asks], pdf["hashes"][asks]):
+                h = np.frombuffer(hashes, np.uint64)
+                lo, hi = np.searchsorted(column, h, "left"), np.searchsorted(column, h, "right")
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                if (np.bincount(row[at], minlength=len(rows)) >= least_overlap(len(h), n)).any():
+                    found.add(int(cx))
+        return pd.DataFrame({"x": sorted(found), "y": pdf["c"].iloc[0]}, columns=["x", "y"]).astype("int64")
+
+    return right.union(left).groupBy("c", "b", "l").applyInPandas(product, "x long, y long").distinct()
 
 
 def link(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
@@ -284,18 +336,21 @@ def link(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wi
     sets = durable(_whole_sets(rows, "text", wanted.join(nodes, "fp").select("_key", "fp")))
 
     keyed = sets.select("fp", F.posexplode("least").alias("k", "m"))
-    pivots = keyed.groupBy("k", "m").agg(F.min("fp").alias("y"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    slot = F.pmod(F.xxhash64("fp", "k"), F.lit(PIVOTS))
+    pivots = keyed.groupBy("k", "m", slot.alias("slot")).agg(F.min("fp").alias("y"))
     starred = keyed.join(pivots, ["k", "m"]).select(F.col("fp").alias("x"), "y").where("x <> y")
     one = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     first = durable(starred.union(one).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    links = durable(_verified(first, sets))
-    comps = durable(components(links, "x", "y"))
+    comps = durable(components(_verified(first, sets), "x", "y"))
 
     dense = sets.join(crowded, "fp", "left_semi")
-    rest = _apart(pairs, comps).union(_second(dense, comps, width)).distinct()
-    more = durable(_verified(rest, sets))
+    # what is linked only now joins whole components
+    late = _with_members(durable(_second(dense, comps, width)), sets, comps)
+    more = durable(_between(_verified(_apart(pairs, comps), sets), comps).union(late).distinct())
     if not more.isEmpty():
-        comps = durable(components(links.union(more), "x", "y"))
+        again = components(more, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("c"))
+        alone = more.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("component"))
+        comps = durable(comps.union(alone).join(again, "component", "left").select("node", F.coalesce("c", "component").alias("component")))
 
     named = comps.join(nodes.select(F.col("fp").alias("node"), "least_id"), "node")
     least = named.groupBy("component").agg(F.min("least_id").alias("least"))
