@@ -116,21 +116,26 @@ def pip_join(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id:
     return met.groupBy(point_id, polygon_id).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(point_id, polygon_id)
 
 
-def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float, id_column: str = "id", target_id: str = "tid", x: str = "x", y: str = "y", tx: str = "tx", ty: str = "ty", exclude_self: bool = False, rounds: int = 64) -> DataFrame:
+def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float | None = None, id_column: str = "id", target_id: str = "tid", x: str = "x", y: str = "y", tx: str = "tx", ty: str = "ty", exclude_self: bool = False, rounds: int = 64) -> DataFrame:
     """(id, target id, distance, rank): the ``k`` nearest targets of each point, ties by the smaller target id.
 
     Rings of cells grow around the points not yet settled: with all cells up to ring m searched, a
     point's k-th neighbour is certain once it is no farther than the edge of that ring. The ring doubles
-    each round, and only unsettled points go on. ``exclude_self`` leaves out a target of the point's id.
+    each round, and only unsettled points go on. The first cell holds ``k`` targets in the mean unless
+    ``cell`` says otherwise. ``exclude_self`` leaves out a target of the point's id.
     """
     there = targets.where(F.col(tx).isNotNull() & F.col(ty).isNotNull()).select(F.col(target_id).alias("_t"), F.col(tx).alias("_tx"), F.col(ty).alias("_ty"))
     todo = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id_column).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    total, spread = there.count(), there.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty")).first()
+    spread = there.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty"), F.count(F.lit(1))).first()
+    total = spread[4]
     limits = todo.agg(F.min("_x"), F.max("_x"), F.min("_y"), F.max("_y")).first()
     schema = T.StructType([T.StructField(id_column, points.schema[id_column].dataType), T.StructField(target_id, targets.schema[target_id].dataType), T.StructField("distance", T.DoubleType()), T.StructField("rank", T.IntegerType())])
     if not total or limits[0] is None:
         return points.sparkSession.createDataFrame([], schema)
     reach_all = max(spread[1], limits[1]) - min(spread[0], limits[0]), max(spread[3], limits[3]) - min(spread[2], limits[2])
+    if cell is None:
+        wide, high = (max(spread[i + 1] - spread[i], 1e-9) for i in (0, 2))
+        cell = math.sqrt(wide * high * k / total)
     last = math.ceil(max(reach_all) / cell) + 1
     out, ring, size = None, 1, float(cell)
     for _ in range(rounds):
@@ -143,7 +148,7 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float, id_colu
         dx, dy = F.col("_x") - F.col("_tx"), F.col("_y") - F.col("_ty")
         met = met.withColumn("_d", F.sqrt(dx * dx + dy * dy))
         order = Window.partitionBy("_p").orderBy("_d", "_t")
-        best = met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+        best = met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).persist()
         edge = F.least(F.col("_x") - (_cell(F.col("_x"), size) - 1) * size, (_cell(F.col("_x"), size) + 2) * size - F.col("_x"), F.col("_y") - (_cell(F.col("_y"), size) - 1) * size, (_cell(F.col("_y"), size) + 2) * size - F.col("_y"))
         everything = ring >= last
         sure = best.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.max("_d").alias("_far"), F.first(edge).alias("_edge"))

@@ -1,6 +1,615 @@
-"""Registered queries of the panel operators and the SQL that gives the same rows."""
+"""Registered queries of the panel operators and the SQL that gives the same rows.
+
+The driver's tables have no parcels, so each query first gives them a panel's shape: an account is a
+line item, its parcel the part, its fiscal year the ship year; points come from the embeddings.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadastra.functions import scalars as s
+from cadastra.functions.crs import MASSACHUSETTS
+from cadastra.operators import choices, enrich, graph, panel, prices, spatial, stats
+
+YEARS = tuple(range(1995, 2002))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Identifiers, numbers and codes.
+
+
+@query("""
+WITH raw AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_name || '-12345' ELSE c_name END AS raw FROM customer),
+d AS (SELECT c_custkey, regexp_replace(coalesce(raw, ''), '[^0-9]', '', 'g') AS d FROM raw),
+p AS (SELECT c_custkey, CASE WHEN length(d) < 10 THEN lpad(d, 10, '0') ELSE d END AS pid FROM d)
+SELECT c_custkey, pid, substr(pid, 1, 7) || '000' AS base_pid FROM p
+""")
+def normalize_pid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    raw = F.when(k % 7 == 0, F.lit(None)).when(k % 5 == 0, F.concat("c_name", F.lit("-12345"))).otherwise(F.col("c_name"))
+    pid = s.normalize_pid(raw)
+    return table(spark, sf_dir, "customer").select("c_custkey", pid.alias("pid"), s.base_pid(pid).alias("base_pid"))
+
+
+_MONEY = """CASE o_orderkey % 7 WHEN 0 THEN '$' || (o_orderkey % 900 + 100) || ',' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '.50'
+  WHEN 1 THEN ' ' || (o_orderkey % 77) || ' ' WHEN 2 THEN (o_orderkey % 10) || 'd' WHEN 3 THEN 'nan' WHEN 4 THEN '' WHEN 5 THEN '1e' || (o_orderkey % 4) ELSE NULL END"""
+
+
+@query(f"""
+WITH raw AS (SELECT o_orderkey, trim(translate({_MONEY}, ',$', '')) AS t FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(t AS DOUBLE) END AS amount FROM raw
+""")
+def clean_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    m = k % 7
+    raw = (
+        F.when(m == 0, F.concat(F.lit("$"), text(k % 900 + 100), F.lit(","), F.lpad(text(k % 1000), 3, "0"), F.lit(".50")))
+        .when(m == 1, F.concat(F.lit(" "), text(k % 77), F.lit(" ")))
+        .when(m == 2, F.concat(text(k % 10), F.lit("d")))
+        .when(m == 3, F.lit("nan"))
+        .when(m == 4, F.lit(""))
+        .when(m == 5, F.concat(F.lit("1e"), text(k % 4)))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", s.clean_numeric(raw).alias("amount"))
+
+
+@query("""
+WITH y AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 20198 WHEN 1 THEN (19000 + o_orderkey % 900) WHEN 2 THEN 1900 + o_orderkey % 120 WHEN 3 THEN 99999 ELSE NULL END::DOUBLE AS y FROM orders)
+SELECT o_orderkey, CASE WHEN y = 20198 THEN 2019.0 WHEN y BETWEEN 10000 AND 99999 AND floor(y / 10) BETWEEN 1600 AND 2030 THEN floor(y / 10) ELSE y END AS year FROM y
+""")
+def clean_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    raw = F.when(k % 5 == 0, F.lit("20198")).when(k % 5 == 1, (19000 + k % 900).cast("string")).when(k % 5 == 2, (1900 + k % 120).cast("string")).when(k % 5 == 3, F.lit("99,999"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", s.clean_year(raw).alias("year"))
+
+
+@query("""
+WITH c AS (SELECT o_orderkey, o_orderpriority, CASE o_orderkey % 8 WHEN 0 THEN 'EX - Excellent' WHEN 1 THEN 'a' WHEN 2 THEN 'AVG - Default' WHEN 3 THEN 'ZZ' WHEN 4 THEN NULL WHEN 5 THEN ' vg ' WHEN 6 THEN 'U' ELSE 'us-Unsound' END AS raw FROM orders),
+h AS (SELECT o_orderkey, trim(regexp_split_to_array(upper(trim(o_orderpriority)), '\\s*-\\s*')[1]) AS land_use, trim(regexp_split_to_array(upper(trim(raw)), '\\s*-\\s*')[1]) AS cond FROM c)
+SELECT o_orderkey, land_use, CASE cond WHEN 'EX' THEN 'E' WHEN 'E' THEN 'E' WHEN 'VG' THEN 'VG' WHEN 'G' THEN 'G' WHEN 'AVG' THEN 'A' WHEN 'A' THEN 'A' WHEN 'F' THEN 'F' WHEN 'P' THEN 'P' WHEN 'VP' THEN 'VP' WHEN 'US' THEN 'US' WHEN 'U' THEN 'US' END AS condition FROM h
+""")
+def normalize_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 8
+    names = ("EX - Excellent", "a", "AVG - Default", "ZZ", None, " vg ", "U", "us-Unsound")
+    raw = reduce(lambda acc, i: acc.when(k == i, F.lit(names[i])), range(1, 8), F.when(k == 0, F.lit(names[0])))
+    return table(spark, sf_dir, "orders").select("o_orderkey", s.normalize_land_use(F.col("o_orderpriority")).alias("land_use"), s.normalize_condition(raw).alias("condition"))
+
+
+_BAND = "CASE WHEN {u} IS NULL THEN NULL WHEN {u} <= 0 THEN 'No Development' WHEN {u} = 1 THEN '1 Unit' WHEN {u} = 2 THEN '2 Units' WHEN {u} = 3 THEN '3 Units' WHEN {u} BETWEEN 4 AND 6 THEN '4-6 Units' WHEN {u} BETWEEN 7 AND 20 THEN '7-20 Units' ELSE '21+ Units' END"
+
+
+@query(f"""
+WITH u AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size / 2.0 WHEN 2 THEN p_size - 3.0 ELSE CASE WHEN p_partkey % 12 = 3 THEN NULL ELSE p_size % 5 END END AS u FROM part)
+SELECT p_partkey, {_BAND.format(u="u")} AS category, coalesce(CASE WHEN u <= 0 THEN 'Land' ELSE {_BAND.format(u="u")} END, 'Other') AS band FROM u
+""")
+def categorize_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    u = F.when(k % 4 == 0, size).when(k % 4 == 1, size / 2).when(k % 4 == 2, size - 3).when(k % 12 != 3, size % 5)
+    return table(spark, sf_dir, "part").select("p_partkey", s.categorize_units(u).alias("category"), s.price_band(u).alias("band"))
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"(year(o_orderdate) = {y})::INTEGER AS y_{y}" for y in YEARS[1:]) + " FROM orders")
+def year_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("fy"))
+    return panel.with_year_dummies(df, YEARS).drop("fy")
+
+
+# The panel.
+
+_ACCOUNT = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+
+_PANEL_SQL = """
+panel AS (
+  SELECT lpad(l_orderkey::VARCHAR, 10, '0') || '-' || l_linenumber || '-' || lpad(l_suppkey::VARCHAR, 6, '0') || '-' || lpad(round(l_extendedprice * 100)::BIGINT::VARCHAR, 12, '0') AS parcel_id,
+    l_partkey AS geo_pid, year(l_shipdate)::INTEGER AS fy,
+    CASE l_returnflag || l_linestatus || (l_linenumber % 3) WHEN 'AF0' THEN 'R1' WHEN 'AF1' THEN 'r4 - four' WHEN 'AF2' THEN 'CM' WHEN 'NF0' THEN 'CD' WHEN 'NF1' THEN 'A' WHEN 'NF2' THEN 'RL'
+      WHEN 'NO0' THEN 'R2' WHEN 'NO1' THEN 'CD' WHEN 'NO2' THEN 'CP' WHEN 'RF0' THEN 'R3' WHEN 'RF1' THEN 'RC' ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'E' ELSE NULL END END AS land_use_code,
+    CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_linenumber % 9)::DOUBLE END AS res_units,
+    l_extendedprice AS assessed_total, CASE WHEN l_quantity < 4 THEN NULL ELSE l_quantity * 100 END AS living_area, l_quantity * 120 AS gross_area,
+    round(l_extendedprice * 0.4, 2) AS assessed_land, round(l_extendedprice * 0.6, 2) AS assessed_bldg, l_quantity * 60 + 200 AS land_sf, (1880 + l_suppkey % 160)::DOUBLE AS yr_built, (1 + l_linenumber % 4)::DOUBLE AS num_floors,
+    ((l_partkey % 50) * 100)::DOUBLE AS centroid_x, (((l_partkey - l_partkey % 50) / 50)::BIGINT * 100)::DOUBLE AS centroid_y,
+    'N' || (l_partkey % 6) AS neighborhood_name
+  FROM lineitem
+)"""
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, n, sup, price, qty = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity"))
+    part = F.col("l_partkey")
+    kind = F.concat("l_returnflag", "l_linestatus", (n % 3).cast("string"))
+    codes = {"AF0": "R1", "AF1": "r4 - four", "AF2": "CM", "NF0": "CD", "NF1": "A", "NF2": "RL", "NO0": "R2", "NO1": "CD", "NO2": "CP", "RF0": "R3", "RF1": "RC"}
+    cents = F.lpad(F.round(price * 100).cast("long").cast("string"), 12, "0")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.lpad(key.cast("string"), 10, "0"), n.cast("string"), F.lpad(sup.cast("string"), 6, "0"), cents).alias("parcel_id"),
+        part.alias("geo_pid"),
+        F.year("l_shipdate").alias("fy"),
+        F.when(kind.isin(*codes), s.mapped(kind, codes)).otherwise(F.when(sup % 2 == 0, F.lit("E"))).alias("land_use_code"),
+        F.when(sup % 3 != 0, (n % 9).cast("double")).alias("res_units"),
+        price.alias("assessed_total"),
+        F.when(qty >= 4, qty * 100).alias("living_area"),
+        (qty * 120).alias("gross_area"),
+        F.round(price * 0.4, 2).alias("assessed_land"),
+        F.round(price * 0.6, 2).alias("assessed_bldg"),
+        (qty * 60 + 200).alias("land_sf"),
+        (1880.0 + sup % 160).alias("yr_built"),
+        (1.0 + n % 4).alias("num_floors"),
+        ((part % 50) * 100.0).alias("centroid_x"),
+        (F.floor(part / 50) * 100.0).alias("centroid_y"),
+        F.concat(F.lit("N"), (part % 6).cast("string")).alias("neighborhood_name"),
+    )
+
+
+def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.parcel_state(accounts(spark, sf_dir))
+
+
+_STATE_SQL = (
+    _PANEL_SQL
+    + """,
+coded AS (SELECT *, trim(regexp_split_to_array(upper(trim(land_use_code)), '\\s*-\\s*')[1]) AS u FROM panel WHERE geo_pid IS NOT NULL),
+marked AS (SELECT *, coalesce(u IN ('CD', 'CP', 'CC'), false) AS unit, coalesce(u IN ('CD', 'CP', 'CC'), false)::INTEGER * 2 - coalesce(u = 'CM', false)::INTEGER AS rnk FROM coded),
+collapsed AS (
+  SELECT geo_pid, fy, arg_min(struct_pack(u := u, r := res_units, p := parcel_id, x := centroid_x, y := centroid_y, f := num_floors, h := neighborhood_name), (rnk, parcel_id)) AS rep,
+    sum(living_area) AS living_area, sum(gross_area) AS gross_area, sum(assessed_total) AS assessed_total, sum(assessed_land) AS assessed_land, sum(assessed_bldg) AS assessed_bldg, sum(land_sf) AS land_sf,
+    max(yr_built) AS yr_built, count(*) FILTER (unit) AS n_unit_rows
+  FROM marked GROUP BY geo_pid, fy
+),
+named AS (SELECT *, CASE WHEN rep.u IN ('CD', 'CP', 'CC') THEN 'CM' ELSE rep.u END AS lu, rep.r AS res_units, rep.p AS parcel_id, rep.x AS centroid_x, rep.y AS centroid_y, rep.f AS num_floors, rep.h AS neighborhood_name FROM collapsed),
+counted AS (SELECT *, coalesce(CASE WHEN lu = 'RL' THEN 0.0 WHEN lu IN ('RC', 'A') THEN ceil(living_area / 850.0) WHEN lu = 'R1' THEN 1.0 WHEN lu = 'R2' THEN 2.0 WHEN lu = 'R3' THEN 3.0 WHEN lu = 'CM' THEN coalesce(res_units, n_unit_rows::DOUBLE) END,
+  CASE WHEN res_units > 0 THEN res_units END, ceil(living_area / 850.0))::DOUBLE AS units FROM named),
+state AS (SELECT *, coalesce(CASE lu WHEN 'R1' THEN '1 Unit' WHEN 'R2' THEN '2 Units' WHEN 'R3' THEN '3 Units' WHEN 'R4' THEN '4-6 Units' END, """
+    + _BAND.format(u="units")
+    + """) AS unit_category FROM counted)"""
+)
+
+
+@query(
+    "WITH "
+    + _STATE_SQL
+    + """
+SELECT geo_pid, fy, lu, res_units, parcel_id, round(living_area, 4) AS living_area, round(assessed_total, 4) AS assessed_total, yr_built, n_unit_rows, units, unit_category FROM state
+"""
+)
+def parcel_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _state(spark, sf_dir).select(
+        "geo_pid", "fy", "lu", "res_units", "parcel_id", F.round("living_area", 4).alias("living_area"), F.round("assessed_total", 4).alias("assessed_total"), "yr_built", "n_unit_rows", "units", "unit_category"
+    )
+
+
+@query("""
+WITH raw AS (SELECT o_orderkey, year(o_orderdate)::INTEGER AS fy, o_orderpriority, o_orderstatus, (o_orderkey % 900)::VARCHAR AS price FROM orders)
+SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS parcel_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS land_use_code,
+  CASE WHEN fy >= 1998 THEN o_orderstatus END AS land_use_desc, (price || '500')::DOUBLE AS assessed_total,
+  CASE WHEN o_orderstatus = 'F' THEN 'F' WHEN o_orderstatus = 'P' THEN 'P' END AS overall_cond, fy FROM raw
+""")
+def harmonize_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "orders").withColumn("fy", F.year("o_orderdate"))
+    price = F.concat(F.lit("$"), (F.col("o_orderkey") % 900).cast("string"), F.lit(",500"))
+    use = F.when(F.col("o_orderkey") % 11 == 0, F.lit("NA")).otherwise(F.col("o_orderpriority"))
+    pid = F.col("o_orderkey").cast("string")
+    old = raw.where("fy < 1998").select(pid.alias(" PID"), use.alias("LU "), price.alias("AV_TOTAL"), F.col("o_orderstatus").alias("R_OVRALL_CND"), "fy")
+    new = raw.where("fy >= 1998").select(pid.alias("PID"), use.alias("LU"), F.col("o_orderstatus").alias("LU_DESC"), price.alias(" TOTAL_VALUE "), F.col("o_orderstatus").alias("OVERALL_COND"), "fy")
+    years = [panel.harmonized(old, F.col("fy"), False), panel.harmonized(new, F.col("fy"), True)]
+    return panel.stacked(years).select("parcel_id", "land_use_code", "land_use_desc", "assessed_total", "overall_cond", "fy")
+
+
+@query("""
+WITH shapes AS (SELECT lpad(p_partkey::VARCHAR, 10, '0') AS pid, y AS fy, p_retailprice AS cx FROM part, range(1995, 2002) t(y) WHERE p_partkey % 3 = 0 OR p_partkey % 1000 = 0),
+a AS (SELECT lpad(l_partkey::VARCHAR, 10, '0') AS parcel_id, year(l_shipdate) AS fy FROM lineitem),
+j AS (SELECT a.*, coalesce(s1.pid, s2.pid) AS geo_pid, CASE WHEN s1.pid IS NOT NULL THEN s1.cx ELSE s2.cx END AS cx FROM a LEFT JOIN shapes s1 ON s1.pid = a.parcel_id AND s1.fy = a.fy LEFT JOIN shapes s2 ON s2.pid = substr(a.parcel_id, 1, 7) || '000' AND s2.fy = a.fy)
+SELECT geo_pid, fy::INTEGER AS fy, count(*) AS n, min(cx) AS cx FROM j GROUP BY ALL
+""")
+def key_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pid = F.lpad(F.col("p_partkey").cast("string"), 10, "0")
+    shapes = table(spark, sf_dir, "part").where("p_partkey % 3 = 0 OR p_partkey % 1000 = 0").select(pid.alias("geo_pid"), F.col("p_retailprice").alias("centroid_x"), F.lit(0.0).alias("centroid_y"), F.explode(F.array(*map(F.lit, YEARS))).alias("fy"))
+    rows = table(spark, sf_dir, "lineitem").select(F.lpad(F.col("l_partkey").cast("string"), 10, "0").alias("parcel_id"), F.year("l_shipdate").alias("fy"))
+    return panel.with_geo_key(rows, shapes).groupBy("geo_pid", "fy").agg(F.count(F.lit(1)).alias("n"), F.min("centroid_x").alias("cx"))
+
+
+@query("""
+WITH p AS (SELECT l_partkey AS geo_pid, l_orderkey AS a, year(l_shipdate) AS fy, l_linenumber AS b, l_suppkey AS c, l_extendedprice AS d, CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity END AS x, l_discount AS y FROM lineitem),
+f AS (SELECT geo_pid, arg_min(x, (a, fy, b, c, d)) AS centroid_x, arg_min(y, (a, fy, b, c, d)) AS centroid_y FROM p WHERE x IS NOT NULL GROUP BY geo_pid)
+SELECT p.geo_pid, p.fy::INTEGER AS fy, count(*) AS n, any_value(centroid_x) AS centroid_x, any_value(centroid_y) AS centroid_y FROM p LEFT JOIN f USING (geo_pid) GROUP BY ALL
+""")
+def first_centroid_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("geo_pid"), F.col("l_orderkey").alias("parcel_id"), F.year("l_shipdate").alias("fy"), "l_linenumber", "l_suppkey", "l_extendedprice", F.when(F.col("l_quantity") >= 10, F.col("l_quantity")).alias("centroid_x"), F.col("l_discount").alias("centroid_y")
+    )
+    first = panel.first_points(rows, order=("parcel_id", "fy", "l_linenumber", "l_suppkey", "l_extendedprice"))
+    back = enrich.spread_back(rows, first, ["geo_pid"], ["centroid_x", "centroid_y"])
+    return back.groupBy("geo_pid", "fy", "centroid_x", "centroid_y").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLIP_SQL = """
+lo AS (SELECT fy, quantile_cont(assessed_total, 0.02) AS a, quantile_cont(price_per_sqft, 0.01) AS p FROM priced GROUP BY fy),
+low AS (SELECT r.* REPLACE (CASE WHEN assessed_total IS NOT NULL THEN greatest(assessed_total, lo.a) END AS assessed_total, CASE WHEN price_per_sqft IS NOT NULL THEN greatest(price_per_sqft, lo.p) END AS price_per_sqft) FROM priced r JOIN lo USING (fy)),
+hi AS (SELECT fy, quantile_cont(assessed_total, 0.98) AS a, quantile_cont(land_sf, 0.99) AS l, quantile_cont(gross_area, 0.95) AS g, quantile_cont(living_area, 0.95) AS v, quantile_cont(price_per_sqft, 0.99) AS p FROM low GROUP BY fy),
+clipped AS (SELECT r.* REPLACE (CASE WHEN assessed_total IS NOT NULL THEN least(assessed_total, hi.a) END AS assessed_total, CASE WHEN land_sf IS NOT NULL THEN greatest(500.0, least(land_sf, hi.l)) END AS land_sf,
+  CASE WHEN gross_area IS NOT NULL THEN greatest(500.0, least(gross_area, hi.g)) END AS gross_area, CASE WHEN living_area IS NOT NULL THEN greatest(500.0, least(living_area, hi.v)) END AS living_area,
+  CASE WHEN price_per_sqft IS NOT NULL THEN least(price_per_sqft, hi.p) END AS price_per_sqft) FROM low r JOIN hi USING (fy))"""
+
+
+@query(
+    """
+WITH priced AS (SELECT l_orderkey, year(l_shipdate)::INTEGER AS fy, l_extendedprice AS assessed_total, CASE WHEN l_quantity < 4 THEN NULL ELSE l_quantity * 100 END AS living_area, l_quantity * 120 AS gross_area, l_quantity * 60 + 200 AS land_sf, CASE WHEN l_quantity >= 4 THEN l_extendedprice / (l_quantity * 100) END AS price_per_sqft FROM lineitem),"""
+    + _CLIP_SQL
+    + """
+SELECT l_orderkey, fy, round(assessed_total, 6) AS assessed_total, round(living_area, 6) AS living_area, round(gross_area, 6) AS gross_area, round(land_sf, 6) AS land_sf, round(price_per_sqft, 9) AS price_per_sqft FROM clipped
+"""
+)
+def winsorize_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qty = F.col("l_quantity")
+    area = F.when(qty >= 4, qty * 100)
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.year("l_shipdate").alias("fy"), F.col("l_extendedprice").alias("assessed_total"), area.alias("living_area"), (qty * 120).alias("gross_area"), (qty * 60 + 200).alias("land_sf"), s.price_per_sqft(F.col("l_extendedprice"), area).alias("price_per_sqft")
+    )
+    df = prices.winsorized(df, prices.YEARLY_CLIPS)
+    df = df.withColumns({c: s.clipped(F.col(c), low, high) for c, low, high in prices.FIXED_CLIPS if c in df.columns})
+    return df.select("l_orderkey", "fy", *(F.round(c, 6).alias(c) for c in ("assessed_total", "living_area", "gross_area", "land_sf")), F.round("price_per_sqft", 9).alias("price_per_sqft"))
+
+
+_PRICED_SQL = (
+    _STATE_SQL
+    + """,
+priced AS (SELECT geo_pid, fy, parcel_id, centroid_x, centroid_y, neighborhood_name, coalesce(CASE WHEN units <= 0 THEN 'Land' ELSE """
+    + _BAND.format(u="units")
+    + """ END, 'Other') AS land_use_code, assessed_total, living_area, gross_area, land_sf, least(yr_built, 2030::DOUBLE) AS yr_built, greatest(num_floors, 1::DOUBLE) AS num_floors, units, CASE WHEN living_area > 0 THEN assessed_total / living_area END AS price_per_sqft
+  FROM state WHERE lu IN ('R1', 'R2', 'R3', 'R4', 'A', 'CD', 'CP', 'CC', 'CM', 'RC', 'RL')),"""
+    + _CLIP_SQL
+    + """,
+spots AS (SELECT centroid_x AS x, centroid_y AS y, fy, sum(price_per_sqft) AS s, count(*) AS n FROM clipped WHERE price_per_sqft IS NOT NULL GROUP BY ALL),
+lag AS (SELECT c.geo_pid, c.fy, sum(s.s) / sum(s.n) AS prior_sales_avg, sum(s.n)::BIGINT AS prior_sales_count FROM clipped c JOIN spots s ON s.fy < c.fy AND s.x BETWEEN c.centroid_x - 300 AND c.centroid_x + 300 AND s.y BETWEEN c.centroid_y - 300 AND c.centroid_y + 300
+  AND (s.x - c.centroid_x) * (s.x - c.centroid_x) + (s.y - c.centroid_y) * (s.y - c.centroid_y) <= 90000 GROUP BY ALL),
+input AS (SELECT c.*, prior_sales_avg, prior_sales_count FROM clipped c JOIN lag USING (geo_pid, fy) WHERE assessed_total IS NOT NULL AND living_area IS NOT NULL AND land_sf IS NOT NULL AND yr_built IS NOT NULL AND prior_sales_avg IS NOT NULL)"""
+)
+
+
+#: Prices are short decimals that often lie half way between two rounded ones, where the engines differ; this far from them none does.
+_OFF_TIES = 2.7182818e-7
+
+
+def _price_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.price_panel(_state(spark, sf_dir), years=YEARS)
+
+
+@query(
+    "WITH "
+    + _PRICED_SQL
+    + """
+SELECT geo_pid, fy, land_use_code, round(price_per_sqft + 2.7182818e-7, 6) AS price_per_sqft, round(prior_sales_avg + 2.7182818e-7, 6) AS prior_sales_avg, prior_sales_count, yr_built, num_floors, """
+    + ", ".join(f"(fy = {y})::INTEGER AS y_{y}" for y in YEARS[1:])
+    + " FROM input"
+)
+def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _price_input(spark, sf_dir).select(
+        "geo_pid", "fy", "land_use_code", F.round(F.col("price_per_sqft") + _OFF_TIES, 6).alias("price_per_sqft"), F.round(F.col("prior_sales_avg") + _OFF_TIES, 6).alias("prior_sales_avg"), "prior_sales_count", "yr_built", "num_floors", *(f"y_{y}" for y in YEARS[1:])
+    )
+
+
+# Spatial joins.
+
+_POINTS_SQL = "pts AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS v, label::INTEGER AS fy FROM embeddings)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.col("embedding")[i].cast("double")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), at(0).alias("x"), at(1).alias("y"), at(2).alias("v"), F.col("label").cast("int").alias("fy"))
+
+
+@query(f"""
+WITH {_POINTS_SQL}
+SELECT a.id, a.fy, count(b.id) AS n, round(avg(b.v), 6) AS mean FROM pts a LEFT JOIN pts b ON b.fy < a.fy AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02 * 0.02 GROUP BY a.id, a.fy
+""")
+def prior_radius_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spatial.prior_within(_points(spark, sf_dir), "v", 0.02, x="x", y="y", mean_as="mean", count_as="n")
+    return out.select("id", "fy", "n", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""
+WITH {_POINTS_SQL}
+SELECT a.id, count(b.id) AS dev_activity_600m, round(coalesce(sum(b.v), 0.0), 6) AS dev_units_600m FROM pts a LEFT JOIN pts b ON b.fy >= 5 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.03 * 0.03 WHERE a.fy < 5 GROUP BY a.id
+""")
+def radius_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    out = spatial.events_within(p.where("fy < 5"), p.where("fy >= 5"), "v", 0.03, "x", "y", "x", "y")
+    return out.select("id", "dev_activity_600m", F.round("dev_units_600m", 6).alias("dev_units_600m"))
+
+
+_N, _SCALE, _ORIGIN = MASSACHUSETTS.cone
+_ECC = MASSACHUSETTS.eccentricity
+_CENTERS = [MASSACHUSETTS.point(lon, lat) for _, lat, lon in enrich.EMPLOYMENT_CENTERS]
+
+
+@query(f"""
+WITH {_POINTS_SQL}, ll AS (SELECT id, radians(-71.07 + x / 10) AS lon, radians(42.34 + y / 10) AS lat FROM pts),
+t AS (SELECT id, lon, tan(pi() / 4 - lat / 2) / pow((1 - {_ECC!r}::DOUBLE * sin(lat)) / (1 + {_ECC!r}::DOUBLE * sin(lat)), {_ECC / 2!r}::DOUBLE) AS t FROM ll),
+r AS (SELECT id, {MASSACHUSETTS.axis!r}::DOUBLE * {_SCALE!r}::DOUBLE * pow(t, {_N!r}::DOUBLE) AS r, {_N!r}::DOUBLE * (lon - radians(-71.5)) AS th FROM t),
+xy AS (SELECT id, 200000.0::DOUBLE + r * sin(th) AS x, 750000.0::DOUBLE + {_ORIGIN!r}::DOUBLE - r * cos(th) AS y FROM r)
+SELECT id, round(x, 3) AS x, round(y, 3) AS y, round(least({", ".join(f"sqrt((x - {a!r}::DOUBLE) * (x - {a!r}::DOUBLE) + (y - {b!r}::DOUBLE) * (y - {b!r}::DOUBLE))" for a, b in _CENTERS)}), 3) AS emp_dist_m FROM xy
+""")
+def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = MASSACHUSETTS.columns(-71.07 + F.col("x") / 10, 42.34 + F.col("y") / 10)
+    p = _points(spark, sf_dir).select(F.col("id").alias("geo_pid"), F.lit("a").alias("parcel_id"), "fy", x.alias("centroid_x"), y.alias("centroid_y"))
+    out = enrich.with_employment_distance(p)
+    return out.select(F.col("geo_pid").alias("id"), F.round("centroid_x", 3).alias("x"), F.round("centroid_y", 3).alias("y"), F.round("emp_dist_m", 3).alias("emp_dist_m"))
+
+
+#: Concave, with a hole, in two parts; the second overlaps the first.
+_AREAS = (
+    (1, None, None, [[[[-0.3, -0.3], [0.3, -0.3], [0.3, 0.3], [0.0, 0.05], [-0.3, 0.3]], [[-0.1, -0.2], [0.1, -0.2], [0.1, -0.1], [-0.1, -0.1]]]]),
+    (2, "Two", 7, [[[[-0.2, -0.1], [0.2, -0.1], [0.2, 0.2], [-0.2, 0.2]]]]),
+    (3, "Three", 8, [[[[-0.4, -0.4], [0.0, -0.4], [0.0, 0.4], [-0.4, 0.4]]], [[[0.2, -0.4], [0.4, -0.4], [0.4, 0.0]]]]),
+)
+
+
+def _areas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_AREAS, f"ordinal int, name string, neighborhood_id int, geom {spatial.GEOMETRY_TYPE}")
+
+
+def _edges_sql() -> str:
+    rows = []
+    for i, name, nid, shape in _AREAS:
+        for part in shape:
+            for ring in part:
+                for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]]):
+                    rows.append(f"({i}, {'NULL' if name is None else repr(name)}, {'NULL' if nid is None else nid}, {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)")
+    return f"edges(ordinal, name, nid, x1, y1, x2, y2) AS (VALUES {', '.join(rows)})"
+
+
+_INSIDE_SQL = f"""{_POINTS_SQL}, {_edges_sql()},
+inside AS (SELECT id, ordinal, any_value(name) AS name, any_value(nid) AS nid FROM pts JOIN edges ON (y1 > y) <> (y2 > y) AND x1 + (y - y1) / (y2 - y1) * (x2 - x1) > x GROUP BY id, ordinal HAVING count(*) % 2 = 1)"""
+
+
+@query(f"WITH {_INSIDE_SQL} SELECT id, ordinal::INTEGER AS ordinal FROM inside")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.pip_join(_points(spark, sf_dir), _areas(spark), "id", "ordinal")
+
+
+@query(f"""
+WITH {_INSIDE_SQL}, named AS (SELECT id, arg_min(name, ordinal) FILTER (name IS NOT NULL) AS neighborhood_name, (arg_min(nid, ordinal) FILTER (nid IS NOT NULL))::INTEGER AS neighborhood_id FROM inside GROUP BY id)
+SELECT id, neighborhood_name, neighborhood_id FROM pts LEFT JOIN named USING (id)
+""")
+def neighborhood_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).select(F.col("id").alias("geo_pid"), F.lit("a").alias("parcel_id"), "fy", F.col("x").alias("centroid_x"), F.col("y").alias("centroid_y"))
+    out = enrich.with_neighborhood(p, _areas(spark), crs=None)
+    return out.select(F.col("geo_pid").alias("id"), "neighborhood_name", "neighborhood_id")
+
+
+@query(f"""
+WITH {_INSIDE_SQL}, z AS (SELECT id, arg_min(struct_pack(n := name, f := nid::DOUBLE), ordinal) AS r FROM inside GROUP BY id)
+SELECT id, r.n AS zoning_use, r.f AS max_far FROM pts LEFT JOIN z USING (id)
+""")
+def zoning_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).select(F.col("id").alias("geo_pid"), F.lit("a").alias("parcel_id"), "fy", F.col("x").alias("centroid_x"), F.col("y").alias("centroid_y"))
+    areas = _areas(spark).select("ordinal", "geom", F.col("name").alias("Zoning_Sub"), F.col("neighborhood_id").cast("string").alias("Max_FAR"), F.lit("35").alias("Max_Height"), F.lit("x").alias("Max_Number"))
+    out = enrich.with_zoning(p, areas, crs=None)
+    return out.select(F.col("geo_pid").alias("id"), "zoning_use", "max_far")
+
+
+@query(f"""
+WITH {_INSIDE_SQL}, inc AS (SELECT id, (arg_min(ordinal, ordinal) FILTER (ordinal >= 1)) AS o FROM inside GROUP BY id)
+SELECT id, 2016 + fy AS fy, CASE WHEN o IS NULL THEN NULL ELSE (1000.0 * o + 2014 + fy) END::DOUBLE AS median_hh_income FROM pts LEFT JOIN inc USING (id)
+""")
+def income_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).select(F.col("id").alias("geo_pid"), F.lit("a").alias("parcel_id"), (F.col("fy") + 2016).alias("fy"), F.col("x").alias("centroid_x"), F.col("y").alias("centroid_y"))
+    vintages = F.explode(F.sequence(F.lit(2014), F.lit(2023)))
+    tracts = _areas(spark).select("ordinal", "geom", F.concat(F.lit("25025"), F.lpad(F.col("ordinal").cast("string"), 6, "0")).alias("GEOID"), vintages.alias("acs_year"))
+    income = tracts.select("GEOID", "acs_year", (F.col("ordinal") * 1000.0 + F.col("acs_year")).alias("income"))
+    return enrich.with_income(p, tracts, income, crs=None).select(F.col("geo_pid").alias("id"), "fy", "median_hh_income")
+
+
+_RECT_SQL = """rect AS (SELECT p_partkey AS geo_pid, y AS fy, ((p_partkey % 25) * 10 + (p_partkey * 7 + y * 3) % 5)::DOUBLE AS x0, (((p_partkey - p_partkey % 25) / 25)::BIGINT * 10 + (p_partkey * 5 + y) % 4)::DOUBLE AS y0, (7 + (p_partkey + y) % 5)::DOUBLE AS w, (6 + (p_partkey * 3 + y) % 5)::DOUBLE AS h
+  FROM part, range(2016, 2020) t(y) WHERE p_partkey <= 600)"""
+
+
+def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, y = F.col("p_partkey"), F.col("fy")
+    base = table(spark, sf_dir, "part").where("p_partkey <= 600").select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
+    x0, y0 = ((k % 25) * 10 + (k * 7 + y * 3) % 5).cast("double"), (F.floor(k / 25) * 10 + (k * 5 + y) % 4).cast("double")
+    x1, y1 = x0 + (7 + (k + y) % 5), y0 + (6 + (k * 3 + y) % 5)
+    ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
+    return base.select(k.alias("geo_pid"), "fy", F.array(F.array(ring)).cast(spatial.GEOMETRY_TYPE).alias("geom"))
+
+
+@query(f"""
+WITH {_RECT_SQL}, o AS (SELECT a.geo_pid, a.fy, b.geo_pid AS prev_geo_pid, greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) / (a.w * a.h) AS share
+  FROM rect a JOIN rect b ON b.fy + 1 = a.fy AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h),
+best AS (SELECT *, row_number() OVER (PARTITION BY geo_pid, fy ORDER BY round(share, 9) DESC, prev_geo_pid) AS rn FROM o)
+SELECT geo_pid, fy::INTEGER AS fy, prev_geo_pid, round(share, 6) AS overlap_share FROM best WHERE rn = 1 AND share >= 0.5
+""")
+def rect_overlay_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = choices.best_predecessors(_rectangles(spark, sf_dir), cell=10.0)
+    return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
+
+
+@query(f"WITH {_RECT_SQL} SELECT geo_pid, fy::INTEGER AS fy, x0 + w / 2 AS px, y0 + h / 2 AS py FROM rect")
+def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.representative_points(_rectangles(spark, sf_dir)).select("geo_pid", "fy", "px", "py")
+
+
+@query(f"""
+WITH {_POINTS_SQL}, d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pts a JOIN pts b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other)::INTEGER AS rank FROM d)
+SELECT id, other, rank, round(d, 9) AS distance FROM r WHERE rank <= 8
+""")
+def knn8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    t = p.select(F.col("id").alias("other"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return spatial.knn_join(p, t, 8, None, "id", "other", exclude_self=True).select("id", "other", "rank", F.round("distance", 9).alias("distance"))
+
+
+# Choices.
+
+
+def _identity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    state = _state(spark, sf_dir)
+    return state, state.select("geo_pid", "fy", F.col("geo_pid").alias("prev_geo_pid"), F.lit(1.0).alias("overlap_share"))
+
+
+@query(
+    "WITH "
+    + _STATE_SQL
+    + """
+SELECT a.geo_pid, a.fy, a.units - b.units AS net_new_units, a.centroid_x, a.centroid_y FROM state a JOIN state b ON a.geo_pid = b.geo_pid AND b.fy + 1 = a.fy WHERE a.fy BETWEEN 1996 AND 1998 AND a.units > b.units
+"""
+)
+def development_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choices.development_events(*_identity(spark, sf_dir), years=(1996, 1997, 1998))
+
+
+@query(
+    "WITH "
+    + _STATE_SQL
+    + """, c AS (SELECT a.geo_pid, a.fy, a.lu AS current_lu, b.lu AS prior_lu, a.unit_category AS now, b.unit_category AS was, b.assessed_total AS cost, coalesce(b.lu IN ('R1', 'R2', 'R3', 'R4', 'A', 'CD', 'CP', 'CC', 'CM', 'RC', 'RL'), false) AS inset
+  FROM state a LEFT JOIN state b ON a.geo_pid = b.geo_pid AND b.fy + 1 = a.fy WHERE a.fy BETWEEN 1999 AND 2001)
+SELECT geo_pid, fy, current_lu, prior_lu, round(cost, 4) AS acquisition_cost, inset AS in_choice_set, CASE WHEN inset AND coalesce(now, 'No Development') <> coalesce(was, 'No Development') THEN coalesce(now, 'No Development') ELSE 'No Development' END AS dev_outcome FROM c
+"""
+)
+def dev_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = choices.choice_set(*_identity(spark, sf_dir), years=(1999, 2000, 2001))
+    return out.select("geo_pid", "fy", "current_lu", "prior_lu", F.round("acquisition_cost", 4).alias("acquisition_cost"), "in_choice_set", "dev_outcome")
+
+
+@query("""
+WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS prior_lu, year(o_orderdate)::INTEGER AS fy FROM orders),
+prices AS (SELECT CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size % 7)::VARCHAR END AS lu, 1995 + p_size % 5 AS fy, min(p_retailprice) AS price FROM part GROUP BY ALL)
+SELECT o_orderkey, p.fy, prior_lu, price AS market_price_psf FROM p LEFT JOIN prices ON prior_lu IS NOT DISTINCT FROM lu AND p.fy = prices.fy
+""")
+def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, F.substring("o_orderpriority", 1, 1)).alias("prior_lu"), F.year("o_orderdate").alias("fy"))
+    size = F.col("p_size")
+    right = table(spark, sf_dir, "part").select(F.when(size % 7 != 0, (size % 7).cast("string")).alias("lu"), (1995 + size % 5).alias("fy"), F.col("p_retailprice").alias("price_per_sqft"))
+    return choices.with_market_price(left, right)
+
+
+@query("""
+SELECT c_custkey, c_acctbal AS v FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT c_custkey + CASE WHEN c_custkey % 20 = 0 THEN 1000000 ELSE 0 END, -1.0 FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 20 = 0
+""")
+def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    fresh = c.where("c_custkey % 10 = 0").select((F.col("c_custkey") + F.when(F.col("c_custkey") % 20 == 0, 1000000).otherwise(0)).alias("c_custkey"), F.lit(-1.0).alias("v"))
+    return panel.upsert(c.select("c_custkey", F.col("c_acctbal").alias("v")), fresh, ["c_custkey"])
+
+
+# Graph: a full grid, where the shortest path is the Manhattan distance.
+
+
+@query("""
+WITH n AS (SELECT c_custkey AS id, (c_custkey - 1) % 20 AS cx, ((c_custkey - 1 - (c_custkey - 1) % 20) / 20)::BIGINT AS cy FROM customer WHERE c_custkey BETWEEN 1 AND 400),
+src(category, cx, cy) AS (VALUES ('food', 2, 3), ('food', 17, 11), ('park', 9, 9)),
+d AS (SELECT id, category, min(abs(n.cx - s.cx) + abs(n.cy - s.cy)) * 100.0 AS d FROM n, src s GROUP BY ALL),
+w AS (SELECT id, max(CASE WHEN category = 'food' THEN greatest(0, 100 * (1 - d / 1600)) END) AS food, max(CASE WHEN category = 'park' THEN greatest(0, 100 * (1 - d / 1600)) END) AS park FROM d GROUP BY id)
+SELECT id, food::DOUBLE AS food_score, park::DOUBLE AS park_score, round_even((food + park) / 2, 2)::DOUBLE AS walkability FROM w
+""")
+def walk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") - 1
+    at = table(spark, sf_dir, "customer").where("c_custkey BETWEEN 1 AND 400").select(F.col("c_custkey").alias("id"), (k % 20).alias("cx"), F.floor(k / 20).alias("cy"))
+    nodes = at.select("id", (F.col("cx") * 100.0).alias("x"), (F.col("cy") * 100.0).alias("y"))
+    step = F.array(F.when(F.col("cx") < 19, F.col("id") + 1), F.when(F.col("id") + 20 <= 400, F.col("id") + 20))
+    one_way = at.select(F.col("id").alias("src"), F.explode(F.array_compact(step)).alias("dst"))
+    edges = one_way.union(one_way.select("dst", "src")).withColumn("length", F.lit(100.0))
+    places = spark.createDataFrame([("food", 201.0, 302.0), ("food", 1699.0, 1101.0), ("park", 900.0, 900.0)], "category string, x double, y double")
+    points = nodes.select("id", (F.col("x") + 7).alias("x"), (F.col("y") - 9).alias("y"))
+    return graph.walk_scores(points, nodes, edges, places, "id", cell=100.0, categories=("food", "park"))
+
+
+# Statistics.
+
+
+@query(f"""
+WITH {_POINTS_SQL}, d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pts a JOIN pts b ON a.id <> b.id),
+e AS (SELECT id, other FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rn FROM d) WHERE rn <= 8),
+z AS (SELECT id, v - (SELECT avg(v) FROM pts) AS z FROM pts)
+SELECT round((SELECT sum(a.z * b.z) / 8 FROM e JOIN z a ON a.id = e.id JOIN z b ON b.id = e.other) / (SELECT sum(z * z) FROM z), 9) AS moran_i, (SELECT count(*) FROM z) AS moran_n_parcels
+""")
+def moran_i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir).select(F.col("id").alias("geo_pid"), F.col("v").alias("z"), "x", "y")
+    out = stats.moran_statistic(p, stats.moran_edges(p, 8), 8)
+    return out.select(F.round("moran_i", 9).alias("moran_i"), "moran_n_parcels")
+
+
+@query(f"""
+WITH {_POINTS_SQL}, a AS (SELECT id, CASE WHEN fy = 9 THEN '<none>' ELSE 'n' || fy END AS area, x, y FROM pts), r AS (SELECT area, (row_number() OVER (ORDER BY area) - 1) % 2 AS odd FROM (SELECT DISTINCT area FROM a)),
+o AS (SELECT id, area, row_number() OVER (PARTITION BY area ORDER BY CASE WHEN odd = 0 THEN x ELSE y END, id) - 1 AS i, count(*) OVER (PARTITION BY area) AS n FROM a JOIN r USING (area))
+SELECT id AS geo_pid, floor(i * 5 / n)::INTEGER AS fold FROM o
+""")
+def spatial_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _points(spark, sf_dir)
+    p = p.select(F.col("id").alias("geo_pid"), "fy", F.when(F.col("fy") != 9, F.concat(F.lit("n"), F.col("fy").cast("string"))).alias("neighborhood_name"), F.col("x").alias("centroid_x"), F.col("y").alias("centroid_y"))
+    return stats.spatial_folds(p, 5)
+
+
+@query("""
+WITH e AS (SELECT o_orderkey, o_totalprice - 100000 AS e, lag(o_totalprice - 100000) OVER (ORDER BY o_orderkey) AS p FROM orders)
+SELECT round(sum((e - p) * (e - p)) / sum(e * e), 9) AS durbin_watson FROM e
+""")
+def durbin_watson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") - 100000).alias("resid"))
+    return stats.durbin_watson(rows, ["o_orderkey"]).select(F.round("durbin_watson", 9).alias("durbin_watson"))
+
+
+def _simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("price_per_sqft"), F.col("l_quantity").alias("living_area"), F.col("l_tax").alias("walkability"))
+
+
+@query("""
+WITH d AS (SELECT ln(l_extendedprice) AS y, ln(l_quantity) AS x FROM lineitem)
+SELECT 'const' AS term, round(regr_intercept(y, x), 8) AS coef, round(regr_r2(y, x), 8) AS r2, count(*) AS n FROM d UNION ALL SELECT 'log_living_area', round(regr_slope(y, x), 8), round(regr_r2(y, x), 8), count(*) FROM d
+""")
+def ols_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = stats.fit(stats.design(_simple(spark, sf_dir), ["living_area"]))
+    return spark.createDataFrame([(t, round(b, 8), round(f.stats["r2"], 8), int(f.stats["n"])) for t, b in zip(f.terms, f.beta.tolist())], "term string, coef double, r2 double, n long")
+
+
+@query("""
+WITH d AS (SELECT ln(l_quantity) AS a, l_tax AS b FROM lineitem) SELECT term, round(1 / (1 - corr(a, b) * corr(a, b)), 8) AS vif FROM d, (VALUES ('log_living_area'), ('walkability')) t(term) GROUP BY term
+""")
+def vif_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = stats.fit(stats.design(_simple(spark, sf_dir), ["living_area", "walkability"]))
+    return spark.createDataFrame([(t, round(v, 8)) for t, v in f.vif], "term string, vif double")
+
+
+def _modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _price_input(spark, sf_dir).withColumn("emp_dist_m", F.col("centroid_x") + F.col("centroid_y") + 50.0)
+    years = {f"y_{2017 + i}": (F.col("fy") == y).cast("int") for i, y in enumerate(YEARS[1:])}
+    return out.withColumns(years)
+
+
+@query()
+def ols_building(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-deficient by design, so no SQL aggregate gives it; tested against a pseudoinverse."""
+    f = stats.fit(stats.design(_modelled(spark, sf_dir), stats.SPECS["building2"]))
+    return spark.createDataFrame([tuple(map(_float, r)) for r in f.coefficients], "term string, coef double, std_err double, t double, p_value double, ci_low double, ci_high double")
+
+
+def _float(v: object) -> object:
+    return v if isinstance(v, str) or v is None else float(v)
+
+
+@query()
+def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spatial cross-validation of the building model; permutations have no SQL form, tested against numpy."""
+    rows = stats.spatial_cv(_modelled(spark, sf_dir), stats.SPECS["building"], folds=5, permutations=99)
+    return spark.createDataFrame([(r["fold"], int(r["n_train"]), int(r["n_test"]), *map(_float, (r["rmse"], r["mae"], r["r2"], r["moran_i"], r["moran_p"]))) for r in rows], "fold string, n_train long, n_test long, rmse double, mae double, r2 double, moran_i double, moran_p double")
