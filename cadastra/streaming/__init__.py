@@ -1 +1 @@
-
+"""Nothing streams: all inputs are yearly files. Expanding windows over years are batch joins (``operators.spatial``)."""
