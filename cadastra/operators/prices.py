@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.functions import scalars as s
+from cadastra.session import durable
 
 from .spatial import prior_within
 
@@ -57,8 +58,9 @@ def price_panel(state: DataFrame, radius: float = LAG_RADIUS, years: Sequence[in
     have = set(df.columns)
     df = df.withColumns({c: s.number(F.col(c)) if df.schema[c].dataType.typeName() == "string" else F.col(c).cast("double") for c in NUMBERS if c in have})
     df = df.withColumn("price_per_sqft", s.price_per_sqft(F.col("assessed_total"), F.col("living_area")))
-    df = winsorized(df, YEARLY_CLIPS)
-    df = df.withColumns({c: s.clipped(F.col(c), low, high) for c, low, high in FIXED_CLIPS if c in df.columns})
+    # each pass over the years reads its input twice, the lag three times: both inputs are kept
+    df = winsorized(durable(df), YEARLY_CLIPS)
+    df = durable(df.withColumns({c: s.clipped(F.col(c), low, high) for c, low, high in FIXED_CLIPS if c in df.columns}))
     df = prior_within(df, "price_per_sqft", radius)
     df = df.select("*", *s.year_dummies(F.col("fy"), sorted(years)[1:]))
     dummies = [f"y_{y}" for y in sorted(years)[1:]]

@@ -55,24 +55,22 @@ def prior_within(rows: DataFrame, value: str, radius: float, year: str = "fy", x
     """``rows`` with mean and count of ``value`` within ``radius`` in strictly earlier years.
 
     Values are first summed by location and year and summed up over years, so that each pair of
-    locations meets once and years are looked up rather than joined: a location's rows before year t are
-    its running total at its last year below t. Rows without value or coordinates are no neighbours;
+    locations meets once. What a location sees is then summed by year, and a running total over the years
+    answers every year asked for. Rows without value or coordinates are no neighbours;
     rows without coordinates get count null and mean null, others without neighbours count 0, mean null.
     """
     known = rows.where(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     sums = known.groupBy(F.col(x).alias("rx"), F.col(y).alias("ry"), F.col(year).alias("ry_year")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     history = sums.groupBy("rx", "ry").agg(F.array_sort(F.collect_list(F.struct("ry_year", "s", "n"))).alias("history"))
-    places = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("lx"), F.col(y).alias("ly")).agg(F.array_sort(F.collect_set(year)).alias("years"))
-    met = radius_join(places, history, radius, lx="lx", ly="ly")
-    # one row for each pair of places and year of the first place, already summed over the second's years
-    by_year = met.select("lx", "ly", F.explode("years").alias("lyear"), "history")
-    before = F.filter("history", lambda h: h["ry_year"] < F.col("lyear"))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
-    total = F.aggregate(before, zero, lambda a, h: F.struct((a["s"] + h["s"]).alias("s"), (a["n"] + h["n"]).alias("n")))
-    summed = by_year.select("lx", "ly", "lyear", total.alias("t")).where("t.n > 0").groupBy("lx", "ly", "lyear").agg(F.sum("t.s").alias("_s"), F.sum("t.n").alias("_n"))
+    asked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("lx"), F.col(y).alias("ly"), F.col(year).alias("year")).distinct()
+    met = radius_join(asked.select("lx", "ly").distinct(), history, radius, lx="lx", ly="ly")
+    around = met.select("lx", "ly", F.explode("history").alias("h")).groupBy("lx", "ly", F.col("h.ry_year").alias("year")).agg(F.sum("h.s").alias("s"), F.sum("h.n").alias("n"))
+    both = around.withColumn("ask", F.lit(False)).union(asked.select("lx", "ly", "year", F.lit(None).cast("double"), F.lit(0).cast("long"), F.lit(True)))
+    earlier = Window.partitionBy("lx", "ly").orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
+    summed = both.select("lx", "ly", F.col("year").alias("lyear"), "ask", F.sum("s").over(earlier).alias("_s"), F.sum("n").over(earlier).alias("_n")).where("ask").drop("ask")
     out = rows.drop(mean_as, count_as).join(summed, (F.col(x) == F.col("lx")) & (F.col(y) == F.col("ly")) & (F.col(year) == F.col("lyear")), "left")
     here = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return out.withColumns({mean_as: F.col("_s") / F.col("_n"), count_as: F.when(here, F.coalesce("_n", F.lit(0)))}).drop("lx", "ly", "lyear", "_s", "_n")
+    return out.withColumns({mean_as: F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")), count_as: F.when(here, F.coalesce("_n", F.lit(0)))}).drop("lx", "ly", "lyear", "_s", "_n")
 
 
 def events_within(rows: DataFrame, events: DataFrame, amount: str, radius: float, x: str = "centroid_x", y: str = "centroid_y", ex: str = "centroid_x", ey: str = "centroid_y", count_as: str = "dev_activity_600m", sum_as: str = "dev_units_600m") -> DataFrame:
