@@ -136,7 +136,8 @@ def log_positive(x: Column) -> Column:
 
 def decay_score(distance: Column, longest: float, exponent: float = 1.0) -> Column:
     """100 at no distance, falling to 0 at ``longest`` and beyond; null without a distance."""
-    return clipped(100.0 * (1.0 - F.pow(F.greatest(distance / longest, F.lit(0.0)), F.lit(float(exponent)))), 0.0, 100.0)
+    score = 100.0 * (1.0 - F.pow(F.greatest(distance / longest, F.lit(0.0)), F.lit(float(exponent))))
+    return F.when(distance.isNotNull(), clipped(score, 0.0, 100.0))
 
 
 def mean_known(columns: Sequence[Column]) -> Column:

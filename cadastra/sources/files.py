@@ -62,10 +62,9 @@ def geojson(spark: SparkSession, path: str, properties: Sequence[str], feature_l
         text = F.regexp_replace(F.trim("value"), r",$", "")
         rows = lines.select("ordinal", F.try_parse_json(text).alias("f")).where(F.try_variant_get("f", "$.geometry.type", "string").isNotNull())
     else:
-        # features as text first, so that a feature and not a file is a variant
-        whole = spark.read.option("wholetext", True).text(path)
-        listed = whole.select(F.posexplode(F.from_json("value", "features array<string>")["features"]).alias("ordinal", "value"))
-        rows = listed.select(F.col("ordinal").cast("long"), F.try_parse_json("value").alias("f"))
+        whole = spark.read.text(path, wholetext=True)
+        listed = F.try_variant_get(F.try_parse_json("value"), "$.features", "array<variant>")
+        rows = whole.select(F.posexplode(listed).alias("ordinal", "f")).withColumn("ordinal", F.col("ordinal").cast("long"))
     kind = F.try_variant_get("f", "$.geometry.type", "string")
     many = F.try_variant_get("f", "$.geometry.coordinates", GEOMETRY_TYPE)
     one = F.try_variant_get("f", "$.geometry.coordinates", "array<array<array<double>>>")
@@ -91,7 +90,7 @@ def census_income(spark: SparkSession, path: str, acs_year: int) -> DataFrame:
 
     A payload that isn't such an array, or has no data row, is an error.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.from_json("value", "array<array<string>>").alias("a"))
     head = rows.select(F.col("a")[0], F.size("a")).first()
     if head is None or head[0] is None or head[1] < 2:
