@@ -40,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.shuffled(mixing.mix(table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "source", "lang", "n_chars", "copy", "copies")
+    return mixed.select("doc_id", "text", "source", "lang", "n_chars", "copy", "copies")
 
 
 OP6_SQL = f"""
@@ -55,7 +55,7 @@ terms(bucket, rate, k, term, cdf) AS (
 ),
 lists AS (SELECT bucket, list(cdf) AS cdfs FROM terms GROUP BY bucket),
 drawn AS (
-  SELECT doc_id, source, lang, n_chars, bucket,
+  SELECT doc_id, text, source, lang, n_chars, bucket,
     ('0x' || substr(md5('mix-1/0/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / {float(2**52)!r} AS u
   FROM docs
 ),
@@ -63,7 +63,7 @@ counted AS (
   SELECT d.*, len(list_filter(l.cdfs, lambda c: c <= d.u))::INTEGER AS copies
   FROM drawn d JOIN lists l ON d.bucket IS NOT DISTINCT FROM l.bucket
 )
-SELECT doc_id, source, lang, n_chars, unnest(range(copies))::INTEGER AS copy, copies FROM counted WHERE copies > 0
+SELECT doc_id, text, source, lang, n_chars, unnest(range(copies))::INTEGER AS copy, copies FROM counted WHERE copies > 0
 """
 
 
