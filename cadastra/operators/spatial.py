@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from cadastra.functions import geometry
 from cadastra.functions.geometry import GEOMETRY_TYPE
+from cadastra.session import durable
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -146,16 +147,16 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float | None =
         dx, dy = F.col("_x") - F.col("_tx"), F.col("_y") - F.col("_ty")
         met = met.withColumn("_d", F.sqrt(dx * dx + dy * dy))
         order = Window.partitionBy("_p").orderBy("_d", "_t")
-        best = met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).persist()
+        best = durable(met.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k))
         edge = F.least(F.col("_x") - (_cell(F.col("_x"), size) - 1) * size, (_cell(F.col("_x"), size) + 2) * size - F.col("_x"), F.col("_y") - (_cell(F.col("_y"), size) - 1) * size, (_cell(F.col("_y"), size) + 2) * size - F.col("_y"))
         everything = ring >= last
         sure = best.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"), F.max("_d").alias("_far"), F.first(edge).alias("_edge"))
         sure = sure.where(F.lit(everything) | ((F.col("_c") == k) & (F.col("_far") <= F.col("_edge")))).select("_p")
-        settled = best.join(sure, "_p", "left_semi").select("_p", "_t", "_d", "_k").persist()
+        settled = durable(best.join(sure, "_p", "left_semi").select("_p", "_t", "_d", "_k"))
         out = settled if out is None else out.union(settled)
         if everything:
             break
-        todo = todo.join(settled.select("_p").distinct(), "_p", "left_anti").persist()
+        todo = durable(todo.join(settled.select("_p").distinct(), "_p", "left_anti"))
         if todo.isEmpty():
             break
         ring, size = ring * 2, size * 2
