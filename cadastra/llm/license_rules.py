@@ -56,7 +56,7 @@ _RULES = [
     *_family("apache-2", "apache", f"""
         licensed under the apache license( version 2( 0)?)?
         (released|distributed|available) under (the )?apache (license|licence)( version)?( 2( 0)?)?
-        you may not use this file except in compliance with the license
+        compliance:: you may not use this file except in compliance with the license
         apache:: apache license version 2 0 january 2004
         obtain a copy of the license at http www apache org licenses license 2 0
         """, """
@@ -79,7 +79,7 @@ _RULES = [
     *_family("gpl-3", "gnu", """
         (work|program|software|file) is licensed under the gnu general public license version 3( 0)?( or later)?
         licensed under the gnu general public license version 3( 0)?( or later)?
-        either version 3 of the license or at your option any later version
+        option:: either version 3 of the license or at your option any later version
         gnu general public license as published by the free software foundation version 3
         """, """
         gnu general public license version 3( 0)?
@@ -92,7 +92,7 @@ _RULES = [
     *_family("gpl-2", "gnu", """
         (work|program|software|file) is licensed under the gnu general public license version 2( 0)?( or later)?
         licensed under the gnu general public license version 2( 0)?( or later)?
-        either version 2 of the license or at your option any later version
+        option:: either version 2 of the license or at your option any later version
         gnu general public license as published by the free software foundation version 2
         """, """
         gnu general public license version 2( 0)?
@@ -117,7 +117,7 @@ _RULES = [
         copyleft:: copyleft license
         """),
     *_family("lgpl", "lesser", f"""
-        licensed under the gnu (lesser|library) general public license( version {NUMBER})?
+        general:: licensed under the gnu (lesser|library) general public license( version {NUMBER})?
         lesser:: redistribute it and or modify it under the terms of the gnu lesser general public license
         """, f"""
         gnu lesser general public license( version {NUMBER})?
@@ -187,7 +187,7 @@ _RULES = [
         """),
     *_family("0bsd", "0bsd", "", """
         0bsd( license)?
-        zero clause bsd( license)?
+        clause:: zero clause bsd( license)?
         spdx:: spdx license identifier 0bsd
         """),
     *_family("isc", "isc", """
@@ -247,7 +247,7 @@ _RULES = [
         released under cc0
         """, """
         cc0( 1 0)?( universal)?
-        cc 0:: creative commons zero
+        zero:: creative commons zero
         public domain dedication:: cc0 public domain dedication
         spdx:: spdx license identifier cc0 1 0
         """),
@@ -376,7 +376,7 @@ _RULES = [
         spdx:: spdx license identifier ms [pr]l
         """),
     *_family("openssl", "openssl", """
-        toolkit:: this product includes software developed by the openssl project
+        openssl:: this product includes software developed by the openssl project
         """, """
         openssl license
         spdx:: spdx license identifier openssl

@@ -160,3 +160,49 @@ def test_license_scan(spark):
             got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, sorted(tuple(d) for d in r.detections))
             assert got == brute_licenses(text_of[r.doc_id]), r.doc_id
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def expansions(tree):
+    """All texts of a parsed pattern, repeats once or not at all, classes by one of their characters."""
+    texts = [""]
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            step = [chr(arg)]
+        elif name == "SUBPATTERN":
+            step = expansions(arg[3])
+        elif name == "BRANCH":
+            step = [t for branch in arg[1] for t in expansions(branch)]
+        elif name == "MAX_REPEAT":
+            step = ([""] if arg[0] == 0 else []) + expansions(arg[2])
+        elif name == "IN":
+            step = [chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+        else:
+            assert name == "NOT_LITERAL", name
+            step = ["x"]
+        texts = [a + b for a in texts for b in step]
+    return texts
+
+
+def test_each_match_of_a_rule_holds_its_keyword():
+    lost = [(r.label, r.keyword, t) for r in RULES for t in expansions(re._parser.parse(r.pattern)) if f" {r.keyword} " not in f" {t} "]
+    assert lost == []
+
+
+def ungated_licenses(text):
+    """The detections of ``brute_licenses`` without its look at keywords."""
+    norm, found = f" {text} ", []
+    for r in RULES:
+        for m in re.finditer(r.regex, norm):
+            first = norm[: m.start()].count(" ") - 1
+            found.append((first, first + m[0].count(" "), r.label, r.priority, r.order))
+    return sorted(d for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and (e[3], e[1] - e[0], -e[4]) > (d[3], d[1] - d[0], -d[4]) for e in found))
+
+
+def test_license_scan_loses_nothing_by_the_keywords(spark):
+    texts = [t for r in RULES for t in expansions(re._parser.parse(r.pattern))]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert sorted(tuple(d) for d in r.detections) == ungated_licenses(texts[r.doc_id]), texts[r.doc_id]
+    lost = [("zero clause bsd license", "0bsd"), ("creative commons zero", "cc0"), ("you may not use this file except in compliance with the license", "apache-2"), ("licensed under the gnu library general public license", "lgpl")]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(lost, "text string, doc_id string")).collect()}
+    assert all(label in labels for label, labels in got.items())
