@@ -2,8 +2,10 @@
 
 A pass draws random hyperplanes, writes each vector's signs one after another as a number and sorts
 by it, so that vectors with a long common beginning stand together. Each vector is compared with the
-next ``window`` of the order; what reaches the threshold is a link. Links of all passes are united to
-components. Vectors of one component are then counted against each other exactly, because a window
+next ``window`` of the order; what reaches the threshold is a link. The keys themselves tell how
+crowded a vector's place was and so the chance that a pair of it has escaped so far: vectors that
+aren't safe go through further rounds, with wider windows and without the others, until none is left
+or those left are cheaper compared pair by pair. Links of all passes are united to components. Vectors of one component are then counted against each other exactly, because a window
 can't hold a family that is larger than it.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +27,7 @@ WINDOW = 32
 BITS = 48
 BLOCK = 1024
 MISSED = 0.02  # of pairs at the threshold, so many may escape all passes
+WIDE, ALL, STRIP = 1024, 4096, 512  # window of the later rounds; rows of a block, and of a product, where all pairs are compared
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW) -> int:
@@ -42,12 +46,12 @@ def unit(vectors: list | pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def keys(vectors: np.ndarray, n_passes: int, seed: int, bits: int = BITS) -> np.ndarray:
-    """(vectors, passes): the signs of each pass as a number, the first sign the highest bit."""
+def keys(vectors: np.ndarray, n_passes: int, seed: int, bits: int = BITS, first: int = 0) -> np.ndarray:
+    """(vectors, passes): the signs of each pass from ``first`` on as a number, the first sign the highest bit."""
     weight = 2.0 ** np.arange(bits - 1, -1, -1)
     out = np.empty((len(vectors), n_passes), dtype=np.int64)
     for p in range(n_passes):
-        planes = np.random.default_rng([seed, p]).standard_normal((vectors.shape[1], bits))
+        planes = np.random.default_rng([seed, first + p]).standard_normal((vectors.shape[1], bits))
         out[:, p] = ((vectors @ planes >= 0) @ weight).astype(np.int64)
     return out
 
@@ -64,6 +68,26 @@ def in_window(v: np.ndarray, own: int, threshold: float, window: int) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (of each node the least of its component) after the links (i, j)."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def depths(key: np.ndarray, of: np.ndarray, own: int, window: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < ``own`` that have a row i + ``window`` in their pass, and how many first signs the two share."""
+    at = np.arange(min(own, max(0, len(key) - window)))
+    at = at[of[at] == of[at + window]]
+    return at, bits - np.frexp((key[at] ^ key[at + window]).astype(np.float64))[1]
+
+
 def dedup(df: DataFrame, threshold: float = 0.9, window: int = WINDOW, seed: int = 7, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The id, n_links, component_id and kept (id = component_id), a row for each row.
 
@@ -95,13 +119,45 @@ def dedup(df: DataFrame, threshold: float = 0.9, window: int = WINDOW, seed: int
 
 
 def window_links(nodes: DataFrame, n: int, dim: int, threshold: float, window: int, seed: int) -> DataFrame:
-    """Durable links (x, y) of ``nodes`` (node, v) over all passes."""
-    n_passes = passes_for(n, threshold, window)
+    """Durable (x, y) whose components are those of the links of ``nodes`` (node, v).
+
+    A pair at the threshold shares the first L signs of a pass with chance agree ** L, and it meets in
+    the window if no more than ``window`` rows to either side share so many with one of its ends. L is
+    measured, so crowding counts as it is. A vector is safe when the chances of its passes leave less
+    than ``MISSED``; a pair is met as surely as the safer of its ends, so safe ones may leave.
+    """
+    agree, need = 1 - math.acos(threshold) / math.pi, -math.log(MISSED)
+    left = nodes.select("node", "v", F.lit(0.0).alias("sure"))
+    found, first, n_passes = [], 0, passes_for(n, threshold, window)
+    while n:
+        met = _passes(left, first, n_passes, threshold, window, seed)
+        found.append(met.where("y is not null").select("x", "y"))
+        each = met.where("y is null").groupBy(F.col("x").alias("node"), "pass").agg(F.max("depth").alias("depth"))
+        chance = F.when(F.col("depth") < BITS, -F.log1p(-F.pow(F.lit(agree), F.col("depth") + 1))).otherwise(0.0)
+        more = each.groupBy("node").agg(F.sum(chance).alias("more"), F.count(F.lit(1)).alias("passes"))
+        # a pass in which the window held all rows leaves none
+        left = left.join(more.where(F.col("passes") == n_passes), "node").select("node", "v", (F.col("sure") + F.col("more")).alias("sure"), (F.col("more") / n_passes).alias("rate"))
+        left = durable(left.where(F.col("sure") < need))
+        soonest = F.percentile_approx(F.when(F.col("rate") > 0, (need - F.col("sure")) / F.col("rate")).otherwise(float("inf")), 0.1)
+        n, passes = left.agg(F.count(F.lit(1)), soonest).first()
+        # a row meets about n / 2 others in all pairs, and 2 * WIDE in a pass
+        if n and (n <= 4 * WIDE or (first and n <= 4 * WIDE * passes)):
+            found.append(_all_pairs(left, n, threshold))
+            break
+        first, window = first + n_passes, max(window, WIDE)
+        n_passes = int(min(16, max(4, passes or 0)))
+    return durable(reduce(DataFrame.union, found).distinct()) if found else nodes.select(F.col("node").alias("x"), F.col("node").alias("y"))
+
+
+def _passes(nodes: DataFrame, first: int, n_passes: int, threshold: float, window: int, seed: int) -> DataFrame:
+    """Durable rows of ``n_passes`` passes: (x, y) links or, in windows of ``WIDE`` and more, what unites them;
+    y null: a row ``window`` places from x in the pass shares ``depth`` first signs with it."""
+    block = max(BLOCK, window)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                at = keys(unit(pdf["v"]), n_passes, seed)
+                at = keys(unit(pdf["v"]), n_passes, seed, first=first)
                 for p in range(n_passes):
                     yield pd.DataFrame({"pass": p, "key": at[:, p], "node": pdf["node"], "v": pdf["v"]})
 
@@ -112,20 +168,55 @@ def window_links(nodes: DataFrame, n: int, dim: int, threshold: float, window: i
     sizes = spread.groupBy(part.alias("part")).count()  # a row for each partition
     before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("shift"))
     ranks = spread.withColumn("part", part).join(F.broadcast(before), "part").withColumn("rank", place + F.col("shift"))
-    chunk = F.floor(F.col("rank") / BLOCK)
-    homes = F.when((F.col("rank") % BLOCK < window) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
-    dealt = ranks.select("rank", "node", "pass", "v", F.explode(homes).alias("chunk"))
+    chunk = F.floor(F.col("rank") / block)
+    homes = F.when((F.col("rank") % block < window) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+    dealt = ranks.select("rank", "node", "pass", "key", "v", F.explode(homes).alias("chunk"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable")
-        own = int((pdf["rank"] // BLOCK == pdf["chunk"]).sum())
-        i, j = in_window(unit(pdf["v"]), own, threshold, window)
-        name, of = pdf["node"].to_numpy(), pdf["pass"].to_numpy()
-        same = (of[i] == of[j]) & (name[i] != name[j])
-        a, b = name[i[same]], name[j[same]]
-        return pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b)}).drop_duplicates()
-
-    return durable(dealt.groupBy("chunk").applyInPandas(compare, "x long, y long").distinct())
+        own = int((pdf["rank"] // block == pdf["chunk"]).sum())
+        name, of, v = pdf["node"].to_numpy(), pdf["pass"].to_numpy(), unit(pdf["v"])
+        if window < WIDE:
+            i, j = in_window(v, own, threshold, window)
+            same = (of[i] == of[j]) & (name[i] != name[j])
+            i, j = i[same], j[same]
+        else:
+            label = np.arange(len(v))
+            for lo in range(0, own, STRIP):
+                i, j = np.nonzero(v[lo : min(own, lo + STRIP)] @ v[lo:].T >= threshold)
+                same = (i < j) & (of[i + lo] == of[j + lo])
+                label = united(label, i[same] + lo, j[same] + lo)
+            i, j = np.flatnonzero(label != np.arange(len(v))), label[label != np.arange(len(v))]
+        a, b = name[i], name[j]
+        at, depth = depths(pdf["key"].to_numpy(), of, own, window)
+        ends = np.concatenate([at, at + window])
+        links = pd.DataFrame({"x": np.minimum(a, b), "y": pd.array(np.maximum(a, b), dtype="Int64")}).drop_duplicates().assign(**{"pass": 0, "depth": 0})
+        crowd = pd.DataFrame({"x": name[ends], "y": pd.array([pd.NA] * len(ends), dtype="Int64"), "pass": of[ends], "depth": np.tile(depth, 2)})
+        return pd.concat([links, crowd]).astype({"x": "int64", "pass": "int32", "depth": "int32"})
+
+    return durable(dealt.groupBy("chunk").applyInPandas(compare, "x long, y long, pass int, depth int"))
+
+
+def _all_pairs(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(x, y) that unite what links among ``nodes``; each pair of blocks is compared in a task of its own."""
+    blocks = -(-n // ALL)
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    dealt = nodes.select("node", "v", block.alias("block")).withColumn("pair", F.explode(pairs)).select("pair.*", "block", "node", "v")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", kind="stable")
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        v, name = unit(pdf["v"]), pdf["node"].to_numpy()
+        own = int((pdf["block"] == i).sum())
+        skip, label = 0 if i == j else own, np.arange(len(v))
+        for lo in range(0, own, STRIP):
+            a, b = np.nonzero(v[lo : min(own, lo + STRIP)] @ v[skip:].T >= threshold)
+            label = united(label, a + lo, b + skip)
+        at = np.flatnonzero(label != np.arange(len(v)))
+        return pd.DataFrame({"x": name[at], "y": name[label[at]]})
+
+    return dealt.groupBy("i", "j").applyInPandas(compare, "x long, y long")
 
 
 def links_within(members: DataFrame, dim: int, threshold: float) -> DataFrame:

@@ -279,6 +279,22 @@ def test_vector_dedup(spark):
     assert vector_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_vector_dedup_finds_pairs_in_a_crowd(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    wide, axis = unit(rng.standard_normal((3000, 64))), unit(rng.standard_normal(64))
+    hot = unit(np.sqrt(0.8) * axis + np.sqrt(0.2) * unit(rng.standard_normal((6000, 64))))  # mutual cosine 0.8
+    near = hot[:400] + 0.42 * unit(rng.standard_normal((400, 64)))  # cosine 0.92
+    v = unit(np.concatenate([wide, hot, near]))
+    hit = v @ v.T >= 0.9
+    np.fill_diagonal(hit, False)
+    got = {r.vec_id: r for r in vector_dedup.dedup(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(v) and all(got[i].n_links <= n for i, n in enumerate(hit.sum(axis=1)))
+    assert sum(r.n_links for r in got.values()) >= 0.98 * hit.sum()
+    planted = [i for i in range(400) if hit[3000 + i, 9000 + i]]
+    assert len(planted) > 300 and np.mean([got[3000 + i].component_id == got[9000 + i].component_id for i in planted]) >= 0.98
+
+
 def test_pipeline_decisions(spark, sf):
     from cadastra.llm import quality, toxicity
 
