@@ -10,7 +10,8 @@ Columns of more than ``width`` rows aren't multiplied: a row loses at most its n
 so the bound is lowered by that. Rows that could link through them alone are joined a second time, on
 whole sets, rarest columns first, against components instead of rows. There, and in verifying, pairs within a component found so far are
 skipped: a first round pairs each row with one candidate and with a few pivots of its min-hash groups,
-so that a large group of near copies is joined by a few pairs a row.
+so that a large group of near copies is joined by a few pairs a row. ``link_counts`` counts the links that this
+skips: all of them lie inside components, whose sets it multiplies with each other.
 """
 
 from __future__ import annotations
@@ -306,13 +307,51 @@ def _with_members(wanted: DataFrame, sets: DataFrame, comps: DataFrame) -> DataF
     return right.union(left).groupBy("c", "b", "l").applyInPandas(product, "x long, y long").distinct()
 
 
-def link(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
-    """The id, n_shingles and component_id (smallest id reachable by links, its own included), a row for each row.
+def _overlaps(rows: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each of ``others``, which of ``rows`` link with it."""
+    n = np.array(list(map(len, rows)))
+    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for h in others:
+        lo, hi = np.searchsorted(column, h, "left"), np.searchsorted(column, h, "right")
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+        yield np.bincount(row[at], minlength=len(rows)) >= least_overlap(len(h), n)
 
-    Two rows link when 100 x intersection >= 80 x union of their sets; a row without words has an empty
-    set, links with nothing and is its own component. Copies link. Repeated rows are rows. A null id is
-    larger than all others: it names a component only if there is no other. Other columns are ignored.
+
+def _links_within(sets: DataFrame, comps: DataFrame, copies: DataFrame) -> DataFrame:
+    """(fp, near): rows of other sets that a set links with.
+
+    A component is cut into blocks of about ``BLOCK`` sets, and each pair of blocks is multiplied in a task of its own.
     """
+    of = comps.select(F.col("node").alias("fp"), F.col("component").alias("c"))
+    members = durable(sets.select("fp", "hashes").join(of, "fp").join(copies, "fp"))
+    blocks = durable(members.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    placed = members.join(blocks, "c").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
+    dealt = placed.withColumn("pair", F.explode(pairs)).select("c", "pair.*", "b", "fp", "hashes", "copies")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"fp": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64")})
+        a, b = ([np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (left, right))
+        near_a, near_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        names, times = left["fp"].to_numpy(), left["copies"].to_numpy()
+        for k, hit in enumerate(_overlaps(a, b)):
+            hit &= names != right["fp"].iloc[k]
+            near_a += hit * int(right["copies"].iloc[k])
+            near_b[k] = times[hit].sum()
+        out = pd.DataFrame({"fp": right["fp"], "near": near_b})
+        return out if i == j else pd.concat([out, pd.DataFrame({"fp": left["fp"], "near": near_a})])
+
+    counted = dealt.groupBy("c", "i", "j").applyInPandas(count, "fp long, near long")
+    return counted.groupBy("fp").agg(F.sum("near").alias("near"))
+
+
+def _linked(df: DataFrame, id_column: str, text_column: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, fp, n_shingles, component_id) of each row, the sets (fp, hashes) of all that link with another, and their components."""
     spark = df.sparkSession
     key = F.xxhash64(F.col(f"in_{id_column}"), F.col("text"))
     rows = renamed(df, [*dict.fromkeys([id_column, text_column])]).withColumnRenamed(f"in_{text_column}", "text")
@@ -357,4 +396,25 @@ def link(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", wi
     joined = nodes.join(comps.join(least, "component").select(F.col("node").alias("fp"), "least"), "fp", "left")
     placed = durable(joined.select("fp", F.coalesce("least", "least_id").alias("component_id")))
     out = own.join(placed, "fp", "left")
-    return out.select(F.col(f"in_{id_column}").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(f"in_{id_column}")).alias("component_id"))
+    key = F.col(f"in_{id_column}")
+    return out.select(key.alias(id_column), "fp", F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id")), sets, comps
+
+
+def link(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
+    """The id, n_shingles and component_id (smallest id reachable by links, its own included), a row for each row.
+
+    Two rows link when 100 x intersection >= 80 x union of their sets; a row without words has an empty
+    set, links with nothing and is its own component. Copies link. Repeated rows are rows. A null id is
+    larger than all others: it names a component only if there is no other. Other columns are ignored.
+    """
+    return _linked(df, id_column, text_column, width)[0].drop("fp")
+
+
+def link_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
+    """The columns of ``link`` and n_links, the exact number of other rows that a row links with, copies included."""
+    rows, sets, comps = _linked(df, id_column, text_column, width)
+    rows = durable(rows)
+    copies = durable(rows.where("n_shingles > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("copies")))
+    near = _links_within(sets, comps, copies)
+    placed = durable(copies.join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    return rows.join(placed, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).select(id_column, "n_shingles", "component_id", "n_links")

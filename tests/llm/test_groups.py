@@ -147,6 +147,31 @@ def test_ngram_join_of_edge_rows(spark):
     assert ngram_join.link(edge_rows(spark, 0)).count() == 0
 
 
+def brute_link_counts(rows):
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set()))
+    links = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+    return Counter((key, sum(links(a, b) for j, b in enumerate(sets) if j != i)) for i, ((key, _), a) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize(("seed", "width", "block"), [(1, 32, 512), (2, 2, 4), (3, 3, 2)])
+def test_ngram_link_counts_are_brute_force(spark, monkeypatch, seed, width, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = near_copies(seed)
+    rows += [(len(rows) + i, rows[i][1]) for i in range(20)] + [(i, t) for i, t, _ in EDGES]
+    got = ngram_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == brute_link_counts(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_links(rows)
+
+
+def test_ngram_link_counts_on_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = QUERIES["op4_ngram_join_links"](spark, sf).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == brute_link_counts(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)]
