@@ -423,9 +423,9 @@ _RECT_SQL = """rect AS (SELECT p_partkey AS geo_pid, y AS fy, ((p_partkey % 25)
   FROM part, range(2016, 2020) t(y) WHERE p_partkey <= 600)"""
 
 
-def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rectangles(spark: SparkSession, sf_dir: str, parts: str = "p_partkey <= 600") -> DataFrame:
     k, y = F.col("p_partkey"), F.col("fy")
-    base = table(spark, sf_dir, "part").where("p_partkey <= 600").select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
+    base = table(spark, sf_dir, "part").where(parts).select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
     x0, y0 = ((k % 25) * 10 + (k * 7 + y * 3) % 5).cast("double"), (F.floor(k / 25) * 10 + (k * 5 + y) % 4).cast("double")
     x1, y1 = x0 + (7 + (k + y) % 5), y0 + (6 + (k * 3 + y) % 5)
     ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
@@ -448,6 +448,26 @@ def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.representative_points(_rectangles(spark, sf_dir)).select("geo_pid", "fy", "px", "py")
 
 
+_WHOLE_RECT_SQL = _RECT_SQL.replace(" WHERE p_partkey <= 600", "")
+
+
+@query(f"""
+WITH {_WHOLE_RECT_SQL}, o AS (SELECT a.geo_pid, a.fy, b.geo_pid AS prev_geo_pid, greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) / (a.w * a.h) AS share
+  FROM (SELECT *, unnest([-1, 0, 1]) AS d FROM rect) a JOIN rect b ON b.fy + 1 = a.fy AND b.geo_pid // 25 = a.geo_pid // 25 + d AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h),
+best AS (SELECT *, row_number() OVER (PARTITION BY geo_pid, fy ORDER BY round(share, 9) DESC, prev_geo_pid) AS rn FROM o)
+SELECT geo_pid, fy::INTEGER AS fy, prev_geo_pid, round(share, 6) AS overlap_share FROM best WHERE rn = 1 AND share >= 0.5
+""")
+def rect_overlay_predecessor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rect_overlay_predecessor`` over all parts; rows of the layout that are two apart never meet."""
+    out = choices.best_predecessors(_rectangles(spark, sf_dir, "true"), cell=10.0)
+    return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
+
+
+@query(f"WITH {_WHOLE_RECT_SQL} SELECT geo_pid, fy::INTEGER AS fy, x0 + w / 2 AS px, y0 + h / 2 AS py FROM rect")
+def representative_point_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.representative_points(_rectangles(spark, sf_dir, "true")).select("geo_pid", "fy", "px", "py")
+
+
 @query(f"""
 WITH {_POINTS_SQL}, d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pts a JOIN pts b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other)::INTEGER AS rank FROM d)

@@ -53,6 +53,20 @@ def values(spark, texts, f):
     return [r.v for r in rows.orderBy("i").collect()]
 
 
+@pytest.mark.parametrize(("name", "source", "key", "each"), [("rect_overlay_predecessor_whole", "part", "geo_pid", None), ("representative_point_whole", "part", "geo_pid", 4)])
+def test_whole_tables_are_read(spark, name, source, key, each):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view {source} as select * from read_parquet('{sf}/{source}.parquet')")
+    rows = q.QUERIES[name](spark, sf)
+    want = con.execute(q.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    got = rows.select(*names).collect()
+    assert plain(got) == plain(want.fetchall())
+    n = con.execute(f"select count(*) from {source}").fetchone()[0]
+    assert max(r[key] for r in got) > 600 and (each is None or len(got) == each * n)
+
+
 def test_scalars_on_edge_rows(spark):
     assert values(spark, [None, "12-3", "123456789012", "x"], s.normalize_pid) == ["0000000000", "0000000123", "123456789012", "0000000000"]
     assert values(spark, ["$1,234", "", "nan", "None", "10d", "1e3", " 5 ", ".5", None], s.clean_numeric) == [1234.0, None, None, None, None, 1000.0, 5.0, 0.5, None]
