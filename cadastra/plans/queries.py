@@ -6,6 +6,7 @@ line item, its parcel the part, its fiscal year the ship year; points come from
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -555,6 +556,30 @@ def walk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk_scores(points, nodes, edges, places, "id", cell=100.0, categories=("food", "park"))
 
 
+@query("""
+WITH side AS (SELECT ceil(sqrt(max(c_custkey) + 1))::BIGINT AS m FROM customer),
+n AS (SELECT c_custkey AS id, c_custkey % m AS cx, c_custkey // m AS cy FROM customer, side),
+src AS (SELECT 'food' AS category, cx, cy FROM n WHERE id % 211 = 5 UNION ALL SELECT 'park', cx, cy FROM n WHERE id % 307 = 9),
+d AS (SELECT id, category, min(abs(n.cx - s.cx) + abs(n.cy - s.cy)) * 100.0 AS d FROM n, src s GROUP BY ALL),
+w AS (SELECT id, max(CASE WHEN category = 'food' THEN greatest(0, 100 * (1 - d / 1600)) END) AS food, max(CASE WHEN category = 'park' THEN greatest(0, 100 * (1 - d / 1600)) END) AS park FROM d GROUP BY id)
+SELECT id, food::DOUBLE AS food_score, park::DOUBLE AS park_score, round_even((food + park) / 2, 2)::DOUBLE AS walkability FROM w
+""")
+def walk_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``walk_score`` on a grid of all customers, its side and its places growing with the table."""
+    c = table(spark, sf_dir, "customer")
+    last = c.agg(F.max("c_custkey")).first()[0] or 0
+    m, k = math.isqrt(last) + 1, F.col("c_custkey")  # keys begin at 0
+    at = c.select(F.col("c_custkey").alias("id"), (k % m).alias("cx"), F.floor(k / m).alias("cy"))
+    nodes = at.select("id", (F.col("cx") * 100.0).alias("x"), (F.col("cy") * 100.0).alias("y"))
+    step = F.array(F.when((F.col("cx") < m - 1) & (F.col("id") < last), F.col("id") + 1), F.when(F.col("id") + m <= last, F.col("id") + m))
+    one_way = at.select(F.col("id").alias("src"), F.explode(F.array_compact(step)).alias("dst"))
+    edges = one_way.union(one_way.select("dst", "src")).withColumn("length", F.lit(100.0))
+    near = nodes.select("id", (F.col("x") + 1).alias("x"), (F.col("y") + 2).alias("y"))
+    places = near.where("id % 211 = 5").select(F.lit("food").alias("category"), "x", "y").union(near.where("id % 307 = 9").select(F.lit("park"), "x", "y"))
+    points = nodes.select("id", (F.col("x") + 7).alias("x"), (F.col("y") - 9).alias("y"))
+    return graph.walk_scores(points, nodes, edges, places, "id", cell=100.0, categories=("food", "park"))
+
+
 # Statistics.
 
 
