@@ -656,5 +656,5 @@ def _float(v: object) -> object:
 @query()
 def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial cross-validation of the building model; permutations have no SQL form, tested against numpy."""
-    rows = stats.spatial_cv(_modelled(spark, sf_dir), stats.SPECS["building"], folds=5, permutations=99)
+    rows = stats.spatial_cv(_modelled(spark, sf_dir), stats.SPECS["building"], folds=5)
     return spark.createDataFrame([(r["fold"], int(r["n_train"]), int(r["n_test"]), *map(_float, (r["rmse"], r["mae"], r["r2"], r["moran_i"], r["moran_p"]))) for r in rows], "fold string, n_train long, n_test long, rmse double, mae double, r2 double, moran_i double, moran_p double")

@@ -1,5 +1,6 @@
 """Panel operators: oracle queries on the small tables, edge rows, and properties against brute force."""
 
+import inspect
 import json
 import math
 import struct
@@ -179,6 +180,20 @@ def test_tails():
     assert stats.t_quantile(0.975, 30) == pytest.approx(2.0422725, abs=1e-6)
 
 
+def test_cv_metrics_permute_as_often_as_the_reference(spark, sf, monkeypatch):
+    used, signature = [], inspect.signature(stats.spatial_cv)
+
+    def spied(*a, **b):
+        bound = signature.bind(*a, **b)
+        bound.apply_defaults()
+        used.append(bound.arguments["permutations"])
+        return [{"fold": "pooled", "n_train": 1, "n_test": 1, "rmse": 0.0, "mae": 0.0, "r2": 0.0, "moran_i": 0.0, "moran_p": 1.0}]
+
+    monkeypatch.setattr(stats, "spatial_cv", spied)
+    q.QUERIES["cv_metrics"](spark, sf)
+    assert used == [499]
+
+
 def test_folds_hold_each_parcel_once(spark):
     df = spark.createDataFrame([(f"p{i}", fy, f"n{i % 3}", float(i), float(-i)) for i in range(24) for fy in (1, 2)], "geo_pid string, fy int, neighborhood_name string, centroid_x double, centroid_y double")
     rows = stats.spatial_folds(df, 5).collect()
