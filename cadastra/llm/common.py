@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of what ``durable`` returned, once all that reads it is durable itself."""
+    for df in frames:
+        kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if kept.isDefined():
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(kept.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def renamed(df: DataFrame, columns: Sequence[str], prefix: str = "in_") -> DataFrame:
     """Only ``columns`` of ``df``, under prefixed names, so that no other column of any name is in the way."""
     return df.select(*(df[f"`{c}`"].alias(prefix + c) for c in columns))
@@ -84,7 +95,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     nodes are split because the minimum is pre-aggregated and both sides of a join have exchanges of
     their own, which may be dealt anew. Nodes without an edge don't occur.
     """
-    links = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    kept = links = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     for _ in range(limit):
         n = links.count()
         links = compact(links, n)
@@ -96,9 +107,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
         least = durable(compact(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = durable(compact(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n))
+        release(kept, least)
         least = durable(compact(down.groupBy("u").agg(F.min("v").alias("m")), n))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = durable(compact(small.union(least.select("u", "m")).distinct(), n))
+        kept = links = durable(compact(small.union(least.select("u", "m")).distinct(), n))
+        release(down, least)
     else:
         raise RuntimeError("components did not settle")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -106,6 +119,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     return nodes.union(roots)
 
 
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``label`` (of each node the least of its component) after the links (i, j)."""
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def arrow_rows(df: DataFrame, make, schema: T.StructType | str) -> DataFrame:
     """``df`` through ``make``: an iterator of record batches to an iterator of dicts of columns."""
     fields = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)

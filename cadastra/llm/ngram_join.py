@@ -6,12 +6,12 @@ number of them (the l-prefix bound). Columns are dealt to blocks; a block multip
 which gives partial overlap counts of pairs, and counts add up over blocks; pairs below the bound
 that follows from their sizes are dropped. What is left is verified on whole sets.
 
-Columns of more than ``width`` rows aren't multiplied: a row loses at most its number of such columns,
-so the bound is lowered by that. Rows that could link through them alone are joined a second time, on
-whole sets, rarest columns first, against components instead of rows. There, and in verifying, pairs within a component found so far are
-skipped: a first round pairs each row with one candidate and with a few pivots of its min-hash groups,
-so that a large group of near copies is joined by a few pairs a row. ``link_counts`` counts the links that this
-skips: all of them lie inside components, whose sets it multiplies with each other.
+A column of more than ``width`` rows isn't multiplied there: a row loses at most its number of such
+columns, so its bound is lowered by that. Rows that could link through them alone are crowded. Two
+crowded rows meet in a product of row blocks instead: crowded rows are cut into blocks by their
+least frequent-shingle hash, and a row goes to a pair of blocks only if one of its rarer entered
+columns has rows in both. Such a product keeps its pairs to itself: it gives each row its number of
+links, and of the links themselves only as many as join the rows to their components.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, components, durable, renamed, shuffle_width
+from .common import arrow_rows, components, durable, release, renamed, shuffle_width, united
 
 SHINGLE = 5
 WIDTH = 32  # rows of a column up to which all its pairs are counted; others go the second way
-KEYS, HASHES, PIVOTS = 4, 3, 4  # keys of a row, min-hashes in a key, pivots of a group of rows with one key
+BLOCK, BLOCK_BYTES = 1024, 8 << 20  # rows of a row block, and bytes of its sets
+DENSE = 50  # a column is multiplied as a dense one if it meets more than one in so many pairs of a product
 CACHE_ENTRIES = 400_000
 
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE_ENTRIES:
@@ -70,9 +70,10 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int((mixed(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes))).astype(np.int64)) if len(hashes) else 0
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """A name of 128 bits of a set, as two signed halves."""
+    halves = (mixed(hashes).sum(dtype=np.uint64) + np.uint64(len(hashes)), mixed(hashes ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64))
+    return tuple(int(np.uint64(x).astype(np.int64)) for x in halves)
 
 
 def least_overlap(a, b):
@@ -117,7 +118,7 @@ def counted_pairs(column: np.ndarray, row: np.ndarray, width: int) -> tuple[np.n
 
 
 def _sets(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, n and fp of each row."""
+    """``keep``, n, the name (f1, f2), the entered hashes and the last of them (in an order as of signed numbers) of each row."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -125,30 +126,24 @@ def _sets(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 sets = list(map(shingle_set, part.column(text).to_pylist()))
-                yield {c: part.column(c) for c in keep} | {"n": list(map(len, sets)), "fp": list(map(fingerprint, sets))}
+                names = list(map(fingerprint, sets))
+                tops = [s[: entered(len(s))] for s in sets]
+                last = [int((s[-1] ^ np.uint64(1 << 63)).astype(np.int64)) if len(s) else 0 for s in tops]
+                yield {c: part.column(c) for c in keep} | {"n": list(map(len, sets)), "f1": [f[0] for f in names], "f2": [f[1] for f in names], "entered": [s.tobytes() for s in tops], "last": last}
 
-    return arrow_rows(df.select(*keep, text), make, T.StructType([T.StructField(c, kinds[c]) for c in keep] + [T.StructField("n", T.LongType()), T.StructField("fp", T.LongType())]))
+    more = [T.StructField(c, T.BinaryType() if c == "entered" else T.LongType()) for c in ("n", "f1", "f2", "entered", "last")]
+    return arrow_rows(df.select(*keep, text), make, T.StructType([T.StructField(c, kinds[c]) for c in keep] + more))
 
 
-def _incidences(df: DataFrame, text: str, blocks: int) -> DataFrame:
+def _incidences(nodes: DataFrame, blocks: int) -> DataFrame:
     """Rows of a block: its columns' hashes, each with the place of its set in the row's list of sets."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                names, parts = [], []
-                for piece in range(lo, min(lo + 4096, batch.num_rows), 256):
-                    for t in batch.slice(piece, min(256, lo + 4096 - piece)).column(0).to_pylist():
-                        s = shingle_set(t)
-                        if len(s):
-                            names.append(fingerprint(s))
-                            parts.append(s[: entered(len(s))])
-                if not names:
-                    continue
-                # copies within the part are one row
-                _, one = np.unique(names, return_index=True)
-                names = np.array(names, np.int64)[one]
-                parts = [parts[i] for i in one]
+                part = batch.slice(lo, 4096)
+                names = part.column(0).to_numpy()
+                parts = [np.frombuffer(x, np.uint64) for x in part.column(1).to_pylist()]
                 h = np.concatenate(parts)
                 i = np.repeat(np.arange(len(names), dtype=np.uint16), list(map(len, parts)))
                 block = ((h & np.uint64(0xFFFFFFFF)) * np.uint64(blocks)) >> np.uint64(32)
@@ -165,7 +160,7 @@ def _incidences(df: DataFrame, text: str, blocks: int) -> DataFrame:
                         out["names"].append(names[used].tobytes())
                 yield out
 
-    return arrow_rows(df.select(text), make, "block int, hashes binary, places binary, names binary")
+    return arrow_rows(nodes.select("node", "entered"), make, "block int, hashes binary, places binary, names binary")
 
 
 def _multiply(incidences: DataFrame, width: int) -> DataFrame:
@@ -182,239 +177,188 @@ def _multiply(incidences: DataFrame, width: int) -> DataFrame:
     return incidences.groupBy("block").applyInPandas(block, "x long, y long, c long")
 
 
-def _keys(s: np.ndarray, salts: np.ndarray) -> list[int]:
-    """Numbers that two sets have in common with a chance of the ``HASHES``-th power of their similarity."""
-    if not len(s):
-        return []
-    least = np.array([mixed(s ^ salt).min() for salt in salts]).reshape(KEYS, HASHES)
-    return mixed((least * np.array([1, 31, 961], np.uint64)[:HASHES]).sum(axis=1, dtype=np.uint64)).astype(np.int64).tolist()
-
-
-def _whole_sets(df: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(fp, n, hashes, pivot keys) of the ``wanted`` (key, fp)."""
+def _whole_sets(rows: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(node, hashes) of the ``wanted`` (node, _key); ``repeated``: several rows may have a key."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        salts = mixed(np.arange(1, KEYS * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = list(map(shingle_set, part.column(0).to_pylist()))
-                least = [_keys(s, salts) for s in sets]
-                yield {"fp": list(map(fingerprint, sets)), "n": list(map(len, sets)), "hashes": [s.tobytes() for s in sets], "least": least, "want": part.column(1)}
+                yield {"node": part.column(0), "hashes": [shingle_set(t).tobytes() for t in part.column(1).to_pylist()]}
 
-    rows = df.join(wanted, "_key").select(text, F.col("fp").alias("want"))
-    return arrow_rows(rows, make, "fp long, n long, hashes binary, least array<long>, want long").where("fp = want").drop("want").dropDuplicates(["fp"])
+    texts = rows.join(wanted, "_key").select("node", "text")
+    sets = arrow_rows(texts, make, "node long, hashes binary")
+    return sets.dropDuplicates(["node"]) if repeated else sets
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose whole sets link."""
-    a = sets.select(F.col("fp").alias("x"), F.col("hashes").alias("a"))
-    b = sets.select(F.col("fp").alias("y"), F.col("hashes").alias("b"))
+    a = sets.select(F.col("node").alias("x"), F.col("hashes").alias("a"))
+    b = sets.select(F.col("node").alias("y"), F.col("hashes").alias("b"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             keep = []
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for p, q in zip(part.column(2), part.column(3)):
-                    p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                    keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= least_overlap(len(p), len(q)))
+            for p, q in zip(batch.column(2), batch.column(3)):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
+                keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= least_overlap(len(p), len(q)))
             yield {"x": batch.column(0).filter(pa.array(keep, pa.bool_())), "y": batch.column(1).filter(pa.array(keep, pa.bool_()))}
 
     both = pairs.select("x", "y").join(a, "x").join(b, "y").select("x", "y", "a", "b")
     return arrow_rows(both, make, "x long, y long")
 
 
-def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't in one component of ``of`` (node, component)."""
-    x = of.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    y = of.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    joined = pairs.join(x, "x", "left").join(y, "y", "left")
-    return joined.where(F.coalesce(F.col("cx"), F.col("x")) != F.coalesce(F.col("cy"), F.col("y"))).select(*pairs.columns)
-
-
-def _between(links: DataFrame, of: DataFrame) -> DataFrame:
-    """Links as pairs of components; a node in none is one of its own."""
-    x = of.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    y = of.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-    joined = links.join(x, "x", "left").join(y, "y", "left")
-    return joined.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).distinct()
-
-
-def _second(sets: DataFrame, comps: DataFrame, width: int) -> DataFrame:
-    """(x, c): a set of ``sets`` and another component with which it may link, by prefixes with the rarest columns first.
-
-    A column's rows are first summed up by component, so that a column of one family is one row. A row
-    outside the column's largest component meets the column's components, not their rows.
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """(len(a), len(b)): how many hashes each two sets share; columns of many of the pairs as a dense product, the others one by one."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for sets in (a, b):
+        column, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], row[order]))
+    common = np.intersect1d(*(np.unique(column) for column, _ in sides), assume_unique=True)
+    if not len(common):
+        return out
+    placed = []
+    for column, row in sides:
+        at = np.minimum(np.searchsorted(common, column), len(common) - 1)
+        held = common[at] == column
+        placed.append((at[held], row[held], np.bincount(at[held], minlength=len(common))))
+    (ka, ra, na), (kb, rb, nb) = placed
+    dense = na * nb * DENSE > out.size
+    which = np.flatnonzero(dense)
+    for lo in range(0, len(which), 2048):
+        chunk = which[lo : lo + 2048]
+        slot = np.full(len(common), -1)
+        slot[chunk] = np.arange(len(chunk))
+        m = []
+        for k, r, size in ((ka, ra, len(a)), (kb, rb, len(b))):
+            mine = slot[k] >= 0
+            m.append(np.zeros((size, len(chunk)), np.float32))
+            m[-1][r[mine], slot[k[mine]]] = 1
+        out += m[0] @ m[1].T
+    thin = np.flatnonzero(~dense[ka])
+    starts = np.cumsum(nb) - nb
+    ends = np.cumsum(nb[ka[thin]])
+    for lo in range(0, int(ends[-1]) if len(thin) else 0, 4_000_000):
+        i = thin[np.searchsorted(ends, lo, "right") : np.searchsorted(ends, lo + 4_000_000, "right")]
+        times = nb[ka[i]]
+        j = np.repeat(starts[ka[i]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        out += np.bincount(np.repeat(ra[i], times) * len(b) + rb[j], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _row_blocks(crowded: DataFrame, width: int) -> DataFrame:
+    """(node, mine, i, j): the pairs of row blocks i <= j, one of them its own, to which a crowded row goes.
+
+    Two linking rows share ``shared_least`` of their entered columns, so each may leave out one less of
+    its most frequent ones: the rarest that they share stays in both. Blocks follow the least of a row's
+    frequent hashes, as near copies mostly agree in it; large blocks are split, small ones put together.
+    Names of blocks are hashes: where two are equal, the blocks are one.
     """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for fp, n, hashes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for node, n, hashes in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 h = np.frombuffer(hashes, np.int64)
-                yield {"fp": np.full(len(h), fp), "n": np.full(len(h), n), "h": h}
+                yield {"node": np.full(len(h), node), "n": np.full(len(h), n), "h": h}
 
-    rows = arrow_rows(sets.select("fp", "n", "hashes"), explode, "fp long, n long, h long")
+    rows = arrow_rows(crowded.select("node", "n", "entered"), explode, "node long, n long, h long")
     common = durable(rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1))
-    # columns of one row only take a place in its prefix
-    order = Window.partitionBy("fp").orderBy(F.when(F.col("df") > width, F.col("df")).otherwise(0), "h")
-    placed = rows.join(common, "h", "left").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1).where("df is not null")
-    of = comps.select(F.col("node").alias("fp"), "component")
-    placed = durable(placed.join(of, "fp", "left").withColumn("c", F.coalesce("component", "fp")).select("h", "fp", "n", (F.col("n") - F.col("pos")).alias("rest"), "c"))
-    held = placed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("most_rest"))
-    held = durable(held)
-    top = durable(held.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("h", "top"))
-    x = placed.join(top, "h").where("c <> top").select("h", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rx"), F.col("c").alias("cx"))
-    least_n = F.greatest("least_n", F.floor((4 * F.col("nx") + 4) / 5))
-    fits = (5 * F.col("nx") >= 4 * F.col("least_n")) & (5 * F.col("most_n") >= 4 * F.col("nx"))
-    bound = F.floor((4 * (F.col("nx") + least_n) + 8) / 9)
-    return x.join(held, "h").where((F.col("cx") != F.col("c")) & fits & (F.least("rx", "most_rest") + 1 >= bound)).select("x", "cx", "c").distinct()
-
-
-BLOCK = 512
-
-
-def _with_members(wanted: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(x, y): the component cx of a set that links with a member of the component c, for each ``wanted`` (x, cx, c).
-
-    Products of blocks: members of a component in blocks of about ``BLOCK``, and the sets that ask for it too.
-    """
-    of = comps.select(F.col("node").alias("fp"), F.col("component").alias("c"))
-    asked = durable(wanted.groupBy("c").agg(F.count(F.lit(1)).alias("asking")))
-    member = sets.select("fp", "hashes").join(of, "fp", "left").withColumn("c", F.coalesce("c", "fp"))
-    sizes = durable(member.groupBy("c").agg(F.count(F.lit(1)).alias("members")).join(asked, "c").select("c", F.ceil(F.col("members") / BLOCK).alias("bs"), F.ceil(F.col("asking") / BLOCK).alias("ls")))
-    right = member.join(sizes, "c").select("c", F.pmod(F.xxhash64("fp"), F.col("bs")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ls") - 1)).alias("l"), F.lit(0).cast("long").alias("cx"), "hashes", F.lit(False).alias("asks"))
-    left = wanted.join(sets.select(F.col("fp").alias("x"), "hashes"), "x").join(sizes, "c").select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bs") - 1)).alias("b"), F.pmod(F.xxhash64("x"), F.col("ls")).alias("l"), "cx", "hashes", F.lit(True).alias("asks"))
+    left_out = F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10)
+    order = Window.partitionBy("node").orderBy(F.desc("df"), "h")
+    placed = rows.join(common, "h").withColumn("pos", F.row_number().over(order)).withColumn("kept", F.col("pos") > left_out)
+    placed = durable(placed.select("node", "n", "h", "df", "kept"))
+    hot = F.min(F.when(F.col("df") > width, F.col("h")))
+    keyed = durable(placed.groupBy("node").agg(F.coalesce(hot, F.min("h")).alias("key"), (8 * F.first("n")).alias("bytes")))
+    sizes = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("parts"), F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    sizes = durable(sizes)
+    n, size = sizes.where("parts = 1").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    together = int(max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES)))
+    mine = F.when(F.col("parts") > 1, F.xxhash64("key", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("key"), F.lit(together)))
+    homes = durable(keyed.select("node", "key").join(sizes.select("key", "parts"), "key").select("node", mine.alias("mine")))
+
+    kept = placed.where("kept").select("node", "h").join(homes, "node")
+    columns = durable(kept.groupBy("h").agg(F.collect_set("mine").alias("blocks")))
+    asked = kept.join(columns, "h").groupBy("node", "mine").agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
+    return asked.select("node", "mine", F.explode("blocks").alias("other")).select("node", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
+def _block_links(dealt: DataFrame, sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """(node, near, root): so many rows of other crowded sets link with a set, and a set that its component in the product holds."""
 
     def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = pdf["asks"].to_numpy(bool)
-        rows = [np.frombuffer(h, np.uint64) for h in pdf["hashes"][~asks]]
-        found = set()
-        if rows:
-            n = np.array(list(map(len, rows)))
-            column = np.concatenate(rows)
-            row = np.repeat(np.arange(len(rows)), n)
-            order = np.argsort(column, kind="stable")
-            column, row = column[order], row[order]
-            for cx, hashes in zip(pdf["cx"][asks], pdf["hashes"][asks]):
-                h = np.frombuffer(hashes, np.uint64)
-                lo, hi = np.searchsorted(column, h, "left"), np.searchsorted(column, h, "right")
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-                if (np.bincount(row[at], minlength=len(rows)) >= least_overlap(len(h), n)).any():
-                    found.add(int(cx))
-        return pd.DataFrame({"x": sorted(found), "y": pdf["c"].iloc[0]}, columns=["x", "y"]).astype("int64")
-
-    return right.union(left).groupBy("c", "b", "l").applyInPandas(product, "x long, y long").distinct()
-
-
-def _overlaps(rows: list[np.ndarray], others: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each of ``others``, which of ``rows`` link with it."""
-    n = np.array(list(map(len, rows)))
-    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), n)
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    for h in others:
-        lo, hi = np.searchsorted(column, h, "left"), np.searchsorted(column, h, "right")
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
-        yield np.bincount(row[at], minlength=len(rows)) >= least_overlap(len(h), n)
-
-
-def _links_within(sets: DataFrame, comps: DataFrame, copies: DataFrame) -> DataFrame:
-    """(fp, near): rows of other sets that a set links with.
-
-    A component is cut into blocks of about ``BLOCK`` sets, and each pair of blocks is multiplied in a task of its own.
-    """
-    of = comps.select(F.col("node").alias("fp"), F.col("component").alias("c"))
-    members = durable(sets.select("fp", "hashes").join(of, "fp").join(copies, "fp"))
-    blocks = durable(members.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
-    placed = members.join(blocks, "c").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("i"), F.greatest("b", k).alias("j")))
-    dealt = placed.withColumn("pair", F.explode(pairs)).select("c", "pair.*", "b", "fp", "hashes", "copies")
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
+        left, right = pdf[pdf["mine"] == i], pdf[pdf["mine"] == j]
         if not len(left) or not len(right):
-            return pd.DataFrame({"fp": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64")})
+            return pd.DataFrame({"node": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
         a, b = ([np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (left, right))
-        near_a, near_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        names, times = left["fp"].to_numpy(), left["copies"].to_numpy()
-        for k, hit in enumerate(_overlaps(a, b)):
-            hit &= names != right["fp"].iloc[k]
-            near_a += hit * int(right["copies"].iloc[k])
-            near_b[k] = times[hit].sum()
-        out = pd.DataFrame({"fp": right["fp"], "near": near_b})
-        return out if i == j else pd.concat([out, pd.DataFrame({"fp": left["fp"], "near": near_a})])
-
-    counted = dealt.groupBy("c", "i", "j").applyInPandas(count, "fp long, near long")
-    return counted.groupBy("fp").agg(F.sum("near").alias("near"))
-
-
-def _linked(df: DataFrame, id_column: str, text_column: str, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, fp, n_shingles, component_id) of each row, the sets (fp, hashes) of all that link with another, and their components."""
-    spark = df.sparkSession
-    key = F.xxhash64(F.col(f"in_{id_column}"), F.col("text"))
-    rows = renamed(df, [*dict.fromkeys([id_column, text_column])]).withColumnRenamed(f"in_{text_column}", "text")
-    rows = rows.select(F.col(f"in_{id_column}"), "text", key.alias("_key"))
-    own = durable(_sets(rows, "text", [f"in_{id_column}", "_key"]))
-    nodes = own.where("n > 0").groupBy("fp").agg(F.min(f"in_{id_column}").alias("least_id"), F.min("_key").alias("_key"), F.first("n").alias("n"))
-
-    product = durable(_multiply(_incidences(rows, "text", shuffle_width(spark)), width))
-    hot = product.where("y is null").groupBy("x").agg(F.sum("c").alias("hot")).withColumnRenamed("x", "fp")
-    sized = durable(nodes.join(hot, "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(0))))
-    x = sized.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("hot").alias("hx"))
-    y = sized.select(F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("hot").alias("hy"))
-    overlaps = product.where("y is not null").groupBy("x", "y").agg(F.sum("c").alias("c"))
-    bound = 1 + F.floor(F.least("nx", "ny") / 10) - F.least("hx", "hy")
-    sizes_fit = (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")) & (F.col("c") >= bound)
-    pairs = durable(overlaps.join(x, "x").join(y, "y").where(sizes_fit).select("x", "y"))
-    # a smaller set that it may link with has at least 0.8 n
-    crowded = sized.where(F.col("hot") >= 1 + F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10)).select("fp")
-
-    wanted = pairs.select(F.col("x").alias("fp")).union(pairs.select("y")).union(crowded).distinct()
-    sets = durable(_whole_sets(rows, "text", wanted.join(nodes, "fp").select("_key", "fp")))
-
-    keyed = sets.select("fp", F.posexplode("least").alias("k", "m"))
-    slot = F.pmod(F.xxhash64("fp", "k"), F.lit(PIVOTS))
-    pivots = keyed.groupBy("k", "m", slot.alias("slot")).agg(F.min("fp").alias("y"))
-    starred = keyed.join(pivots, ["k", "m"]).select(F.col("fp").alias("x"), "y").where("x <> y")
-    one = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    first = durable(starred.union(one).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    comps = durable(components(_verified(first, sets), "x", "y"))
-
-    dense = sets.join(crowded, "fp", "left_semi")
-    # what is linked only now joins whole components
-    late = _with_members(durable(_second(dense, comps, width)), sets, comps)
-    more = durable(_between(_verified(_apart(pairs, comps), sets), comps).union(late).distinct())
-    if not more.isEmpty():
-        again = components(more, "x", "y").select(F.col("node").alias("component"), F.col("component").alias("c"))
-        alone = more.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("component"))
-        comps = durable(comps.union(alone).join(again, "component", "left").select("node", F.coalesce("c", "component").alias("component")))
-
-    named = comps.join(nodes.select(F.col("fp").alias("node"), "least_id"), "node")
-    least = named.groupBy("component").agg(F.min("least_id").alias("least"))
-    joined = nodes.join(comps.join(least, "component").select(F.col("node").alias("fp"), "least"), "fp", "left")
-    placed = durable(joined.select("fp", F.coalesce("least", "least_id").alias("component_id")))
-    out = own.join(placed, "fp", "left")
-    key = F.col(f"in_{id_column}")
-    return out.select(key.alias(id_column), "fp", F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id")), sets, comps
+        na, nb = (np.array(list(map(len, side)), np.int64) for side in (a, b))
+        name = left["node"].to_numpy() if i == j else np.concatenate([left["node"], right["node"]])
+        hit = overlaps(a, b) >= least_overlap(na[:, None], nb[None, :])
+        if i == j:
+            np.fill_diagonal(hit, False)
+        near = hit @ right["copies"].to_numpy(np.int64)
+        if i != j:
+            near = np.concatenate([near, left["copies"].to_numpy(np.int64) @ hit])
+        x, y = np.nonzero(hit)
+        label = united(np.arange(len(name)), x, y if i == j else y + len(a))
+        some = near > 0
+        return pd.DataFrame({"node": name[some], "near": near[some], "root": name[label[some]]})
+
+    rows = dealt.join(sets, "node").join(copies, "node")
+    return rows.groupBy("i", "j").applyInPandas(product, "node long, near long, root long")
 
 
 def link(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
-    """The id, n_shingles and component_id (smallest id reachable by links, its own included), a row for each row.
+    """The id, n_shingles, component_id (smallest id reachable by links, its own included) and n_links, a row for each row.
 
     Two rows link when 100 x intersection >= 80 x union of their sets; a row without words has an empty
-    set, links with nothing and is its own component. Copies link. Repeated rows are rows. A null id is
-    larger than all others: it names a component only if there is no other. Other columns are ignored.
+    set, links with nothing and is its own component. Copies link. n_links counts the other rows that a
+    row links with, copies and rows of linking sets alike. Repeated rows are rows. A null id is larger
+    than all others: it names a component only if there is no other. Texts of any length enter whole. An
+    empty table gives an empty table. Other columns are ignored.
     """
-    return _linked(df, id_column, text_column, width)[0].drop("fp")
-
-
-def link_counts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
-    """The columns of ``link`` and n_links, the exact number of other rows that a row links with, copies included."""
-    rows, sets, comps = _linked(df, id_column, text_column, width)
-    rows = durable(rows)
-    copies = durable(rows.where("n_shingles > 0").groupBy("fp").agg(F.count(F.lit(1)).alias("copies")))
-    near = _links_within(sets, comps, copies)
-    placed = durable(copies.join(near, "fp", "left").select("fp", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
-    return rows.join(placed, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))).select(id_column, "n_shingles", "component_id", "n_links")
+    spark = df.sparkSession
+    key = F.col(f"in_{id_column}")
+    rows = renamed(df, [*dict.fromkeys([id_column, text_column])]).withColumnRenamed(f"in_{text_column}", "text")
+    rows = rows.select(key, "text", F.xxhash64(key, F.col("text")).alias("_key"))
+    entering = durable(_sets(rows, "text", [f"in_{id_column}", "_key"]))
+    nodes = entering.where("n > 0").groupBy("f1", "f2").agg(F.min(key).alias("least_id"), F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("last").alias("last"), F.first("entered").alias("entered"), F.count(F.lit(1)).alias("copies"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
+    own = durable(entering.drop("entered", "last"))
+    release(entering)
+    product = durable(_multiply(_incidences(nodes, shuffle_width(spark)), width))
+
+    hot = product.where("y is null").groupBy(F.col("x").alias("node")).agg(F.sum("c").alias("hot"))
+    # a smaller set that a row may link with has at least 0.8 n
+    alone = F.floor(F.floor((4 * F.col("n") + 4) / 5) / 10)
+    sized = durable(nodes.select("node", "_key", "n", "last").join(hot, "node", "left").withColumn("hot", F.coalesce("hot", F.lit(0))).withColumn("crowded", F.col("hot") > alone))
+    x, y = (sized.select(F.col("node").alias(s), *(F.col(c).alias(c + s) for c in ("n", "last", "hot", "crowded"))) for s in "xy")
+    counted = product.where("y is not null").groupBy("x", "y").agg(F.sum("c").alias("c"))
+    held = F.col("c") + F.least("hotx", "hoty")
+    # up to the smaller of the last entered hashes, all that two sets share is counted
+    beyond = lambda s: F.col(f"n{s}") - F.least(F.col(f"n{s}"), F.col(f"n{s}") - F.floor((4 * F.col(f"n{s}") + 4) / 5) + 1 + F.floor(F.col(f"n{s}") / 10))
+    rest = F.when(F.col("lastx") <= F.col("lasty"), beyond("x")).otherwise(beyond("y"))
+    fits = (5 * F.least("nx", "ny") >= 4 * F.greatest("nx", "ny")) & (held >= 1 + F.floor(F.least("nx", "ny") / 10)) & (held + rest >= F.floor((4 * (F.col("nx") + F.col("ny")) + 8) / 9))
+    pairs = durable(counted.join(x, "x").join(y, "y").where(fits & ~(F.col("crowdedx") & F.col("crowdedy"))).select("x", "y"))
+    release(product)
+
+    dealt = durable(_row_blocks(nodes.join(sized.where("crowded").select("node"), "node", "left_semi"), width))
+    wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).union(dealt.select("node")).distinct()
+    repeated = not own.where("n > 0").groupBy("_key").count().where("count > 1").isEmpty()
+    sets = durable(_whole_sets(rows, wanted.join(sized.select("node", "_key"), "node"), repeated))
+    copies = nodes.select("node", "copies")
+    one_by_one = durable(_verified(pairs, sets))
+    in_blocks = durable(_block_links(dealt, sets, copies))
+    release(sets, pairs, dealt)
+
+    comps = durable(components(one_by_one.union(in_blocks.select("node", "root")), "x", "y"))
+    both = one_by_one.union(one_by_one.select("y", "x")).toDF("node", "other")
+    near = both.join(copies.toDF("other", "near"), "other").select("node", "near").union(in_blocks.select("node", "near"))
+    near = near.groupBy("node").agg(F.sum("near").alias("near"))
+    least = comps.join(nodes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("least"))
+    joined = comps.join(least, "component").select("node", "least").join(near, "node", "left")
+    placed = durable(nodes.select("node", "f1", "f2", "least_id", "copies").join(joined, "node", "left").select("f1", "f2", F.coalesce("least", "least_id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")))
+    out = own.where("n > 0").select(key, "n", "f1", "f2").join(placed, ["f1", "f2"]).select(key.alias(id_column), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    return out.union(own.where("n = 0").select(key, "n", key, F.lit(0).cast("long")))

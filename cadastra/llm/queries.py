@@ -33,11 +33,6 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
-def op4_ngram_join_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op4_ngram_join`` with the number of links of each row."""
-    return ngram_join.link_counts(table(spark, sf_dir, "documents"))
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -135,7 +130,6 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_ngram_join": op4_ngram_join,
-    "op4_ngram_join_links": op4_ngram_join_links,
     "op5_toxicity": op5_toxicity,
     "op6_mix_sources": op6_mix_sources,
     "op7_license_scan": op7_license_scan,

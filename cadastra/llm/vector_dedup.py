@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, durable, renamed
+from .common import components, durable, renamed, united
 
 WINDOW = 32
 BITS = 48
@@ -68,19 +68,6 @@ def in_window(v: np.ndarray, own: int, threshold: float, window: int) -> tuple[n
     return np.concatenate(left), np.concatenate(right)
 
 
-def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``label`` (of each node the least of its component) after the links (i, j)."""
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return label
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label[label] != label).any():
-            label = label[label]
-
-
 def depths(key: np.ndarray, of: np.ndarray, own: int, window: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Rows i < ``own`` that have a row i + ``window`` in their pass, and how many first signs the two share."""
     at = np.arange(min(own, max(0, len(key) - window)))

@@ -89,11 +89,12 @@ def test_placement_respects_every_capacity(counts, score, documents, attention):
 
 
 def brute_links(rows):
+    """(id, size of its set, component, links) of each row."""
     sets = []
     for key, text in rows:
         words = (text or "").encode().lower().split()
         sets.append((key, {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())))
-    parent = list(range(len(sets)))
+    parent, near = list(range(len(sets))), [0] * len(sets)
 
     def find(a):
         while parent[a] != a:
@@ -105,11 +106,13 @@ def brute_links(rows):
             b = sets[j][1]
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 parent[find(i)] = find(j)
+                near[i] += 1
+                near[j] += 1
     least = {}
     for i, (key, _) in enumerate(sets):
         if key is not None:
             least[find(i)] = min(key, least.get(find(i), key))
-    return Counter((key, len(s), least.get(find(i), key)) for i, (key, s) in enumerate(sets))
+    return Counter((key, len(s), least.get(find(i), key), near[i]) for i, (key, s) in enumerate(sets))
 
 
 def near_copies(seed, families=8, members=9):
@@ -128,13 +131,26 @@ def near_copies(seed, families=8, members=9):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "width"), [(1, 32), (2, 2), (3, 3)])
-def test_ngram_join_is_brute_force(spark, seed, width):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize(("width", "block"), [(32, 1024), (2, 4), (3, 2)])
+def test_ngram_join_is_brute_force(spark, monkeypatch, seed, width, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = near_copies(seed)
+    rows += [(len(rows) + i, rows[i][1]) for i in range(20)] + [(i, t) for i, t, _ in EDGES]
     got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()
     assert Counter(map(tuple, got)) == brute_links(rows)
 
 
+def test_ngram_join_of_a_family_that_hardly_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(["x", "y", "z"]) if rng.random() < rng.choice([0.005, 0.03]) else w for w in base) for _ in range(150)]
+    rows = [(i, t + f" {i} end" * (i % 3)) for i, t in enumerate(texts)]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string"), width=8).collect()
+    assert Counter(map(tuple, got)) == brute_links(rows)
+
+
 def test_ngram_join_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = QUERIES["op4_ngram_join"](spark, sf).collect()
@@ -147,29 +163,12 @@ def test_ngram_join_of_edge_rows(spark):
     assert ngram_join.link(edge_rows(spark, 0)).count() == 0
 
 
-def brute_link_counts(rows):
-    sets = []
-    for _, text in rows:
-        words = (text or "").encode().lower().split()
-        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set()))
-    links = lambda a, b: bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
-    return Counter((key, sum(links(a, b) for j, b in enumerate(sets) if j != i)) for i, ((key, _), a) in enumerate(zip(rows, sets)))
-
-
-@pytest.mark.parametrize(("seed", "width", "block"), [(1, 32, 512), (2, 2, 4), (3, 3, 2)])
-def test_ngram_link_counts_are_brute_force(spark, monkeypatch, seed, width, block):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
-    rows = near_copies(seed)
-    rows += [(len(rows) + i, rows[i][1]) for i in range(20)] + [(i, t) for i, t, _ in EDGES]
-    got = ngram_join.link_counts(spark.createDataFrame(rows, "doc_id long, text string"), width=width).collect()
-    assert Counter((r.doc_id, r.n_links) for r in got) == brute_link_counts(rows)
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_links(rows)
-
-
-def test_ngram_link_counts_on_documents(spark, sf):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = QUERIES["op4_ngram_join_links"](spark, sf).collect()
-    assert Counter((r.doc_id, r.n_links) for r in got) == brute_link_counts(rows)
+@pytest.mark.parametrize("dense", [1, 50, 10**9])
+def test_overlaps_are_intersections(monkeypatch, dense):
+    monkeypatch.setattr(ngram_join, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 1 + 40 * (i % 4), 30).astype(np.uint64)) for i in range(n)] for n in (23, 17))
+    assert (ngram_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
 
 
 def test_components(spark):
@@ -337,7 +336,7 @@ def test_pipeline_decisions(spark, sf):
             good = {r.doc_id for r in quality.judge(rows, quality.fit(rows, labels)).where("kept").collect()}
             assert after == Counter(r for r in before.elements() if r.doc_id in good)
         elif name == "n-gram near-duplicates":
-            stays = {c for _, _, c in brute_links([(r.doc_id, r.text) for r in before])}
+            stays = {c for _, _, c, _ in brute_links([(r.doc_id, r.text) for r in before])}
             assert after == Counter(r for r in before if r.doc_id in stays)
         else:
             assert set(after) <= set(before)
