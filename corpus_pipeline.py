@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadastra.llm import mixing, ngram_join, quality, queries, toxicity
 from cadastra.llm.common import durable, table
@@ -37,14 +36,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of n-gram links: that of the smallest id. Repeated rows count as copies."""
-    row = F.struct(F.col("doc_id"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), row.alias("row"), F.col("text"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # a row's name is its id and 128 bits of all its columns
+    row = F.struct("doc_id", F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns))
+    marked = docs.select(F.struct(*columns).alias("doc"), row.alias("row"), F.col("text"))
     linked = ngram_join.link(marked, id_column="row")
-    # repeated rows of a text have one id; rows without words are linked with nothing
-    stays = linked.where(F.col("row") == F.col("component_id")).select(F.xxhash64("row").alias("key")).distinct()
-    kept = marked.select("doc", F.xxhash64("row").alias("key")).join(stays, "key", "left_semi")
-    first = kept.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("n = 1")
-    return first.select("doc.*")
+    # rows without words are linked with nothing
+    stays = linked.where(F.col("row") == F.col("component_id")).select("row").distinct()
+    kept = marked.select("doc", "row").join(stays, marked["row"].eqNullSafe(stays["row"]), "left_semi")
+    # rows equal in all columns are one
+    return kept.groupBy("row").agg(F.first("doc").alias("doc")).select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
