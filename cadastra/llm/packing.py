@@ -135,29 +135,30 @@ def pack(pieces: DataFrame, how: Packing = Packing(), length: str = "length", or
     return out.select(*pieces.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
-_encoders: dict[tuple[str, str, str], tuple[tiktoken.Encoding, Tokenizer]] = {}
+_encoders: dict[tuple[str, str, str], tuple[tiktoken.Encoding, Tokenizer, list[str]]] = {}
 
 
 def encode(text: str, ranks_path: str, json_path: str, pattern: str) -> np.ndarray:
-    """Ids of the byte-level vocabulary, special strings being ordinary text.
+    """Ids of the byte-level vocabulary, special strings inside the text as the JSON file's library takes them.
 
-    Both files hold one vocabulary. The rank file's library is several times faster; what it can't
-    take (its regex gives up on very long runs of white space) the other encodes.
+    Both files hold one vocabulary. The rank file's library is several times faster; texts with a special
+    string, and what it can't take (its regex gives up on very long runs of white space), the other encodes.
     """
     key = (ranks_path, json_path, pattern)
     if key not in _encoders:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         plain = Tokenizer.from_file(json_path)
-        plain.encode_special_tokens = True
-        _encoders[key] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), plain)
-    fast, plain = _encoders[key]
-    try:
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
-    except BaseException as e:  # the library's panics aren't Exceptions
-        if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
-            raise
-        return np.asarray(plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        added = [t.content for t in plain.get_added_tokens_decoder().values()]
+        _encoders[key] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), plain, added)
+    fast, plain, added = _encoders[key]
+    if not any(special in text for special in added):
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        except BaseException as e:  # the library's panics aren't Exceptions
+            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit)):
+                raise
+    return np.asarray(plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
 def tokenized(df: DataFrame, ranks_path: str, json_path: str, pattern: str, capacity: int = 2048, end: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -28,7 +28,6 @@ def edge_rows(spark, n=None):
 def check_packing(rows, texts):
     """The contract: every token of every document once, in pieces, in gapless sequences."""
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     want = Counter()
     for key, text in texts:
         ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -54,6 +53,11 @@ def test_packing(spark):
     check_packing(QUERIES["op3_best_fit_packing"](spark, "/root/testdata/sf0.01").collect(), [(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_packing_takes_special_strings_as_the_library_does(spark):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 3000), (3, "<|endoftext"), (4, " " * 30_000 + "<|endoftext|>")]
+    check_packing(packed(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)
+
+
 def test_packing_of_edge_rows(spark):
     check_packing(packed(edge_rows(spark)).collect(), [(i, t) for i, t, _ in EDGES])
     assert packed(edge_rows(spark, 0)).count() == 0
@@ -63,7 +67,6 @@ def test_packing_of_edge_rows(spark):
 @given(st.text(alphabet=st.sampled_from("ab 1'\n\t\x1c é<|endoftext|>🎉,s"), max_size=60))
 def test_both_libraries_give_one_encoding(text):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     got = packing.encode(text, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     assert got.tolist() == plain.encode(text, add_special_tokens=False).ids
 
