@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, durable, renamed
+from .common import arrow_rows, renamed
 
-SAMPLE = 20_000  # most labelled rows that the trees are grown on, at every scale
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SHORTEST, MOST_REPEATED = 20, 30  # words; percent
@@ -176,22 +175,29 @@ def grow(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...], trees: int = 6
     return Forest(np.array(feature, np.int64), np.array(threshold), np.array(left, np.int64), np.array(right, np.int64), np.array(value), np.array(roots, np.int64), depth, base)
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Forest:
-    """Trees for the quality label of at most SAMPLE labelled texts, the first by a hash of their id.
+def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = 20_000) -> Forest:
+    """Trees for the quality label of at most ``sample`` labelled ids, the first by a hash, and as many of their texts.
 
     A text labelled twice is good if all its labels say so; null labels are none; null texts count as empty.
+    Rows equal in id and text are one example. Texts of any length count whole. Without examples, in empty
+    tables too, the trees are one leaf.
     """
     told = renamed(labels, [id_column, label_column]).where(F.col(f"in_{label_column}").isNotNull())
     told = told.groupBy(F.col(f"in_{id_column}").alias("id")).agg(F.min(F.col(f"in_{label_column}").cast("int")).alias("y"))
-    chosen = told.orderBy(F.xxhash64(F.lit("q"), "id"), "id").limit(SAMPLE)
+    few = told.orderBy(F.xxhash64(F.lit("q"), "id"), "id").limit(sample)
     rows = renamed(documents, [id_column, text_column])
-    sample = rows.join(F.broadcast(chosen), F.col(f"in_{id_column}") == F.col("id")).select(F.col(f"in_{text_column}").alias("text"), "y")
+    matched = rows.join(F.broadcast(few), F.col(f"in_{id_column}") == F.col("id")).select("id", F.xxhash64(f"in_{text_column}").alias("sum"), F.col(f"in_{text_column}").alias("text"), "y")
+    kinds = {f.name: f.dataType for f in matched.schema.fields}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"x": [statistics(t)[1] for t in batch.column(0).to_pylist()], "y": batch.column(1)}
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                yield {"id": part.column(0), "sum": part.column(1), "x": [statistics(t)[1] for t in part.column(2).to_pylist()], "y": part.column(3)}
 
-    got = arrow_rows(sample, make, "x array<double>, y int").collect()
+    schema = T.StructType([T.StructField("id", kinds["id"]), T.StructField("sum", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType())])
+    seen = arrow_rows(matched, make, schema).dropDuplicates(["id", "sum"])
+    got = seen.orderBy(F.xxhash64(F.lit("q"), "id"), "id", "sum").limit(sample).select("x", "y").collect()
     # the same trees however the sample's rows arrive
     got.sort(key=lambda r: (r.x, r.y))
     x = np.array([r.x for r in got]).reshape(-1, len(FEATURES))

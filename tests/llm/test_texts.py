@@ -68,6 +68,11 @@ def test_base_counts_are_those_of_brute_force(text):
 def test_quality_rules(spark):
     data = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    registered = {r.doc_id: r for r in QUERIES["op2_quality_rules"](spark, data).collect()}
+    assert len(registered) == docs.count()
+    for d in docs.collect():
+        base, r = brute_statistics(d.text), registered[d.doc_id]
+        assert [r[c] for c in quality.BASE] == base and r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0]) and not (r.base_failed and r.kept)
     forest = quality.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
     out = quality.judge(docs, forest)
     for r in out.join(docs, "doc_id").collect():
@@ -83,7 +88,7 @@ def test_quality_rules(spark):
 def test_quality_of_edge_rows(spark):
     forest = quality.grow(np.zeros((0, len(quality.FEATURES))), np.zeros(0), tuple(quality.FEATURES.values()))
     got = quality.judge(edge_rows(spark), forest).collect()
-    assert Counter((r.doc_id, r.n_words) for r in got) == Counter((i, brute_statistics(t)[0]) for i, t in EDGES)
+    assert Counter((r.doc_id, *(r[c] for c in quality.BASE)) for r in got) == Counter((i, *brute_statistics(t)) for i, t in EDGES)
     assert quality.judge(edge_rows(spark, 0), forest).count() == 0
 
 
@@ -98,6 +103,46 @@ def test_trees_keep_their_constraints():
         assert (sign * np.diff(steps, axis=0) >= -1e-12).all()
 
 
+def test_flat_scoring_is_a_walk_of_each_tree():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((400, 4)), 1)  # ties at thresholds
+    forest = quality.grow(x, (x[:, 0] > x[:, 1]).astype(float), (0, -1, 1, 0), trees=12)
+
+    def walk(row, at):
+        while forest.left[at] != at:
+            at = forest.left[at] if row[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+        return forest.value[at]
+
+    want = [forest.base + sum(walk(row, at) for at in forest.roots) for row in x]
+    assert np.allclose(forest.margin(x), want) and np.allclose(forest.score(x), 1 / (1 + np.exp(-np.array(want))))
+
+
+def test_risk_and_gradient_are_those_of_a_direct_computation():
+    rng = np.random.default_rng(2)
+    p, u = rng.random((9, 3)) < 0.6, rng.random((14, 3)) < 0.4
+    p, u = (np.hstack([x, np.ones((len(x), 1))]).astype(float) for x in (p, u))
+    signs = set()
+    for w in (np.array([0.3, -0.2, 0.1, -0.5]), np.array([2.0, 2.0, 2.0, 1.0])):
+        loss = lambda rows, w, sign: sum(np.log(1 + np.exp(-sign * sum(a * b for a, b in zip(r, w)))) for r in rows) / len(rows)
+        parts = lambda w: (0.7 * loss(p, w, 1), loss(u, w, -1) - 0.7 * loss(p, w, -1))
+        assert np.allclose(toxicity.risk_parts(p, u, w, 0.7), parts(w))
+        signs.add(parts(w)[1] >= 0)
+        aim = (lambda w: sum(parts(w))) if parts(w)[1] >= 0 else (lambda w: -parts(w)[1])
+        want = [(aim(w + e) - aim(w - e)) / 2e-6 for e in np.eye(4) * 1e-6]
+        assert np.allclose(toxicity.gradient(p, u, w, 0.7), want, atol=1e-6)
+    assert signs == {True, False}
+
+
+def test_a_repeated_id_is_bounded(spark):
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("vile text "), (F.col("id") % 7).cast("string")).alias("text"))
+    other = spark.range(2, 400).select("id", F.concat(F.lit("fine text "), F.col("id").cast("string")))
+    docs, labels = rows.union(other), spark.range(1, 400).select(F.col("id").alias("doc_id"), (F.col("id") == 1).cast("int").alias("toxic"), (F.col("id") % 2).cast("int").alias("quality"))
+    model = toxicity.fit(docs, labels, least_z=0.5, least_purity=1e-9)
+    assert toxicity.score(docs, model).count() == docs.count()
+    assert len(toxicity.fit(docs, labels, positives=3, unlabelled=5).features) <= 512
+    assert quality.judge(docs, quality.fit(docs, labels, sample=50)).count() == docs.count()
+
+
 def test_toxicity_finds_held_out_rows(spark):
     data = "/root/testdata/sf0.1"
     out = QUERIES["op5_toxicity"](spark, data)
@@ -159,9 +204,24 @@ def test_license_scan(spark):
         for r in licenses.scan(rows).collect():
             got = (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, sorted(tuple(d) for d in r.detections))
             assert got == brute_licenses(text_of[r.doc_id]), r.doc_id
+        if rows is docs:
+            plain = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in QUERIES["op7_license_scan"](spark, "/root/testdata/sf0.01").collect()}
+            assert plain == {i: brute_licenses(t)[:6] for i, t in text_of.items()}
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_scan_of_many_mentions(spark):
+    rng = np.random.default_rng(6)
+    some = ["mit license", "the mit license", "released under the mit license", "apache license version 2 0", "gpl", "gnu general public license", "word", "cc by nc", "license"]
+    texts = [" ".join(rng.choice(some, 900)), "Mit License and more " * 20_000]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        if r.doc_id == 0:
+            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, sorted(tuple(d) for d in r.detections)) == brute_licenses(texts[0])
+        else:
+            assert len(r.detections) == 20_000 and r.labels == "mit"
+
+
 def expansions(tree):
     """All texts of a parsed pattern, repeats once or not at all, classes by one of their characters."""
     texts = [""]
