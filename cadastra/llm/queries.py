@@ -33,6 +33,27 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents"))
 
 
+#: Components by what each row reaches; the table's ids are unique.
+_REACHED = """
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reached r JOIN edges e ON r.b = e.a),
+classes AS (SELECT a AS id, min(b) AS least FROM reached GROUP BY a),
+degrees AS (SELECT a AS id, count(*) AS n FROM edges GROUP BY a)
+"""
+
+OP4_SQL = f"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM split),
+held AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM held x JOIN held y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+{_REACHED}
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(c.least, doc_id)) AS component_id, coalesce(d.n, 0)::BIGINT AS n_links
+FROM sets LEFT JOIN classes c ON c.id = doc_id LEFT JOIN degrees d ON d.id = doc_id
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
@@ -75,6 +96,16 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.dedup(table(spark, sf_dir, "embeddings"))
 
 
+OP8_SQL = f"""
+WITH RECURSIVE sound AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM sound x JOIN sound y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+{_REACHED}
+SELECT vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM embeddings LEFT JOIN classes c ON c.id = vec_id LEFT JOIN degrees d ON d.id = vec_id
+"""
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -138,4 +169,4 @@ QUERIES = {
     "op10_shards": op10_shards,
 }
 
-ORACLE_SQL = {"op6_mix_sources": OP6_SQL, "op9_url_filters": op9_sql()}
+ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op6_mix_sources": OP6_SQL, "op8_vector_dedup": OP8_SQL, "op9_url_filters": op9_sql()}

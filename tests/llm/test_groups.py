@@ -306,6 +306,23 @@ def test_vector_dedup(spark):
     assert vector_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_vectors_of_all_lengths_repeated_and_null_ids(spark):
+    big, tiny = [1e200, 2e200, 0.0], [1e-200, 2e-200, -0.0]
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.1, 0.0]), (5, [0.0, 1.0, 0.0]), (6, big), (7, tiny), (7, tiny), (None, [1.0, 2.0]), (None, None), (8, [3.0]), (9, [2.0])]
+    got = Counter(map(tuple, vector_dedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 2, 6, True), (7, 2, 6, False), (7, 2, 6, False), (None, 2, 1, None), (None, 0, None, True), (8, 1, 8, True), (9, 1, 8, False)]
+    assert got == Counter((a, b, c, True if d is None else d) for a, b, c, d in want)
+
+
+def test_vector_query_is_exact_on_its_table(spark):
+    data = "/root/testdata/sf0.01"
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
+    v = np.array([x / np.linalg.norm(x) for _, x in rows])
+    near = (v @ v.T >= 0.9).sum(axis=1) - 1
+    got = {r.vec_id: r for r in QUERIES["op8_vector_dedup"](spark, data).collect()}
+    assert {i: int(n) for (i, _), n in zip(rows, near)} == {i: r.n_links for i, r in got.items()}
+
+
 def test_vector_dedup_finds_pairs_in_a_crowd(spark):
     rng = np.random.default_rng(11)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
