@@ -241,11 +241,12 @@ def links_within(members: DataFrame, threshold: float) -> DataFrame:
     """
     members = durable(members.select("node", "c", "v", "copies"))
     mean = durable(_means(members))
-    plain = F.transform("v", lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with("v", "mean", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    most = F.array_max(F.transform("v", lambda x: F.abs(x).cast("double")))
+    plain = F.transform("v", lambda x: x.cast("double") / most)
+    dot = F.aggregate(F.zip_with(plain, "mean", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     long = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
     # half the angle, less what rounding may take
-    core = dot / (long(plain) * long(F.col("mean"))) >= math.cos(math.acos(threshold) / 2) + 1e-9
+    core = F.try_divide(dot, long(plain) * long(F.col("mean"))) >= math.cos(math.acos(threshold) / 2) + 1e-9
     placed = members.join(mean, "c").withColumn("core", F.coalesce(core, F.lit(False)))
     placed = placed.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("mean", "size")
     placed = durable(placed)
