@@ -65,7 +65,8 @@ def with_market_price(choices: DataFrame, prices: DataFrame | None) -> DataFrame
     """market_price_psf by the prior use, and by year if the prices have one; a null use matches a null use.
 
     Without a price table the column is null. Columns lu and price_per_sqft are other names of
-    land_use_code and market_price_psf. Of repeated keys the smallest price counts.
+    land_use_code and market_price_psf. Of repeated keys the first row counts, null price or not: by a
+    column ``ordinal`` if the prices have one, else in the order in which their file is read.
     """
     choices = choices.drop("market_price_psf")
     if prices is None:
@@ -76,7 +77,9 @@ def with_market_price(choices: DataFrame, prices: DataFrame | None) -> DataFrame
         raise ValueError("prices need land_use_code and market_price_psf")
     by_year = "fy" in prices.columns
     keys = [s.normalize_land_use(F.col("land_use_code")).alias("_lu"), *([F.col("fy").alias("_fy")] if by_year else [])]
-    lookup = prices.groupBy(*keys).agg(F.min(F.col("market_price_psf").cast("double")).alias("market_price_psf"))
+    at = F.col("ordinal") if "ordinal" in prices.columns else F.monotonically_increasing_id()
+    rows = prices.select(*keys, F.struct(F.col("market_price_psf").cast("double").alias("p")).alias("_p"), at.alias("_at"))
+    lookup = rows.groupBy("_lu", *["_fy"] * by_year).agg(F.min_by("_p", "_at").alias("_p")).select("_lu", *["_fy"] * by_year, F.col("_p.p").alias("market_price_psf"))
     on = F.col("prior_lu").eqNullSafe(F.col("_lu"))
     if by_year:
         on = on & F.col("fy").eqNullSafe(F.col("_fy"))

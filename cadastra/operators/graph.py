@@ -26,6 +26,9 @@ AMENITY_TAGS: dict[str, dict[str, object]] = {
 LONGEST_WALK, DECAY = 1600.0, 1.0
 
 
+LARGEST_GRAPH = 4_000_000  # edges, 24 bytes each, up to which a graph is collected and broadcast
+
+
 def nearest_node(points: DataFrame, nodes: DataFrame, id_column: str, cell: float = 250.0) -> DataFrame:
     """(id, node): the nearest graph node of each point, ties by the smaller node id."""
     targets = nodes.select(F.col("id").alias("node"), F.col("x").alias("tx"), F.col("y").alias("ty"))
@@ -89,18 +92,20 @@ def relaxed_paths(edges: DataFrame, sources: DataFrame, category: str = "categor
     raise RuntimeError("paths did not settle")
 
 
-def walk_scores(points: DataFrame, nodes: DataFrame, edges: DataFrame, places: DataFrame, id_column: str = "geo_pid", longest: float = LONGEST_WALK, exponent: float = DECAY, cell: float = 250.0, categories: tuple[str, ...] | None = None) -> DataFrame:
+def walk_scores(points: DataFrame, nodes: DataFrame, edges: DataFrame, places: DataFrame, id_column: str = "geo_pid", longest: float = LONGEST_WALK, exponent: float = DECAY, cell: float = 250.0, categories: tuple[str, ...] | None = None, largest: int = LARGEST_GRAPH) -> DataFrame:
     """(id, score by category, walkability): decay of the network distance to each category, their mean to two digits.
 
     A category without places, or out of reach, is null and doesn't count in the mean; one in reach but
-    farther than ``longest`` scores 0 and does. ``places``: category, x, y. Rounding is half to even.
+    farther than ``longest`` scores 0 and does. ``places``: category, x, y. Rounding is half to even. A
+    graph of more than ``largest`` edges isn't broadcast but relaxed in rounds, with the same distances.
     """
     if exponent <= 0:
         raise ValueError("exponent must be positive")
     names = categories or tuple(sorted(r[0] for r in places.select("category").distinct().collect()))
     numbered = durable(places.withColumn("_place", F.monotonically_increasing_id()).select("_place", "category", "x", "y"))
     sources = numbered.join(nearest_node(numbered, nodes, "_place", cell), "_place").select("category", "node")
-    paths = shortest_paths(edges, sources)
+    search = shortest_paths if edges.limit(largest + 1).count() <= largest else relaxed_paths
+    paths = search(edges, sources)
     wide = paths.groupBy("node").pivot("category", list(names)).agg(F.min("distance"))
     at = nearest_node(points, nodes, id_column, cell)
     scored = at.join(wide, "node", "left").select(id_column, *(s.decay_score(F.col(c), longest, exponent).alias(f"{c}_score") for c in names))

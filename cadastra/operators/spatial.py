@@ -57,21 +57,21 @@ def prior_within(rows: DataFrame, value: str, radius: float, year: str = "fy", x
 
     Values are first summed by location and year and summed up over years, so that each pair of
     locations meets once. What a location sees is then summed by year, and a running total over the years
-    answers every year asked for. Rows without value or coordinates are no neighbours;
-    rows without coordinates get count null and mean null, others without neighbours count 0, mean null.
+    answers every year asked for. Rows without value or coordinates are no neighbours and see none: they,
+    and rows without neighbours, get count 0 and mean null.
     """
     known = rows.where(F.col(value).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
     sums = known.groupBy(F.col(x).alias("rx"), F.col(y).alias("ry"), F.col(year).alias("ry_year")).agg(F.sum(value).alias("s"), F.count(F.lit(1)).alias("n"))
     history = sums.groupBy("rx", "ry").agg(F.array_sort(F.collect_list(F.struct("ry_year", "s", "n"))).alias("history"))
-    asked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("lx"), F.col(y).alias("ly"), F.col(year).alias("year")).distinct()
+    asked = known.select(F.col(x).alias("lx"), F.col(y).alias("ly"), F.col(year).alias("year")).distinct()
     met = radius_join(asked.select("lx", "ly").distinct(), history, radius, lx="lx", ly="ly")
     around = met.select("lx", "ly", F.explode("history").alias("h")).groupBy("lx", "ly", F.col("h.ry_year").alias("year")).agg(F.sum("h.s").alias("s"), F.sum("h.n").alias("n"))
     both = around.withColumn("ask", F.lit(False)).union(asked.select("lx", "ly", "year", F.lit(None).cast("double"), F.lit(0).cast("long"), F.lit(True)))
     earlier = Window.partitionBy("lx", "ly").orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
     summed = both.select("lx", "ly", F.col("year").alias("lyear"), "ask", F.sum("s").over(earlier).alias("_s"), F.sum("n").over(earlier).alias("_n")).where("ask").drop("ask")
     out = rows.drop(mean_as, count_as).join(summed, (F.col(x) == F.col("lx")) & (F.col(y) == F.col("ly")) & (F.col(year) == F.col("lyear")), "left")
-    here = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return out.withColumns({mean_as: F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")), count_as: F.when(here, F.coalesce("_n", F.lit(0)))}).drop("lx", "ly", "lyear", "_s", "_n")
+    known = F.col(value).isNotNull() & (F.col("_n") > 0)
+    return out.withColumns({mean_as: F.when(known, F.col("_s") / F.col("_n")), count_as: F.when(known, F.col("_n")).otherwise(F.lit(0))}).drop("lx", "ly", "lyear", "_s", "_n")
 
 
 def events_within(rows: DataFrame, events: DataFrame, amount: str, radius: float, x: str = "centroid_x", y: str = "centroid_y", ex: str = "centroid_x", ey: str = "centroid_y", count_as: str = "dev_activity_600m", sum_as: str = "dev_units_600m") -> DataFrame:
@@ -160,24 +160,35 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float | None =
         if todo.isEmpty():
             break
         ring, size = ring * 2, size * 2
+    else:
+        raise RuntimeError(f"points without {k} neighbours after {rounds} rounds")
     return out.select(F.col("_p").alias(id_column), F.col("_t").alias(target_id), F.col("_d").alias("distance"), F.col("_k").alias("rank"))
 
 
 def boxed(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """``df`` with the box of ``geom``: x0, y0, x1, y1."""
+    """``df`` with the box of ``geom``, x0, y0, x1, y1, and whether the polygon is its box."""
     points = F.flatten(F.flatten(geom))
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    return df.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
+    df = df.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
+    # a single closed ring of four edges that are parallel to the axes and enclose as much as the box
+    ring = F.col(geom)[0][0]
+    edges = F.zip_with(F.slice(ring, 1, 4), F.slice(ring, 2, 4), lambda p, q: F.struct((p[0] * q[1] - q[0] * p[1]).alias("twice"), ((p[0] == q[0]) | (p[1] == q[1])).alias("straight")))
+    enclosed = F.abs(F.aggregate(edges, F.lit(0.0), lambda a, e: a + e["twice"])) / 2
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    single = (F.size(geom) == 1) & (F.size(F.col(geom)[0]) == 1)
+    is_box = F.when(single, F.when(F.size(ring) == 5, (ring[0] == ring[4]) & F.forall(edges, lambda e: e["straight"]) & (size > 0) & (F.abs(enclosed - size) <= 1e-9 * size)))
+    return df.withColumn("is_box", F.coalesce(is_box, F.lit(False)))
 
 
 def overlay(current: DataFrame, prior: DataFrame, cell: float, cur_id: str = "geo_pid", pri_id: str = "prev_geo_pid", geom: str = "geom", equal: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(cur_id, equal keys, pri_id, overlap_area, overlap_share of the current area) of polygons whose boxes meet.
 
     Boxes share cells; a pair is taken in the cell that holds the corner of its common box only, so no
-    pair meets twice. Areas are computed in Arrow batches.
+    pair meets twice. What two polygons that are their boxes share is a product of lengths; other areas
+    are computed in Arrow batches.
     """
-    a = boxed(current.select(F.col(cur_id).alias("_a"), F.col(geom).alias("_ga"), *(F.col(p).alias(f"_e{i}") for i, (p, _) in enumerate(equal))), "_ga").withColumnsRenamed({"x0": "ax0", "y0": "ay0", "x1": "ax1", "y1": "ay1"})
-    b = boxed(prior.select(F.col(pri_id).alias("_b"), F.col(geom).alias("_gb"), *(F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(equal))), "_gb").withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
+    a = boxed(current.select(F.col(cur_id).alias("_a"), F.col(geom).alias("_ga"), *(F.col(p).alias(f"_e{i}") for i, (p, _) in enumerate(equal))), "_ga").withColumnsRenamed({"x0": "ax0", "y0": "ay0", "x1": "ax1", "y1": "ay1", "is_box": "a_box"})
+    b = boxed(prior.select(F.col(pri_id).alias("_b"), F.col(geom).alias("_gb"), *(F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(equal))), "_gb").withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1", "is_box": "b_box"})
 
     def celled(df: DataFrame, s: str, names: tuple[str, str]) -> DataFrame:
         xs = F.sequence(_cell(F.col(f"{s}x0"), cell), _cell(F.col(f"{s}x1"), cell))
@@ -198,9 +209,14 @@ def overlay(current: DataFrame, prior: DataFrame, cell: float, cur_id: str = "ge
             own = [geometry.area(p) for p in pdf["_ga"]]
             yield pdf[["_a", *keys, "_b"]].assign(overlap_area=common, _own=own)
 
-    met = met.select("_a", *keys, "_b", "_ga", "_gb")
-    schema = T.StructType([met.schema[c] for c in ["_a", *keys, "_b"]] + [T.StructField("overlap_area", T.DoubleType()), T.StructField("_own", T.DoubleType())])
-    out = met.mapInPandas(areas, schema).withColumn("overlap_share", F.try_divide("overlap_area", "_own")).drop("_own")
+    names = ["_a", *keys, "_b"]
+    plain = F.col("a_box") & F.col("b_box")
+    side = lambda c: F.least(f"a{c}1", f"b{c}1") - F.greatest(f"a{c}0", f"b{c}0")
+    own = (F.col("ax1") - F.col("ax0")) * (F.col("ay1") - F.col("ay0"))
+    simple = met.where(plain).select(*names, (side("x") * side("y")).alias("overlap_area"), own.alias("_own"))
+    other = met.where(~plain).select(*names, "_ga", "_gb")
+    schema = T.StructType([other.schema[c] for c in names] + [T.StructField("overlap_area", T.DoubleType()), T.StructField("_own", T.DoubleType())])
+    out = simple.union(other.mapInPandas(areas, schema)).withColumn("overlap_share", F.try_divide("overlap_area", "_own")).drop("_own")
     return out.withColumnsRenamed({"_a": cur_id, "_b": pri_id} | {f"_e{i}": p for i, (p, _) in enumerate(equal)})
 
 

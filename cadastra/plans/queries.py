@@ -127,7 +127,7 @@ panel AS (
     CASE l_returnflag || l_linestatus || (l_linenumber % 3) WHEN 'AF0' THEN 'R1' WHEN 'AF1' THEN 'r4 - four' WHEN 'AF2' THEN 'CM' WHEN 'NF0' THEN 'CD' WHEN 'NF1' THEN 'A' WHEN 'NF2' THEN 'RL'
       WHEN 'NO0' THEN 'R2' WHEN 'NO1' THEN 'CD' WHEN 'NO2' THEN 'CP' WHEN 'RF0' THEN 'R3' WHEN 'RF1' THEN 'RC' ELSE CASE WHEN l_suppkey % 2 = 0 THEN 'E' ELSE NULL END END AS land_use_code,
     CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE (l_linenumber % 9)::DOUBLE END AS res_units,
-    l_extendedprice AS assessed_total, CASE WHEN l_quantity < 4 THEN NULL ELSE l_quantity * 100 END AS living_area, l_quantity * 120 AS gross_area,
+    l_extendedprice AS assessed_total, CASE WHEN l_quantity < 4 THEN NULL WHEN l_quantity < 9 THEN 0 ELSE l_quantity * 100 END AS living_area, l_quantity * 120 AS gross_area,
     round(l_extendedprice * 0.4, 2) AS assessed_land, round(l_extendedprice * 0.6, 2) AS assessed_bldg, l_quantity * 60 + 200 AS land_sf, (1880 + l_suppkey % 160)::DOUBLE AS yr_built, (1 + l_linenumber % 4)::DOUBLE AS num_floors,
     ((l_partkey % 50) * 100)::DOUBLE AS centroid_x, (((l_partkey - l_partkey % 50) / 50)::BIGINT * 100)::DOUBLE AS centroid_y,
     'N' || (l_partkey % 6) AS neighborhood_name
@@ -148,7 +148,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind.isin(*codes), s.mapped(kind, codes)).otherwise(F.when(sup % 2 == 0, F.lit("E"))).alias("land_use_code"),
         F.when(sup % 3 != 0, (n % 9).cast("double")).alias("res_units"),
         price.alias("assessed_total"),
-        F.when(qty >= 4, qty * 100).alias("living_area"),
+        F.when(qty >= 9, qty * 100).when(qty >= 4, 0.0).alias("living_area"),
         (qty * 120).alias("gross_area"),
         F.round(price * 0.4, 2).alias("assessed_land"),
         F.round(price * 0.6, 2).alias("assessed_bldg"),
@@ -280,7 +280,7 @@ priced AS (SELECT geo_pid, fy, parcel_id, centroid_x, centroid_y, neighborhood_n
     + _CLIP_SQL
     + """,
 spots AS (SELECT centroid_x AS x, centroid_y AS y, fy, sum(price_per_sqft) AS s, count(*) AS n FROM clipped WHERE price_per_sqft IS NOT NULL GROUP BY ALL),
-lag AS (SELECT c.geo_pid, c.fy, sum(s.s) / sum(s.n) AS prior_sales_avg, sum(s.n)::BIGINT AS prior_sales_count FROM clipped c JOIN spots s ON s.fy < c.fy AND s.x BETWEEN c.centroid_x - 300 AND c.centroid_x + 300 AND s.y BETWEEN c.centroid_y - 300 AND c.centroid_y + 300
+lag AS (SELECT c.geo_pid, c.fy, sum(s.s) / sum(s.n) AS prior_sales_avg, sum(s.n)::BIGINT AS prior_sales_count FROM clipped c JOIN spots s ON c.price_per_sqft IS NOT NULL AND s.fy < c.fy AND s.x BETWEEN c.centroid_x - 300 AND c.centroid_x + 300 AND s.y BETWEEN c.centroid_y - 300 AND c.centroid_y + 300
   AND (s.x - c.centroid_x) * (s.x - c.centroid_x) + (s.y - c.centroid_y) * (s.y - c.centroid_y) <= 90000 GROUP BY ALL),
 input AS (SELECT c.*, prior_sales_avg, prior_sales_count FROM clipped c JOIN lag USING (geo_pid, fy) WHERE assessed_total IS NOT NULL AND living_area IS NOT NULL AND land_sf IS NOT NULL AND yr_built IS NOT NULL AND prior_sales_avg IS NOT NULL)"""
 )
@@ -319,11 +319,16 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_POINTS_SQL}
-SELECT a.id, a.fy, count(b.id) AS n, round(avg(b.v), 6) AS mean FROM pts a LEFT JOIN pts b ON b.fy < a.fy AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02 * 0.02 GROUP BY a.id, a.fy
+WITH {_POINTS_SQL}, holed AS (SELECT id, fy, CASE WHEN id % 11 <> 3 THEN x END AS x, CASE WHEN id % 13 <> 5 THEN y END AS y, CASE WHEN id % 7 <> 2 THEN v END AS v FROM pts),
+valid AS (SELECT * FROM holed WHERE v IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL),
+seen AS (SELECT a.id, count(*) AS n, avg(b.v) AS mean FROM valid a JOIN valid b ON b.fy < a.fy AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.02 * 0.02 GROUP BY a.id)
+SELECT id, fy, coalesce(n, 0) AS n, round(mean, 6) AS mean FROM holed LEFT JOIN seen USING (id)
 """)
 def prior_radius_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spatial.prior_within(_points(spark, sf_dir), "v", 0.02, x="x", y="y", mean_as="mean", count_as="n")
+    """Points without a value or a coordinate are among them: they are no neighbours and see none."""
+    at = lambda c, n, r: F.when(F.col("id") % n != r, F.col(c))
+    holed = _points(spark, sf_dir).select("id", "fy", at("x", 11, 3).alias("x"), at("y", 13, 5).alias("y"), at("v", 7, 2).alias("v"))
+    out = spatial.prior_within(holed, "v", 0.02, x="x", y="y", mean_as="mean", count_as="n")
     return out.select("id", "fy", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -421,12 +426,12 @@ def income_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RECT_SQL = """rect AS (SELECT p_partkey AS geo_pid, y AS fy, ((p_partkey % 25) * 10 + (p_partkey * 7 + y * 3) % 5)::DOUBLE AS x0, (((p_partkey - p_partkey % 25) / 25)::BIGINT * 10 + (p_partkey * 5 + y) % 4)::DOUBLE AS y0, (7 + (p_partkey + y) % 5)::DOUBLE AS w, (6 + (p_partkey * 3 + y) % 5)::DOUBLE AS h
-  FROM part, range(2016, 2020) t(y) WHERE p_partkey <= 600)"""
+  FROM part, range(2016, 2020) t(y))"""
 
 
-def _rectangles(spark: SparkSession, sf_dir: str, parts: str = "p_partkey <= 600") -> DataFrame:
+def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, y = F.col("p_partkey"), F.col("fy")
-    base = table(spark, sf_dir, "part").where(parts).select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
+    base = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
     x0, y0 = ((k % 25) * 10 + (k * 7 + y * 3) % 5).cast("double"), (F.floor(k / 25) * 10 + (k * 5 + y) % 4).cast("double")
     x1, y1 = x0 + (7 + (k + y) % 5), y0 + (6 + (k * 3 + y) % 5)
     ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
@@ -435,11 +440,12 @@ def _rectangles(spark: SparkSession, sf_dir: str, parts: str = "p_partkey <= 600
 
 @query(f"""
 WITH {_RECT_SQL}, o AS (SELECT a.geo_pid, a.fy, b.geo_pid AS prev_geo_pid, greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) / (a.w * a.h) AS share
-  FROM rect a JOIN rect b ON b.fy + 1 = a.fy AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h),
+  FROM (SELECT *, unnest([-1, 0, 1]) AS d FROM rect) a JOIN rect b ON b.fy + 1 = a.fy AND b.geo_pid // 25 = a.geo_pid // 25 + d AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h),
 best AS (SELECT *, row_number() OVER (PARTITION BY geo_pid, fy ORDER BY round(share, 9) DESC, prev_geo_pid) AS rn FROM o)
 SELECT geo_pid, fy::INTEGER AS fy, prev_geo_pid, round(share, 6) AS overlap_share FROM best WHERE rn = 1 AND share >= 0.5
 """)
 def rect_overlay_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all parts; in the SQL, rows of the layout that are two apart never meet."""
     out = choices.best_predecessors(_rectangles(spark, sf_dir), cell=10.0)
     return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
 
@@ -449,26 +455,6 @@ def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.representative_points(_rectangles(spark, sf_dir)).select("geo_pid", "fy", "px", "py")
 
 
-_WHOLE_RECT_SQL = _RECT_SQL.replace(" WHERE p_partkey <= 600", "")
-
-
-@query(f"""
-WITH {_WHOLE_RECT_SQL}, o AS (SELECT a.geo_pid, a.fy, b.geo_pid AS prev_geo_pid, greatest(0, least(a.x0 + a.w, b.x0 + b.w) - greatest(a.x0, b.x0)) * greatest(0, least(a.y0 + a.h, b.y0 + b.h) - greatest(a.y0, b.y0)) / (a.w * a.h) AS share
-  FROM (SELECT *, unnest([-1, 0, 1]) AS d FROM rect) a JOIN rect b ON b.fy + 1 = a.fy AND b.geo_pid // 25 = a.geo_pid // 25 + d AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h),
-best AS (SELECT *, row_number() OVER (PARTITION BY geo_pid, fy ORDER BY round(share, 9) DESC, prev_geo_pid) AS rn FROM o)
-SELECT geo_pid, fy::INTEGER AS fy, prev_geo_pid, round(share, 6) AS overlap_share FROM best WHERE rn = 1 AND share >= 0.5
-""")
-def rect_overlay_predecessor_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``rect_overlay_predecessor`` over all parts; rows of the layout that are two apart never meet."""
-    out = choices.best_predecessors(_rectangles(spark, sf_dir, "true"), cell=10.0)
-    return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
-
-
-@query(f"WITH {_WHOLE_RECT_SQL} SELECT geo_pid, fy::INTEGER AS fy, x0 + w / 2 AS px, y0 + h / 2 AS py FROM rect")
-def representative_point_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.representative_points(_rectangles(spark, sf_dir, "true")).select("geo_pid", "fy", "px", "py")
-
-
 @query(f"""
 WITH {_POINTS_SQL}, d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pts a JOIN pts b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other)::INTEGER AS rank FROM d)
@@ -514,13 +500,13 @@ def dev_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS prior_lu, year(o_orderdate)::INTEGER AS fy FROM orders),
-prices AS (SELECT CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size % 7)::VARCHAR END AS lu, 1995 + p_size % 5 AS fy, min(p_retailprice) AS price FROM part GROUP BY ALL)
+prices AS (SELECT CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size % 7)::VARCHAR END AS lu, 1995 + p_size % 5 AS fy, first(CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END ORDER BY p_partkey) AS price FROM part GROUP BY ALL)
 SELECT o_orderkey, p.fy, prior_lu, price AS market_price_psf FROM p LEFT JOIN prices ON prior_lu IS NOT DISTINCT FROM lu AND p.fy = prices.fy
 """)
 def price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, F.substring("o_orderpriority", 1, 1)).alias("prior_lu"), F.year("o_orderdate").alias("fy"))
     size = F.col("p_size")
-    right = table(spark, sf_dir, "part").select(F.when(size % 7 != 0, (size % 7).cast("string")).alias("lu"), (1995 + size % 5).alias("fy"), F.col("p_retailprice").alias("price_per_sqft"))
+    right = table(spark, sf_dir, "part").select(F.when(size % 7 != 0, (size % 7).cast("string")).alias("lu"), (1995 + size % 5).alias("fy"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_retailprice")).alias("price_per_sqft"), F.col("p_partkey").alias("ordinal"))
     return choices.with_market_price(left, right)
 
 
@@ -537,25 +523,6 @@ def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Graph: a full grid, where the shortest path is the Manhattan distance.
 
 
-@query("""
-WITH n AS (SELECT c_custkey AS id, (c_custkey - 1) % 20 AS cx, ((c_custkey - 1 - (c_custkey - 1) % 20) / 20)::BIGINT AS cy FROM customer WHERE c_custkey BETWEEN 1 AND 400),
-src(category, cx, cy) AS (VALUES ('food', 2, 3), ('food', 17, 11), ('park', 9, 9)),
-d AS (SELECT id, category, min(abs(n.cx - s.cx) + abs(n.cy - s.cy)) * 100.0 AS d FROM n, src s GROUP BY ALL),
-w AS (SELECT id, max(CASE WHEN category = 'food' THEN greatest(0, 100 * (1 - d / 1600)) END) AS food, max(CASE WHEN category = 'park' THEN greatest(0, 100 * (1 - d / 1600)) END) AS park FROM d GROUP BY id)
-SELECT id, food::DOUBLE AS food_score, park::DOUBLE AS park_score, round_even((food + park) / 2, 2)::DOUBLE AS walkability FROM w
-""")
-def walk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey") - 1
-    at = table(spark, sf_dir, "customer").where("c_custkey BETWEEN 1 AND 400").select(F.col("c_custkey").alias("id"), (k % 20).alias("cx"), F.floor(k / 20).alias("cy"))
-    nodes = at.select("id", (F.col("cx") * 100.0).alias("x"), (F.col("cy") * 100.0).alias("y"))
-    step = F.array(F.when(F.col("cx") < 19, F.col("id") + 1), F.when(F.col("id") + 20 <= 400, F.col("id") + 20))
-    one_way = at.select(F.col("id").alias("src"), F.explode(F.array_compact(step)).alias("dst"))
-    edges = one_way.union(one_way.select("dst", "src")).withColumn("length", F.lit(100.0))
-    places = spark.createDataFrame([("food", 201.0, 302.0), ("food", 1699.0, 1101.0), ("park", 900.0, 900.0)], "category string, x double, y double")
-    points = nodes.select("id", (F.col("x") + 7).alias("x"), (F.col("y") - 9).alias("y"))
-    return graph.walk_scores(points, nodes, edges, places, "id", cell=100.0, categories=("food", "park"))
-
-
 @query("""
 WITH side AS (SELECT ceil(sqrt(max(c_custkey) + 1))::BIGINT AS m FROM customer),
 n AS (SELECT c_custkey AS id, c_custkey % m AS cx, c_custkey // m AS cy FROM customer, side),
@@ -564,8 +531,8 @@ d AS (SELECT id, category, min(abs(n.cx - s.cx) + abs(n.cy - s.cy)) * 100.0 AS d
 w AS (SELECT id, max(CASE WHEN category = 'food' THEN greatest(0, 100 * (1 - d / 1600)) END) AS food, max(CASE WHEN category = 'park' THEN greatest(0, 100 * (1 - d / 1600)) END) AS park FROM d GROUP BY id)
 SELECT id, food::DOUBLE AS food_score, park::DOUBLE AS park_score, round_even((food + park) / 2, 2)::DOUBLE AS walkability FROM w
 """)
-def walk_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``walk_score`` on a grid of all customers, its side and its places growing with the table."""
+def walk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a grid of all customers, its side and its places growing with the table."""
     c = table(spark, sf_dir, "customer")
     last = c.agg(F.max("c_custkey")).first()[0] or 0
     m, k = math.isqrt(last) + 1, F.col("c_custkey")  # keys begin at 0

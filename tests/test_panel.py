@@ -54,7 +54,7 @@ def values(spark, texts, f):
     return [r.v for r in rows.orderBy("i").collect()]
 
 
-@pytest.mark.parametrize(("name", "source", "key", "each"), [("rect_overlay_predecessor_whole", "part", "geo_pid", None), ("representative_point_whole", "part", "geo_pid", 4), ("walk_score_whole", "customer", "id", 1)])
+@pytest.mark.parametrize(("name", "source", "key", "each"), [("rect_overlay_predecessor", "part", "geo_pid", None), ("representative_point", "part", "geo_pid", 4), ("walk_score", "customer", "id", 1)])
 def test_whole_tables_are_read(spark, name, source, key, each):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
