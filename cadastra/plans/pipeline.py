@@ -1,13 +1,15 @@
 """The whole preparation as one chain of lazy tables, and the models on it.
 
-Steps take and return DataFrames; what is written is the panel, the state and the two model inputs.
+Steps take and return DataFrames; ``prepare`` writes the panel, the state and the two model inputs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadastra.functions.crs import MASSACHUSETTS, Conic
 from cadastra.operators import choices, enrich, graph, panel, prices, stats
@@ -32,6 +34,15 @@ def build_panel(accounts: DataFrame, shapes: DataFrame, neighborhoods: DataFrame
     return out
 
 
+def together(tables: Sequence[DataFrame]) -> DataFrame:
+    """Yearly tables under one another, by name."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def of_vintage(tracts: DataFrame, acs_year: int) -> DataFrame:
+    return tracts.withColumn("acs_year", F.lit(acs_year))
+
+
 def hedonic_input(state: DataFrame, years: Sequence[int] = prices.DUMMY_YEARS) -> DataFrame:
     return prices.price_panel(state, years=years)
 
@@ -43,8 +54,34 @@ def choice_input(state: DataFrame, shapes: DataFrame, price_table: DataFrame | N
     return choices.with_market_price(choices.with_activity(choices.choice_set(state, before), events), price_table)
 
 
+def prepare(accounts: DataFrame, shapes: DataFrame, out: str, price_table: DataFrame | None = None, skip_prep: bool = False, rebuild_state: bool = False, cell: float = 100.0, **layers) -> dict[str, int]:  # noqa: ANN003
+    """Writes panel.parquet by year, parcel_geometry.parquet, and unless ``skip_prep`` parcel_state.parquet,
+    hedonic_input.parquet and devchoice_input.parquet under ``out``; the rows of each.
+
+    ``layers`` are those of ``build_panel``. A state that is there is used as it is, unless ``rebuild_state``.
+    """
+    spark, root = accounts.sparkSession, out.rstrip("/")
+    files.write_years(build_panel(accounts, shapes, **layers), f"{root}/panel.parquet")
+    files.write_years(shapes, f"{root}/parcel_geometry.parquet")
+    rows = spark.read.parquet(f"{root}/panel.parquet")
+    written = {"panel": rows.count()}
+    if skip_prep:
+        return written
+    needed = [c for c in prices.ATTRIBUTES if c in rows.columns and c != "land_use_code"]
+    state = files.load_or_build(spark, f"{root}/parcel_state.parquet", lambda: panel.parcel_state(rows), rebuild_state, needed)
+    geometry = spark.read.parquet(f"{root}/parcel_geometry.parquet")
+    for name, made in (("hedonic_input", hedonic_input(state)), ("devchoice_input", choice_input(state, geometry, price_table, cell))):
+        files.write_sorted(made, f"{root}/{name}.parquet")
+        written[name] = spark.read.parquet(f"{root}/{name}.parquet").count()
+    return written | {"parcel_state": state.count()}
+
+
+COMPARED = ("n", "k", "r2", "r2_adj", "aic", "bic", "rmse", "mae", "durbin_watson", "moran_i", "moran_p")
+
+
 def model_reports(spark: SparkSession, df: DataFrame, out: str, specs: Mapping[str, Sequence[str]] = stats.SPECS, folds: int = 5, seed: int = 0) -> None:
-    """Coefficients, statistics, inflation factors and cross-validation of each specification, written as each is done."""
+    """Coefficients, statistics, inflation factors and cross-validation of each specification, written as each is done; then their comparison, the least AIC first."""
+    compared = []
     for name, variables in specs.items():
         f = stats.fit_spec(df, variables)
         table = lambda rows, schema: spark.createDataFrame([(name, *r) for r in rows], "spec string, " + schema)  # noqa: E731, B023
@@ -54,3 +91,5 @@ def model_reports(spark: SparkSession, df: DataFrame, out: str, specs: Mapping[s
         if folds > 1:
             rows = [(r["fold"], int(r["n_train"]), int(r["n_test"]), *(None if r[c] is None else float(r[c]) for c in ("rmse", "mae", "r2", "moran_i", "moran_p"))) for r in stats.spatial_cv(df, variables, folds, seed)]
             files.write_report(table(rows, "fold string, n_train long, n_test long, rmse double, mae double, r2 double, moran_i double, moran_p double"), f"{out}/hedonic_spatial_cv_{name}")
+        compared.append((name, *(float(f.stats[c]) for c in COMPARED)))
+    files.write_report(spark.createDataFrame(compared, "spec string, " + ", ".join(f"{c} double" for c in COMPARED)).orderBy("aic"), f"{out}/hedonic_comparison")

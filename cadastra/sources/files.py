@@ -103,10 +103,39 @@ def census_income(spark: SparkSession, path: str, acs_year: int) -> DataFrame:
 
 
 def price_table(spark: SparkSession, path: str | None) -> DataFrame | None:
-    """Prices by use: Parquet by its suffix, else CSV; no path, no table."""
+    """Prices by use: Parquet by its suffix, else CSV, with the ordinal of each row; no path, or nothing there, no table."""
+    from pyspark.errors import AnalysisException
+
     if path is None:
         return None
-    return spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+    try:
+        raw = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return raw.withColumn("ordinal", F.monotonically_increasing_id())
+
+
+def county_tracts(tracts: DataFrame, county: str) -> DataFrame:
+    """The tracts of a county by COUNTYFP; without that column or GEOID, or without rows, an error."""
+    if not {"COUNTYFP", "GEOID"} <= set(tracts.columns):
+        raise ValueError("tracts need COUNTYFP and GEOID")
+    out = tracts.where(F.col("COUNTYFP") == county)
+    if out.isEmpty():
+        raise ValueError(f"no tracts of county {county}")
+    return out
+
+
+def walking_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Landed nodes (id, x, y), edges (src, dst, length) and amenities (category, x, y), Parquet files of these names."""
+    wanted = {"nodes": ("id", "x", "y"), "edges": ("src", "dst", "length"), "amenities": ("category", "x", "y")}
+    return tuple(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").select(*columns) for name, columns in wanted.items())
+
+
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("geo_pid", "fy")) -> None:
+    """``df`` as Parquet, sorted by ``keys`` over all its files."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
 def write_years(df: DataFrame, path: str) -> None:
@@ -121,16 +150,24 @@ def swapped(df: DataFrame, path: str, version: str) -> DataFrame:
     return df.sparkSession.read.parquet(target)
 
 
-def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:  # noqa: ANN001
-    """The table at ``path`` if it can be read and isn't to be rebuilt; else ``build()``, written there."""
+def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False, needed: Sequence[str] = (), keys: Sequence[str] = ("geo_pid", "fy")) -> DataFrame:  # noqa: ANN001
+    """The table at ``path`` if there is one and it isn't to be rebuilt; else ``build()``, written there sorted by ``keys``.
+
+    A kept table without the ``needed`` columns was built for another purpose: that is an error, not a rebuild.
+    """
     from pyspark.errors import AnalysisException
 
     if not rebuild:
         try:
-            return spark.read.parquet(path)
-        except AnalysisException:
-            pass
-    build().write.mode("overwrite").parquet(path)
+            kept = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            if missing := [c for c in needed if c not in kept.columns]:
+                raise ValueError(f"{path} lacks {missing}; rebuild it")
+            return kept
+    write_sorted(build(), path, keys)
     return spark.read.parquet(path)
 
 

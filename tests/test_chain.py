@@ -1,10 +1,16 @@
 """The preparation chain end to end on a small grid of parcels."""
 
+import json
+
 import __spark_entry__
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cadastra.operators import panel
+from cadastra.__main__ import main
+from cadastra.operators import choices, panel, spatial, stats
 from cadastra.plans import pipeline
+from cadastra.sources import files
 
 
 def grid(spark):
@@ -34,5 +40,56 @@ def test_chain(spark):
     assert choices.agg(F.min("dev_activity_600m"), F.max("dev_units_600m")).first() == (6, 12.0)
 
 
+def test_written_outputs(spark, tmp_path):
+    accounts, shapes = grid(spark)
+    written = pipeline.prepare(accounts, shapes, str(tmp_path), crs=None, cell=20.0)
+    assert written == {"panel": 36 * 7, "parcel_state": 36 * 7, "hedonic_input": 36 * 6, "devchoice_input": 36 * 2}
+    rows = [(r.geo_pid, r.fy) for r in spark.read.parquet(f"{tmp_path}/parcel_state.parquet").coalesce(1).collect()]
+    assert rows == sorted(rows)
+    with pytest.raises(ValueError, match="rebuild"):
+        files.load_or_build(spark, f"{tmp_path}/parcel_state.parquet", None, needed=["no_such"])
+    with pytest.raises(ValueError, match="county"):
+        files.county_tracts(spark.createDataFrame([("1", "017")], "GEOID string, COUNTYFP string"), "025")
+    assert files.price_table(spark, f"{tmp_path}/nowhere.parquet") is None
+
+
+def test_command_line(spark, tmp_path, capsys):
+    for fy in (2021, 2022):
+        (tmp_path / f"property-assessment-fy{fy}.csv").write_text("PID,LU,TOTAL_VALUE,LIVING_AREA,LAND_SF,YR_BUILT\n" + "".join(f"{i}000,R1,{100_000 + i},1000,2000,1950\n" for i in range(1, 9)))
+        features = [{"type": "Feature", "properties": {"MAP_PAR_ID": f"{i}000"}, "geometry": {"type": "Polygon", "coordinates": [[[x, y] for x, y in ((i, 0), (i + 1, 0), (i + 1, 1), (i, 1), (i, 0))]]}} for i in range(1, 9)]
+        (tmp_path / f"parcels-fy{fy}.geojson").write_text('{"type": "FeatureCollection", "features": [\n' + ",\n".join(map(json.dumps, features)) + "\n]}\n")
+    main(["prepare", "--assessors", str(tmp_path), "--parcels", str(tmp_path), "--out", str(tmp_path / "out"), "--planar"], spark)
+    assert "hedonic_input: 8 rows" in capsys.readouterr().out
+
+
+def test_first_price_of_a_key_counts(spark):
+    left = spark.createDataFrame([(1, "R1"), (2, None), (3, "A")], "id int, prior_lu string")
+    table = spark.createDataFrame([("r1", 9.0, 2), ("R1", None, 1), (None, 4.0, 3), (None, 1.0, 4)], "lu string, price_per_sqft double, ordinal int")
+    assert {r.id: r.market_price_psf for r in choices.with_market_price(left, table).collect()} == {1: None, 2: 4.0, 3: None}
+
+
+def test_lag_of_rows_without_price_or_point(spark):
+    rows = [(1, 2016, 0.0, 0.0, 10.0), (2, 2017, 1.0, 0.0, None), (3, 2017, None, 0.0, 5.0), (4, 2017, 0.0, 1.0, 7.0)]
+    out = spatial.prior_within(spark.createDataFrame(rows, "id int, fy int, centroid_x double, centroid_y double, v double"), "v", 300.0)
+    assert {r.id: (r.prior_sales_avg, r.prior_sales_count) for r in out.collect()} == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (10.0, 1)}
+
+
+def test_moran_permutations_by_broadcast_and_by_joins(spark):
+    rng = np.random.default_rng(5)
+    xy = rng.random((90, 2)) * 100
+    z = xy[:, 0] / 60 + rng.standard_normal(90)
+    rows = spark.createDataFrame([(i, 2020, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, z))], "geo_pid int, fy int, centroid_x double, centroid_y double, resid double")
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    c, near = z - z.mean(), np.argsort(d, axis=1)[:, :8]
+    value = lambda v: (v[:, None] * v[near]).sum() / 8 / (v @ v)
+    sims = np.array([value(rng.permutation(c)) for _ in range(4000)])
+    for largest in (10**6, 0):
+        m = stats.moran(rows, permutations=300, largest=largest)
+        assert np.isclose(m["moran_i"], value(c)) and m["moran_n_parcels"] == 90
+        assert abs(m["moran_z"] - (value(c) - sims.mean()) / sims.std()) < 0.2 * abs(m["moran_z"])
+        assert abs(m["moran_p"] - (np.abs(sims - sims.mean()) >= abs(value(c) - sims.mean())).mean()) < 0.03
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
