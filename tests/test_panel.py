@@ -112,6 +112,24 @@ def test_upper_quantile_is_of_the_clipped_column(spark):
     assert np.allclose(got, sorted(want))
 
 
+@pytest.mark.parametrize("accuracy, groups", [(10_000, 10_000), (100, 10_000), (100, 0)])
+def test_quantiles_are_exact_beyond_the_sketch(spark, monkeypatch, accuracy, groups):
+    monkeypatch.setattr(prices, "RANK_ACCURACY", accuracy)
+    monkeypatch.setattr(prices, "BROADCAST_GROUPS", groups)
+    rng = np.random.default_rng(1)
+    smooth, tied, few = rng.lognormal(3, 1, 3000), np.where(rng.random(3000) < 0.4, 7.0, rng.integers(0, 50, 3000)), rng.normal(size=55)
+    rows = [(1, float(v), float(t)) for v, t in zip(smooth, tied)] + [(2, float(v), None) for v in few] + [(3, None, None), (None, 1.0, 1.0)]
+    wanted = [("v", 0.9), ("w", 0.02)]
+    got = {r["_by"]: r for r in prices.quantiles(spark.createDataFrame(rows, "fy int, v double, w double"), wanted, "fy").collect()}
+    assert np.allclose([got[1]["_q_v"], got[1]["_q_w"], got[2]["_q_v"]], [np.quantile(smooth, 0.9), np.quantile(tied, 0.02), np.quantile(few, 0.9)])
+    assert got[2]["_q_w"] is None and set(got) <= {1, 2, 3} and (3 not in got or got[3]["_q_v"] is None)
+    sparse = [(1, float(i), float(i) if i % 60 == 0 else None) for i in range(3300)]
+    assert prices.quantiles(spark.createDataFrame(sparse, "fy int, v double, w double"), [("w", 0.9)], "fy").first()["_q_w"] == np.quantile(np.arange(0, 3300, 60), 0.9)
+    for q in (0.0, 0.4, 0.5, 1.0):
+        top = {r["_by"]: r["_q_v"] for r in prices.quantiles(spark.createDataFrame(rows, "fy int, v double, w double"), [("v", q)], "fy").collect()}
+        assert np.allclose([top[1], top[2]], [np.quantile(smooth, q), np.quantile(few, q)])
+
+
 coordinate = st.integers(-20, 20).map(lambda v: v / 4)
 triangle = st.lists(st.tuples(coordinate, coordinate), min_size=3, max_size=7, unique=True)
 
