@@ -2,15 +2,17 @@
 
 A text is cut before each run of spaces, where no piece of the vocabulary can reach across, so the
 count of a text is the sum over its pre-tokens. Tier one is a broadcast table of the lengths of
-frequent pre-tokens: those that the vocabulary holds as one piece, which its training made a piece
-because they are frequent. It is bounded by the vocabulary. Tier two is a cache in each worker of
-what the library gave for all others; it is bounded too and dropping an entry costs time only.
+frequent pre-tokens: those that repeat in a bounded sample of the table's rows, and those that the
+vocabulary holds as one piece, which its training made a piece because they are frequent. The sample
+decides where a length is looked up, never what it is. Tier two is a cache in each worker of what the
+library gave for all others; it is bounded too and dropping an entry costs time only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import sentencepiece
@@ -23,6 +25,8 @@ from .common import arrow_rows, renamed, utf8_length
 SPACE = "▁"  # the library's own sign for a space
 CACHE_ENTRIES = 300_000
 CACHED_CHARS = 64  # longer pre-tokens are encoded but not kept
+SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 1 << 16  # of the sample: rows, and bytes of a text that enters it
+FREQUENT_ENTRIES = 50_000  # counted pre-tokens in the table, beside those of the vocabulary
 
 _cut = re.compile(" +[^ ]*")
 _models: dict[str, sentencepiece.SentencePieceProcessor] = {}
@@ -35,11 +39,22 @@ def model(path: str) -> sentencepiece.SentencePieceProcessor:
     return _models[path]
 
 
-def frequent_lengths(path: str) -> dict[str, int]:
-    """Lengths of the pre-tokens that are one piece of the vocabulary; at most as many as it has pieces."""
+def frequent_words(df: DataFrame, text_column: str, rows: int) -> list[str]:
+    """The pre-tokens that repeat in the first ``rows`` rows that Spark reads, the most frequent first."""
+    text = F.col(text_column)
+    counts: Counter[str] = Counter()
+    for (sample,) in df.select(F.when(F.octet_length(text) <= SAMPLE_BYTES, text)).take(rows):
+        if sample:
+            counts.update(pre_tokens(sample))
+    return [word for word, n in counts.most_common(FREQUENT_ENTRIES) if n > 1 and 0 < len(word) <= CACHED_CHARS]
+
+
+def frequent_lengths(path: str, counted_words: Iterable[str] = ()) -> dict[str, int]:
+    """Lengths of ``counted_words`` and of the pre-tokens that are one piece of the vocabulary."""
     sp = model(path)
     pieces = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
     words = [p[1:] for p in pieces if p.startswith(SPACE) and SPACE not in p[1:] and len(p) > 1]
+    words = list(dict.fromkeys([*words, *counted_words]))
     return dict(zip(words, map(len, sp.encode(words, num_threads=1))))
 
 
@@ -99,16 +114,17 @@ def counted(texts: list[str | None], frequent: dict[str, int], path: str) -> lis
     return out
 
 
-def count_tokens(df: DataFrame, model_path: str, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", limit: int = 4096) -> DataFrame:
+def count_tokens(df: DataFrame, model_path: str, id_columns: tuple[str, ...] = ("doc_id",), text_column: str = "text", limit: int = 4096, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``id_columns``, then n_bytes, n_tokens (long) and over_limit (n_tokens > ``limit``), a row for each row.
 
     Whole texts as the library encodes them without begin or end tokens. A null text counts as empty;
     rows with null or repeated ids stay rows of their own; an empty table gives an empty table; other
-    columns, whatever their names, are ignored. Map-side only: no shuffle.
+    columns, whatever their names, are ignored. Map-side only: no shuffle. ``sample_rows`` bounds the
+    sample of frequent pre-tokens, which one short job brings to the driver; any number, 0 included, gives
+    the same counts.
     """
     if not splittable(model_path):
         raise ValueError("this model's pieces can reach across spaces; its texts can't be cut there")
-    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(model_path))
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -122,7 +138,10 @@ def count_tokens(df: DataFrame, model_path: str, id_columns: tuple[str, ...] = (
                 columns["n_tokens"] = counted(part.column(f"in_{text_column}").to_pylist(), table, model_path)
                 yield columns
 
-    source = renamed(df, [*id_columns, text_column]).withColumn("n_bytes", utf8_length(F.col(f"in_{text_column}")))
+    source = renamed(df, [*id_columns, text_column])
+    words = frequent_words(source, f"in_{text_column}", sample_rows)
+    shared = df.sparkSession.sparkContext.broadcast(frequent_lengths(model_path, words))
+    source = source.withColumn("n_bytes", utf8_length(F.col(f"in_{text_column}")))
     schema = T.StructType([T.StructField(f"in_{c}", kinds[c]) for c in id_columns] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     out = arrow_rows(source, make, schema)
     return out.select(*(F.col(f"in_{c}").alias(c) for c in id_columns), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -47,6 +47,17 @@ def test_token_counts_of_edge_rows(spark):
     assert token_counts.count_tokens(edge_rows(spark, 0), MODEL).count() == 0
 
 
+def test_the_sample_of_frequent_words_changes_no_count(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    none, some = (sorted(map(tuple, token_counts.count_tokens(docs, MODEL, sample_rows=n).collect())) for n in (0, 50))
+    assert none == some
+    words = token_counts.frequent_words(docs, "text", 50)
+    table, pieces = token_counts.frequent_lengths(MODEL, words), token_counts.frequent_lengths(MODEL)
+    sp = token_counts.model(MODEL)
+    assert set(words) | set(pieces) == set(table) and all(table[w] == len(sp.encode(w)) for w in words)
+    assert any(table[w] > 1 for w in words) and "" not in table
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
