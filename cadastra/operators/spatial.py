@@ -115,15 +115,34 @@ def pip_join(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id:
     return met.groupBy(point_id, polygon_id).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").select(point_id, polygon_id)
 
 
+CROWD = 32  # times k targets in a cell of the neighbour search start it with smaller cells
+HALVINGS = 30  # of the first cell's side; fewer cost time only
+
+
+def _first_cell(targets: DataFrame, size: float, most: int) -> float:
+    """``size`` halved until no cell holds more than ``most`` of the durable ``targets``."""
+    for _ in range(HALVINGS):
+        fullest = targets.groupBy(_cell(F.col("_tx"), size).alias("cx"), _cell(F.col("_ty"), size).alias("cy")).count().agg(F.max("count")).first()[0]
+        if fullest <= most:
+            break
+        size /= 2
+    return size
+
+
 def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float | None = None, id_column: str = "id", target_id: str = "tid", x: str = "x", y: str = "y", tx: str = "tx", ty: str = "ty", exclude_self: bool = False, rounds: int = 64) -> DataFrame:
     """(id, target id, distance, rank): the ``k`` nearest targets of each point, ties by the smaller target id.
 
     Rings of cells grow around the points not yet settled: with all cells up to ring m searched, a
     point's k-th neighbour is certain once it is no farther than the edge of that ring. The ring doubles
-    each round, and only unsettled points go on. The first cell holds ``k`` targets in the mean unless
-    ``cell`` says otherwise. ``exclude_self`` leaves out a target of the point's id.
+    each round, and only unsettled points go on. The first cell holds ``k`` targets in the mean, and is
+    halved until the fullest cell holds no more than ``CROWD`` times ``k``, unless ``cell`` says otherwise:
+    points in a crowd settle among few targets, and have left when cells grow to reach lonely points. Of
+    the targets at one place only the ``k + 1`` smallest ids can be among the nearest, so others don't
+    enter. ``exclude_self`` leaves out a target of the point's id.
     """
     there = targets.where(F.col(tx).isNotNull() & F.col(ty).isNotNull()).select(F.col(target_id).alias("_t"), F.col(tx).alias("_tx"), F.col(ty).alias("_ty"))
+    at_place = Window.partitionBy("_tx", "_ty").orderBy("_t")
+    there = durable(there.withColumn("_k", F.dense_rank().over(at_place)).where(F.col("_k") <= k + 1).drop("_k"))
     todo = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id_column).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"))
     spread = there.agg(F.min("_tx"), F.max("_tx"), F.min("_ty"), F.max("_ty"), F.count(F.lit(1))).first()
     total = spread[4]
@@ -134,7 +153,7 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float | None =
     reach_all = max(spread[1], limits[1]) - min(spread[0], limits[0]), max(spread[3], limits[3]) - min(spread[2], limits[2])
     if cell is None:
         wide, high = (max(spread[i + 1] - spread[i], 1e-9) for i in (0, 2))
-        cell = math.sqrt(wide * high * k / total)
+        cell = _first_cell(there, math.sqrt(wide * high * k / total), CROWD * k)
     last = math.ceil(max(reach_all) / cell) + 1
     out, ring, size = None, 1, float(cell)
     for _ in range(rounds):

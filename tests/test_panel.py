@@ -152,9 +152,11 @@ def test_geometry():
     assert MASSACHUSETTS.point(-71.5, 41.0) == pytest.approx((200_000, 750_000))
 
 
-def test_knn_is_brute_force(spark):
+@pytest.mark.parametrize("crowd", [spatial.CROWD, 1])
+def test_knn_is_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(spatial, "CROWD", crowd)
     rng = np.random.default_rng(2)
-    xy = np.vstack([rng.random((60, 2)), rng.random((20, 2)) * 0.01, [[50.0, 50.0]]])
+    xy = np.vstack([rng.random((60, 2)), rng.random((20, 2)) * 0.01, rng.random((30, 2)) * 1e-5 + 0.3, [[0.75, 0.75]] * 12, [[50.0, 50.0]]])
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(xy)], "id int, x double, y double")
     t = df.select(F.col("id").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"))
     got = {(r.id, r.tid) for r in spatial.knn_join(df, t, 4, exclude_self=True).collect()}
@@ -163,6 +165,12 @@ def test_knn_is_brute_force(spark):
     assert got == {(i, int(j)) for i in range(len(xy)) for j in sorted(range(len(xy)), key=lambda j: (d[i, j], j))[:4]}
 
 
+def test_the_first_cell_follows_the_fullest(spark):
+    places = [(float(i), 0.0) for i in range(20)] + [(3 + i / 1024, 0.0) for i in range(16)]
+    there = spark.createDataFrame(places, "_tx double, _ty double")
+    assert [spatial._first_cell(there, 32.0, most) for most in (36, 18, 5)] == [32.0, 2.0, 1 / 256]
+
+
 def test_paths_are_those_of_relaxation(spark):
     rng = np.random.default_rng(4)
     rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90))]
