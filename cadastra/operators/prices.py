@@ -36,9 +36,13 @@ BROADCAST_GROUPS = 10_000  # up to which so many short rows are broadcast
 
 
 def _with_groups(df: DataFrame, by: str, groups: DataFrame) -> DataFrame:
-    """``df`` with the durable ``groups`` of its ``by``, named _by there; broadcast if they are as few as years are."""
-    few = groups.count() <= BROADCAST_GROUPS
-    return df.join(F.broadcast(groups) if few else groups, F.col(by) == F.col("_by"), "left")
+    """``df`` with the ``groups`` of its ``by``, named _by there; broadcast if they are as few as years are."""
+    few = groups.take(BROADCAST_GROUPS + 1)
+    if len(few) <= BROADCAST_GROUPS:
+        groups = F.broadcast(df.sparkSession.createDataFrame(few, groups.schema))
+    else:
+        groups = durable(groups)
+    return df.join(groups, F.col(by) == F.col("_by"), "left")
 
 
 def quantiles(df: DataFrame, wanted: Sequence[tuple[str, float]], by: str) -> DataFrame:
@@ -56,7 +60,7 @@ def quantiles(df: DataFrame, wanted: Sequence[tuple[str, float]], by: str) -> Da
         *(end(c, max(q - e, 0.0)).alias(f"_lo{i}") for i, (c, q) in enumerate(wanted)), *(end(c, min(q + e, 1.0)).alias(f"_hi{i}") for i, (c, q) in enumerate(wanted))
     )
     values = df.where(F.col(by).isNotNull()).select(F.col(by).alias("_g"), *(F.col(c).cast("double").alias(f"_v{i}") for i, (c, _) in enumerate(wanted)))
-    met = _with_groups(values, "_g", durable(brackets))
+    met = _with_groups(values, "_g", brackets)
     each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col(f"_v{i}").alias("v"), F.col(f"_lo{i}").alias("lo"), F.col(f"_hi{i}").alias("hi")) for i, (_, q) in enumerate(wanted)))
     long = met.select("_by", F.inline(each)).where("v is not null")
     # what lies below and above a bracket is one row of a group each, so its rows are few before they are put in order
@@ -85,7 +89,7 @@ def winsorized(df: DataFrame, clips: Sequence[tuple[str, float | None, float | N
         todo = [(c, q) for c, low, high in clips if c in df.columns and (q := low if low_pass else high) is not None]
         if not todo:
             continue
-        df = _with_groups(df, by, durable(quantiles(df, todo, by)))
+        df = _with_groups(df, by, quantiles(df, todo, by))
         df = df.withColumns({c: s.clipped(F.col(c), F.col(f"_q_{c}") if low_pass else None, None if low_pass else F.col(f"_q_{c}")) for c, _ in todo})
         df = df.drop("_by", *(f"_q_{c}" for c, _ in todo))
     return df
