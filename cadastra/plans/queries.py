@@ -609,11 +609,74 @@ def _modelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(years)
 
 
-@query()
+#: What the year dummies and the constant leave undetermined: each row has one dummy.
+_FREE = "CASE WHEN term = 'const' THEN 1.0 WHEN starts_with(term, 'y_') THEN -1.0 ELSE 0.0 END"
+_FREE_WEIGHT = 1000
+
+
+def _fits_sql(numbers: dict[str, str], fold: str = "-1", groups: str = "SELECT -1 AS g", before: str = "") -> str:
+    """CTEs ``long`` (a row's nonzero terms) to ``beta`` (each group's fit on rows of other folds), by normal equations.
+
+    With N spanning the null space of X, (X'X + w NN') b = X'y has the solution of least norm, and its
+    inverse is the pseudoinverse of X'X plus NN' / (w |N|^4). A term that a training set lacks gets 0.
+    """
+    many = " ".join(f"UNION ALL SELECT geo_pid, fy, fold, '{name}', {value} FROM placed" for name, value in numbers.items())
+    return (
+        _PRICED_SQL
+        + f""",
+complete AS (SELECT *, centroid_x + centroid_y + 50 AS emp_dist_m, ln(price_per_sqft) AS y FROM input WHERE price_per_sqft > 0 AND prior_sales_avg > 0 AND living_area > 0 AND centroid_x + centroid_y + 50 > 0),
+{before}
+placed AS (SELECT *, {fold} AS fold FROM complete),
+long(geo_pid, fy, fold, term, v) AS (SELECT geo_pid, fy, fold, 'const', 1.0::DOUBLE FROM placed {many}
+  UNION ALL SELECT geo_pid, fy, fold, 'land_use_code_' || land_use_code, 1 FROM placed WHERE land_use_code > (SELECT min(land_use_code) FROM input)
+  UNION ALL SELECT geo_pid, fy, fold, 'neighborhood_name_' || neighborhood_name, 1 FROM placed WHERE neighborhood_name > (SELECT min(neighborhood_name) FROM input)
+  UNION ALL SELECT geo_pid, fy, fold, 'y_' || (fy - {YEARS[1]} + 2017), 1 FROM placed WHERE fy >= {YEARS[1]}),
+terms AS (SELECT term, row_number() OVER (ORDER BY term) AS spot, {_FREE} AS free FROM long GROUP BY term HAVING term = 'const' OR min(v) < max(v) OR count(*) < (SELECT count(*) FROM complete)),
+sides AS (SELECT geo_pid, fy, fold, spot, v FROM long JOIN terms USING (term)),
+moments AS (SELECT a.fold, a.spot AS i, b.spot AS j, sum(a.v * b.v) AS s FROM sides a JOIN sides b USING (geo_pid, fy) GROUP BY ALL),
+answers AS (SELECT s.fold, spot AS i, sum(v * y) AS s FROM sides s JOIN complete USING (geo_pid, fy) GROUP BY ALL),
+groups AS ({groups}),
+products AS (SELECT g, i, j, sum(s) AS s FROM groups JOIN moments ON fold <> g OR g = -1 GROUP BY ALL),
+targets AS (SELECT g, i, sum(s) AS s FROM groups JOIN answers ON fold <> g OR g = -1 GROUP BY ALL),
+lines AS (SELECT groups.g, a.spot AS i, list(coalesce(p.s, CASE WHEN a.spot = b.spot THEN 1.0 ELSE 0.0 END) + {_FREE_WEIGHT} * a.free * b.free ORDER BY b.spot) AS line, list(CASE WHEN a.spot = b.spot THEN 1.0 ELSE 0.0 END ORDER BY b.spot) AS unit
+  FROM groups CROSS JOIN terms a CROSS JOIN terms b LEFT JOIN products p ON p.g = groups.g AND p.i = a.spot AND p.j = b.spot GROUP BY groups.g, a.spot),
+steps(g, k, m) AS (
+  SELECT g, 0, list(list_concat(line, [coalesce(s, 0.0)], unit) ORDER BY i) FROM lines LEFT JOIN targets USING (g, i) GROUP BY g
+  UNION ALL
+  SELECT g, k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = k + 1 THEN list_transform(m[k + 1], lambda x: x / m[k + 1][k + 1])
+    ELSE list_transform(range(1, len(m[1]) + 1), lambda j: m[i][j] - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END) FROM steps WHERE k < len(m)
+),
+beta AS (SELECT g, spot, term, m[spot][len(m) + 1] AS b, m[spot][len(m) + 1 + spot] - free * free / ({_FREE_WEIGHT} * (SELECT sum(free * free) * sum(free * free) FROM terms)) AS inverse FROM steps CROSS JOIN terms WHERE k = len(m)),
+guesses AS (SELECT geo_pid, fy, s.fold, sum(v * b) AS guess FROM sides s JOIN beta ON beta.spot = s.spot AND (g = s.fold OR g = -1) GROUP BY ALL),
+missed AS (SELECT c.geo_pid, c.fy, c.centroid_x AS x, c.centroid_y AS y0, g.fold, c.y, c.y - guess AS resid FROM complete c JOIN guesses g USING (geo_pid, fy))"""
+    )
+
+
+_NUMBERS = {"log_prior_sales_avg": "ln(prior_sales_avg)", "log_emp_dist_m": "ln(emp_dist_m)", "log_living_area": "ln(living_area)"}
+
+
+# The t distribution by Simpson's rule, its quantile by Newton's method from the normal one's.
+_T_TAIL = """(scale * {t} / 6000 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(i * {t} / 2000, 2) / rest, -(rest + 1) / 2))))"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + _fits_sql(_NUMBERS | {"yr_built": "yr_built"})
+    + f""",
+shape AS (SELECT (count(*) - (SELECT count(*) - 1 FROM terms))::DOUBLE AS rest, sum(resid * resid) AS ssr FROM missed),
+law AS (SELECT rest, ssr, exp(lgamma((rest + 1) / 2) - lgamma(rest / 2)) / sqrt(rest * pi()) AS scale FROM shape),
+roots(k, rest, scale, q) AS (SELECT 0, rest, scale, 1.959963985::DOUBLE FROM law UNION ALL SELECT k + 1, rest, scale, q - ({_T_TAIL.format(t="q")} - 0.475) / (scale * pow(1 + q * q / rest, -(rest + 1) / 2)) FROM roots WHERE k < 8),
+scored AS (SELECT term, b, sqrt(ssr / law.rest * inverse) AS se, law.rest, law.scale, q FROM beta CROSS JOIN law CROSS JOIN roots WHERE k = 8),
+tested AS (SELECT *, b / se AS t, least(abs(b / se), 40.0) AS size FROM scored)
+SELECT term, round(b, 7) AS coef, round(se, 7) AS std_err, round(t, 4) AS t, abs(round(1 - 2 * {_T_TAIL.format(t="size")}, 7)) AS p_value, round(b - q * se, 7) AS ci_low, round(b + q * se, 7) AS ci_high FROM tested
+"""
+)
 def ols_building(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank-deficient by design, so no SQL aggregate gives it; tested against a pseudoinverse."""
+    """Rank-deficient by design: constant and year dummies add up."""
     f = stats.fit(stats.design(_modelled(spark, sf_dir), stats.SPECS["building2"]))
-    return spark.createDataFrame([tuple(map(_float, r)) for r in f.coefficients], "term string, coef double, std_err double, t double, p_value double, ci_low double, ci_high double")
+    digits = (7, 7, 4, 7, 7, 7)
+    rows = [(term, *(round(float(v), n) for v, n in zip(values, digits))) for term, *values in f.coefficients]
+    return spark.createDataFrame(rows, "term string, coef double, std_err double, t double, p_value double, ci_low double, ci_high double")
 
 
 def _float(v: object) -> object:
@@ -625,3 +688,30 @@ def cv_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spatial cross-validation of the building model; permutations have no SQL form, tested against numpy."""
     rows = stats.spatial_cv(_modelled(spark, sf_dir), stats.SPECS["building"], folds=5)
     return spark.createDataFrame([(r["fold"], int(r["n_train"]), int(r["n_test"]), *map(_float, (r["rmse"], r["mae"], r["r2"], r["moran_i"], r["moran_p"]))) for r in rows], "fold string, n_train long, n_test long, rmse double, mae double, r2 double, moran_i double, moran_p double")
+
+
+_BANDS_SQL = """
+stands AS (SELECT geo_pid, neighborhood_name AS area, any_value(centroid_x) AS x, any_value(centroid_y) AS y FROM complete GROUP BY ALL),
+areas AS (SELECT area, (row_number() OVER (ORDER BY area) - 1) % 2 AS odd FROM (SELECT DISTINCT area FROM stands)),
+banded AS (SELECT geo_pid, row_number() OVER (PARTITION BY area ORDER BY CASE WHEN odd = 0 THEN x ELSE y END, geo_pid) - 1 AS i, count(*) OVER (PARTITION BY area) AS n FROM stands JOIN areas USING (area)),"""
+
+
+@query(
+    "WITH RECURSIVE "
+    + _fits_sql(_NUMBERS, "(SELECT floor(i * 5 / n) FROM banded WHERE banded.geo_pid = complete.geo_pid)::INTEGER", "SELECT range AS g FROM range(5)", _BANDS_SQL)
+    + """,
+shown AS (SELECT *, fold::VARCHAR AS part FROM missed UNION ALL SELECT *, 'pooled' FROM missed),
+measured AS (SELECT part, count(*) AS n_test, sqrt(avg(resid * resid)) AS rmse, avg(abs(resid)) AS mae, 1 - sum(resid * resid) / (var_pop(y) * count(*)) AS r2 FROM shown GROUP BY part),
+means AS (SELECT part, geo_pid, any_value(x) AS x, any_value(y0) AS y, avg(resid) AS z FROM shown GROUP BY ALL),
+centred AS (SELECT *, z - avg(z) OVER (PARTITION BY part) AS c FROM means),
+near AS (SELECT a.part, a.c * b.c AS product, row_number() OVER (PARTITION BY a.part, a.geo_pid ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.geo_pid) AS k FROM centred a JOIN centred b ON a.part = b.part AND a.geo_pid <> b.geo_pid),
+crossed AS (SELECT part, sum(product) / 8 AS crossed FROM near WHERE k <= 8 GROUP BY part),
+own AS (SELECT part, sum(c * c) AS own FROM centred GROUP BY part)
+SELECT part AS fold, (SELECT count(*) FROM missed) - CASE WHEN part = 'pooled' THEN 0 ELSE n_test END AS n_train, n_test, round(rmse, 8) AS rmse, round(mae, 8) AS mae, round(r2, 7) AS r2, round(crossed / own, 7) AS moran_i FROM measured JOIN crossed USING (part) JOIN own USING (part)
+"""
+)
+def cv_fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can give of ``cv_metrics``: all but the permutations' p, which are therefore not drawn."""
+    rows = stats.spatial_cv(_modelled(spark, sf_dir), stats.SPECS["building"], folds=5, permutations=0)
+    digits = {"rmse": 8, "mae": 8, "r2": 7, "moran_i": 7}
+    return spark.createDataFrame([(r["fold"], int(r["n_train"]), int(r["n_test"]), *(round(float(r[c]), n) for c, n in digits.items())) for r in rows], "fold string, n_train long, n_test long, rmse double, mae double, r2 double, moran_i double")
