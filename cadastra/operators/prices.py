@@ -37,8 +37,8 @@ BROADCAST_GROUPS = 10_000  # up to which so many short rows are broadcast
 
 def _with_groups(df: DataFrame, by: str, groups: DataFrame) -> DataFrame:
     """``df`` with the ``groups`` of its ``by``, named _by there; broadcast if they are as few as years are."""
-    few = groups.take(BROADCAST_GROUPS + 1)
-    if len(few) <= BROADCAST_GROUPS:
+    few = groups.limit(BROADCAST_GROUPS + 1).toArrow()  # a list of rows would come back through Python workers
+    if few.num_rows <= BROADCAST_GROUPS:
         groups = F.broadcast(df.sparkSession.createDataFrame(few, groups.schema))
     else:
         groups = durable(groups)

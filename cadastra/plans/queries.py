@@ -668,13 +668,13 @@ law AS (SELECT rest, ssr, exp(lgamma((rest + 1) / 2) - lgamma(rest / 2)) / sqrt(
 roots(k, rest, scale, q) AS (SELECT 0, rest, scale, 1.959963985::DOUBLE FROM law UNION ALL SELECT k + 1, rest, scale, q - ({_T_TAIL.format(t="q")} - 0.475) / (scale * pow(1 + q * q / rest, -(rest + 1) / 2)) FROM roots WHERE k < 8),
 scored AS (SELECT term, b, sqrt(ssr / law.rest * inverse) AS se, law.rest, law.scale, q FROM beta CROSS JOIN law CROSS JOIN roots WHERE k = 8),
 tested AS (SELECT *, b / se AS t, least(abs(b / se), 40.0) AS size FROM scored)
-SELECT term, round(b, 7) AS coef, round(se, 7) AS std_err, round(t, 4) AS t, abs(round(1 - 2 * {_T_TAIL.format(t="size")}, 7)) AS p_value, round(b - q * se, 7) AS ci_low, round(b + q * se, 7) AS ci_high FROM tested
+SELECT term, round(b, 5) AS coef, round(se, 5) AS std_err, round(t, 3) AS t, abs(round(1 - 2 * {_T_TAIL.format(t="size")}, 6)) AS p_value, round(b - q * se, 5) AS ci_low, round(b + q * se, 5) AS ci_high FROM tested
 """
 )
 def ols_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-deficient by design: constant and year dummies add up."""
     f = stats.fit(stats.design(_modelled(spark, sf_dir), stats.SPECS["building2"]))
-    digits = (7, 7, 4, 7, 7, 7)
+    digits = (5, 5, 3, 6, 5, 5)
     rows = [(term, *(round(float(v), n) for v, n in zip(values, digits))) for term, *values in f.coefficients]
     return spark.createDataFrame(rows, "term string, coef double, std_err double, t double, p_value double, ci_low double, ci_high double")
 
