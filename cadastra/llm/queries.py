@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, ngram_join, packing, quality, sharding, token_counts, toxicity, url_filter, vector_dedup
+from . import hard_negatives, licenses, line_quality, mixing, ngram_join, packing, quality, ranked_search, sharding, token_counts, toxicity, url_filter, vector_dedup
 from .common import table
 
 
@@ -156,6 +156,48 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return line_quality.score(documents, line_quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH sound AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS other, b.label AS label, list_dot_product(a.v, b.v)::BIGINT AS score FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS k FROM scores WHERE label = own) WHERE k <= 5),
+met AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.other AS negative_id, s.score AS negative_score FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND s.label <> s.own
+  WHERE 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS rank FROM met)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = f"regexp_extract_all(translate(text, '{licenses.UPPER}', '{licenses.LOWER}'), '{ranked_search.TERM}')"
+
+OP13_SQL = f"""
+WITH sized AS (SELECT row_number() OVER () AS place, doc_id, words, len(words)::BIGINT AS n FROM (SELECT doc_id, {_TERMS} AS words FROM documents WHERE text IS NOT NULL) WHERE len(words) > 0),
+stats AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS length FROM sized),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tokens AS (SELECT place, doc_id, n, unnest(words) AS term FROM sized),
+postings AS (SELECT place, doc_id, n, term, count(*)::BIGINT AS tf FROM tokens WHERE term IN (SELECT term FROM wanted) GROUP BY place, doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2.0 * total + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), stats),
+scores AS (SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total) // length))))::BIGINT AS score
+  FROM postings JOIN weights USING (term) JOIN wanted USING (term), stats GROUP BY item_id, place, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -167,6 +209,9 @@ QUERIES = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_shards": op10_shards,
+    "op11_line_quality": op11_line_quality,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ranked_search": op13_ranked_search,
 }
 
-ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op6_mix_sources": OP6_SQL, "op8_vector_dedup": OP8_SQL, "op9_url_filters": op9_sql()}
+ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op6_mix_sources": OP6_SQL, "op8_vector_dedup": OP8_SQL, "op9_url_filters": op9_sql(), "op12_hard_negatives": OP12_SQL, "op13_ranked_search": OP13_SQL}
