@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cadastra.functions import scalars as s
 from cadastra.functions.crs import MASSACHUSETTS
-from cadastra.operators import choices, enrich, graph, panel, prices, spatial, stats
+from cadastra.operators import choices, enrich, graph, logit, panel, prices, spatial, stats
 
 YEARS = tuple(range(1995, 2002))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -498,6 +498,49 @@ def dev_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("geo_pid", "fy", "current_lu", "prior_lu", F.round("acquisition_cost", 4).alias("acquisition_cost"), "in_choice_set", "dev_outcome")
 
 
+# What was chosen, of the residential parcels. At the maximum the score equations hold: fitted sums are observed sums.
+
+_CHOICE_SQL = (
+    "WITH "
+    + _STATE_SQL
+    + """, c AS (SELECT a.fy, ln(b.assessed_total) AS cost, ln(b.land_sf) AS land, b.lu, CASE WHEN coalesce(a.unit_category, 'No Development') <> coalesce(b.unit_category, 'No Development') THEN coalesce(a.unit_category, 'No Development') ELSE 'No Development' END AS outcome
+  FROM state a JOIN state b ON a.geo_pid = b.geo_pid AND b.fy + 1 = a.fy WHERE a.fy BETWEEN 1994 AND 1998 AND b.assessed_total > 0 AND b.land_sf > 0 AND b.lu IN ('R1', 'R2', 'R3', 'R4', 'A', 'CD', 'CP', 'CC', 'CM', 'RC', 'RL'))"""
+)
+_CHOICE_TERMS = """unnest([struct_pack(term := 'const', v := 1.0), struct_pack(term := 'log_acquisition_cost', v := cost), struct_pack(term := 'log_land_sf', v := land)]) AS t"""
+
+
+def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = choices.choice_set(*_identity(spark, sf_dir), years=range(1994, 1999)).where("in_choice_set")
+    return out.withColumn("year", F.col("fy").cast("string"))
+
+
+@query(_CHOICE_SQL + f" SELECT outcome AS alternative, t.term AS term, round(sum(t.v), 3) AS fitted FROM (SELECT outcome, {_CHOICE_TERMS} FROM c) GROUP BY ALL")
+def choice_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A multinomial logit of what was developed: its fitted sums of each term by alternative."""
+    d = logit.choice_design(_choices(spark, sf_dir), ["acquisition_cost", "land_sf"])
+    return logit.totals(d, logit.fit_choice(d)).withColumn("fitted", F.round("fitted", 3))
+
+
+@query(_CHOICE_SQL + f" SELECT outcome <> 'No Development' AS develops, t.term AS term, round(sum(t.v), 3) AS fitted FROM (SELECT outcome, {_CHOICE_TERMS} FROM c) GROUP BY ALL")
+def choice_nested_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A developer first decides to build and then how densely: the fitted sums by nest, which the nested model keeps too."""
+    d = logit.choice_design(_choices(spark, sf_dir), ["acquisition_cost", "land_sf"])
+    sums = logit.totals(d, logit.fit_choice(d, {"develop": d.alternatives[1:]}))
+    return sums.groupBy((F.col("alternative") != logit.BASE).alias("develops"), "term").agg(F.round(F.sum("fitted"), 3).alias("fitted"))
+
+
+@query(
+    _CHOICE_SQL
+    + """, n AS (SELECT fy, outcome, count(*)::DOUBLE AS n FROM c GROUP BY ALL), o AS (SELECT k.fy, k.outcome, ln(k.n / b.n) AS odds, 1 / k.n + 1 / b.n AS v FROM n k JOIN n b ON k.fy = b.fy AND b.outcome = 'No Development' WHERE k.outcome <> 'No Development')
+SELECT outcome AS alternative, 'const' AS term, round(odds, 6) AS coef, round(sqrt(v), 6) AS std_err FROM o WHERE fy = (SELECT min(fy) FROM c) UNION ALL SELECT o.outcome, 'year_' || o.fy, round(o.odds - f.odds, 6), round(sqrt(o.v + f.v), 6) FROM o JOIN o f ON f.outcome = o.outcome AND f.fy = (SELECT min(fy) FROM c) WHERE o.fy > f.fy
+"""
+)
+def choice_logit_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saturated model, whose estimates are log odds of counts."""
+    f = logit.fit_choice(logit.choice_design(_choices(spark, sf_dir), ["year"]))
+    return spark.createDataFrame([(a, t, round(b, 6), round(e, 6)) for a, t, b, e, _, _ in f.coefficients], "alternative string, term string, coef double, std_err double")
+
+
 @query("""
 WITH p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE substr(o_orderpriority, 1, 1) END AS prior_lu, year(o_orderdate)::INTEGER AS fy FROM orders),
 prices AS (SELECT CASE WHEN p_size % 7 = 0 THEN NULL ELSE (p_size % 7)::VARCHAR END AS lu, 1995 + p_size % 5 AS fy, first(CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END ORDER BY p_partkey) AS price FROM part GROUP BY ALL)
