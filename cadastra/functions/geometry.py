@@ -49,53 +49,6 @@ def bounds(polygon: Polygon) -> tuple[float, float, float, float]:
     return (*points.min(axis=0).tolist(), *points.max(axis=0).tolist())
 
 
-def _fans(polygon: Polygon, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counter-clockwise triangles and their signs, adding up to the polygon."""
-    triangles, signs = [], []
-    for ring in oriented(polygon):
-        r = ring - origin
-        for b, c in zip(r[1:-1], r[2:]):
-            twice = (b[0] - r[0][0]) * (c[1] - r[0][1]) - (c[0] - r[0][0]) * (b[1] - r[0][1])
-            if twice:
-                triangles.append([r[0], b, c] if twice > 0 else [r[0], c, b])
-                signs.append(np.sign(twice))
-    return np.array(triangles).reshape(-1, 3, 2), np.array(signs)
-
-
-def _clipped_area(subject: np.ndarray, clip: np.ndarray) -> float:
-    """Area common to two counter-clockwise triangles, by clipping against half planes."""
-    points = subject
-    for i in range(3):
-        a, b = clip[i], clip[(i + 1) % 3]
-        side = (b[0] - a[0]) * (points[:, 1] - a[1]) - (b[1] - a[1]) * (points[:, 0] - a[0])
-        kept = []
-        for j in range(len(points)):
-            k = (j + 1) % len(points)
-            if side[j] >= 0:
-                kept.append(points[j])
-            if (side[j] > 0 and side[k] < 0) or (side[j] < 0 and side[k] > 0):
-                kept.append(points[j] + (points[k] - points[j]) * (side[j] / (side[j] - side[k])))
-        if len(kept) < 3:
-            return 0.0
-        points = np.array(kept)
-    return abs(signed_area(points))
-
-
-def overlap_area(a: Polygon, b: Polygon) -> float:
-    """Area of the intersection, holes and concave rings included.
-
-    Signed fans of triangles, intersected pair by pair near a local origin; pairs whose boxes miss are skipped.
-    """
-    origin = ring_array(a[0][0])[0]
-    ta, sa = _fans(a, origin)
-    tb, sb = _fans(b, origin)
-    if not len(ta) or not len(tb):
-        return 0.0
-    lo_a, hi_a, lo_b, hi_b = ta.min(axis=1), ta.max(axis=1), tb.min(axis=1), tb.max(axis=1)
-    meet = ((lo_a[:, None] <= hi_b[None]) & (lo_b[None] <= hi_a[:, None])).all(axis=2)
-    return float(max(0.0, sum(sa[i] * sb[j] * _clipped_area(ta[i], tb[j]) for i, j in zip(*np.nonzero(meet)))))
-
-
 def contains(polygon: Polygon, x: float, y: float) -> bool:
     """Crossing parity over all rings; half-open, so a point on a shared edge is in one of two neighbours."""
     inside = False

@@ -24,13 +24,14 @@ def best_predecessors(shapes: DataFrame, cell: float, least: float = LEAST_OVERL
     """(key, year, prev_geo_pid, overlap_share): the parcel of the year before with the largest share of this one.
 
     All pairs of years are one overlay with the year as a key, so years that are missing are skipped. The
-    least share is asked of the best only; ties go to the smaller predecessor.
+    least share is asked of the best only; ties, to nine digits, go to the smaller predecessor. Pairs that
+    can't reach it by their boxes can't be returned and aren't clipped.
     """
     prior = shapes.select(F.col(key).alias("prev_geo_pid"), (F.col(year) + 1).cast(shapes.schema[year].dataType).alias("_next"), F.col(geom))
-    met = overlay(shapes, prior, cell, key, "prev_geo_pid", geom, [(year, "_next")])
-    order = Window.partitionBy(key, year).orderBy(F.desc_nulls_last("overlap_share"), "prev_geo_pid")
+    met = overlay(shapes, prior, cell, key, "prev_geo_pid", geom, [(year, "_next")], least)
+    order = Window.partitionBy(key, year).orderBy(F.desc_nulls_last(F.round("overlap_share", 9)), "prev_geo_pid")
     best = met.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
-    return best.where(F.col("overlap_share") >= least).select(key, year, "prev_geo_pid", "overlap_share")
+    return best.where(F.round("overlap_share", 9) >= least).select(key, year, "prev_geo_pid", "overlap_share")
 
 
 def development_events(state: DataFrame, predecessors: DataFrame, years: Sequence[int] = EVENT_YEARS, key: str = "geo_pid", year: str = "fy") -> DataFrame:

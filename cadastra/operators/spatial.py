@@ -11,12 +11,13 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cadastra.functions import geometry
+from cadastra.functions import clipping, geometry
 from cadastra.functions.geometry import GEOMETRY_TYPE
 from cadastra.session import durable
 
@@ -184,30 +185,39 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, cell: float | None =
     return out.select(F.col("_p").alias(id_column), F.col("_t").alias(target_id), F.col("_d").alias("distance"), F.col("_k").alias("rank"))
 
 
-def boxed(df: DataFrame, geom: str = "geom") -> DataFrame:
-    """``df`` with the box of ``geom``, x0, y0, x1, y1, and whether the polygon is its box."""
+def boxed(df: DataFrame, geom: str, prefix: str) -> DataFrame:
+    """``df`` with the box of ``geom``: x0, y0, x1, y1 under ``prefix``."""
     points = F.flatten(F.flatten(geom))
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
-    df = df.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
-    # a single closed ring of four edges that are parallel to the axes and enclose as much as the box
-    ring = F.col(geom)[0][0]
-    edges = F.zip_with(F.slice(ring, 1, 4), F.slice(ring, 2, 4), lambda p, q: F.struct((p[0] * q[1] - q[0] * p[1]).alias("twice"), ((p[0] == q[0]) | (p[1] == q[1])).alias("straight")))
-    enclosed = F.abs(F.aggregate(edges, F.lit(0.0), lambda a, e: a + e["twice"])) / 2
-    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    single = (F.size(geom) == 1) & (F.size(F.col(geom)[0]) == 1)
-    is_box = F.when(single, F.when(F.size(ring) == 5, (ring[0] == ring[4]) & F.forall(edges, lambda e: e["straight"]) & (size > 0) & (F.abs(enclosed - size) <= 1e-9 * size)))
-    return df.withColumn("is_box", F.coalesce(is_box, F.lit(False)))
-
-
-def overlay(current: DataFrame, prior: DataFrame, cell: float, cur_id: str = "geo_pid", pri_id: str = "prev_geo_pid", geom: str = "geom", equal: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    return df.withColumns({f"{prefix}x0": F.array_min(xs), f"{prefix}y0": F.array_min(ys), f"{prefix}x1": F.array_max(xs), f"{prefix}y1": F.array_max(ys)})
+
+
+def _ring_area(ring: Column) -> Column:
+    # about the first point, so that closed and open rings count the same
+    dx, dy = (lambda p: p[0] - F.get(F.get(ring, 0), 0)), (lambda p: p[1] - F.get(F.get(ring, 0), 1))
+    rest = F.greatest(F.size(ring) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(ring, 1, rest), F.slice(ring, 2, rest), lambda p, q: dx(p) * dy(q) - dx(q) * dy(p))
+    return F.abs(F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)) / 2
+
+
+def area(geom: Column) -> Column:
+    """Shells less holes, over all parts."""
+    part = lambda rings: F.coalesce(_ring_area(F.get(rings, 0)), F.lit(0.0)) - F.aggregate(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), F.lit(0.0), lambda a, r: a + _ring_area(r))
+    return F.aggregate(geom, F.lit(0.0), lambda a, p: a + part(p))
+
+
+PAIRS = 4_096  # whose outlines are clipped together
+
+
+def overlay(current: DataFrame, prior: DataFrame, cell: float, cur_id: str = "geo_pid", pri_id: str = "prev_geo_pid", geom: str = "geom", equal: Sequence[tuple[str, str]] = (), least: float = 0.0) -> DataFrame:
     """(cur_id, equal keys, pri_id, overlap_area, overlap_share of the current area) of polygons whose boxes meet.
 
     Boxes share cells; a pair is taken in the cell that holds the corner of its common box only, so no
-    pair meets twice. What two polygons that are their boxes share is a product of lengths; other areas
-    are computed in Arrow batches.
+    pair meets twice. Pairs whose common box is too small for a share of ``least`` don't go further; the
+    others' outlines are clipped in Arrow batches. Polygons are concave, holed or of several parts as they come.
     """
-    a = boxed(current.select(F.col(cur_id).alias("_a"), F.col(geom).alias("_ga"), *(F.col(p).alias(f"_e{i}") for i, (p, _) in enumerate(equal))), "_ga").withColumnsRenamed({"x0": "ax0", "y0": "ay0", "x1": "ax1", "y1": "ay1", "is_box": "a_box"})
-    b = boxed(prior.select(F.col(pri_id).alias("_b"), F.col(geom).alias("_gb"), *(F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(equal))), "_gb").withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1", "is_box": "b_box"})
+    a = boxed(current.select(F.col(cur_id).alias("_a"), F.col(geom).alias("_ga"), *(F.col(p).alias(f"_e{i}") for i, (p, _) in enumerate(equal))), "_ga", "a").withColumn("_own", area(F.col("_ga")))
+    b = boxed(prior.select(F.col(pri_id).alias("_b"), F.col(geom).alias("_gb"), *(F.col(q).alias(f"_f{i}") for i, (_, q) in enumerate(equal))), "_gb", "b")
 
     def celled(df: DataFrame, s: str, names: tuple[str, str]) -> DataFrame:
         xs = F.sequence(_cell(F.col(f"{s}x0"), cell), _cell(F.col(f"{s}x1"), cell))
@@ -217,25 +227,23 @@ def overlay(current: DataFrame, prior: DataFrame, cell: float, cur_id: str = "ge
     on = (F.col("_acx") == F.col("_bcx")) & (F.col("_acy") == F.col("_bcy"))
     for i in range(len(equal)):
         on = on & (F.col(f"_e{i}") == F.col(f"_f{i}"))
-    boxes = (F.col("ax0") <= F.col("bx1")) & (F.col("bx0") <= F.col("ax1")) & (F.col("ay0") <= F.col("by1")) & (F.col("by0") <= F.col("ay1"))
-    corner = (_cell(F.greatest("ax0", "bx0"), cell) == F.col("_acx")) & (_cell(F.greatest("ay0", "by0"), cell) == F.col("_acy"))
-    met = celled(a, "a", ("_acx", "_acy")).join(celled(b, "b", ("_bcx", "_bcy")), on & boxes & corner)
-    keys = [f"_e{i}" for i in range(len(equal))]
-
-    def areas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            common = [geometry.overlap_area(p, q) for p, q in zip(pdf["_ga"], pdf["_gb"])]
-            own = [geometry.area(p) for p in pdf["_ga"]]
-            yield pdf[["_a", *keys, "_b"]].assign(overlap_area=common, _own=own)
-
-    names = ["_a", *keys, "_b"]
-    plain = F.col("a_box") & F.col("b_box")
     side = lambda c: F.least(f"a{c}1", f"b{c}1") - F.greatest(f"a{c}0", f"b{c}0")
-    own = (F.col("ax1") - F.col("ax0")) * (F.col("ay1") - F.col("ay0"))
-    simple = met.where(plain).select(*names, (side("x") * side("y")).alias("overlap_area"), own.alias("_own"))
-    other = met.where(~plain).select(*names, "_ga", "_gb")
-    schema = T.StructType([other.schema[c] for c in names] + [T.StructField("overlap_area", T.DoubleType()), T.StructField("_own", T.DoubleType())])
-    out = simple.union(other.mapInPandas(areas, schema)).withColumn("overlap_share", F.try_divide("overlap_area", "_own")).drop("_own")
+    enough = (side("x") >= 0) & (side("y") >= 0)
+    if least > 0:
+        enough = enough & (side("x") * side("y") >= F.col("_own") * (least * (1 - 1e-9)))
+    corner = (_cell(F.greatest("ax0", "bx0"), cell) == F.col("_acx")) & (_cell(F.greatest("ay0", "by0"), cell) == F.col("_acy"))
+    keys = ["_a", *(f"_e{i}" for i in range(len(equal))), "_b", "_own"]
+    met = celled(a, "a", ("_acx", "_acy")).join(celled(b, "b", ("_bcx", "_bcy")), on & enough & corner).select(*keys, "_ga", "_gb")
+
+    def clip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAIRS):
+                part = batch.slice(lo, PAIRS)
+                shared = clipping.shared_areas(part.column(part.num_columns - 2), part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(shared)], names=[*keys, "overlap_area"])
+
+    schema = T.StructType([*(met.schema[c] for c in keys), T.StructField("overlap_area", T.DoubleType())])
+    out = met.mapInArrow(clip, schema).withColumn("overlap_share", F.try_divide("overlap_area", "_own")).drop("_own")
     return out.withColumnsRenamed({"_a": cur_id, "_b": pri_id} | {f"_e{i}": p for i, (p, _) in enumerate(equal)})
 
 

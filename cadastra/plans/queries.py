@@ -450,6 +450,55 @@ def rect_overlay_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
 
 
+# Outlines with corners, holes and two parts: boxes added up and taken away, and then sheared, so that no edge is level or upright.
+
+#: Of each kind, boxes as (x0, y0, x1, y1) and their sign, and the rings that they are: (part, ring, corners).
+_KINDS = {
+    0: ([(0, 0, 9, 3, 1), (0, 3, 3, 9, 1)], [(0, 0, [(0, 0), (9, 0), (9, 3), (3, 3), (3, 9), (0, 9)])]),
+    1: ([(0, 0, 9, 9, 1), (2, 2, 6, 7, -1)], [(0, 0, [(0, 0), (9, 0), (9, 9), (0, 9)]), (0, 1, [(2, 2), (6, 2), (6, 7), (2, 7)])]),
+    2: ([(0, 0, 4, 9, 1), (6, 1, 10, 6, 1)], [(0, 0, [(0, 0), (4, 0), (4, 9), (0, 9)]), (1, 0, [(6, 1), (10, 1), (10, 6), (6, 6)])]),
+    3: ([(0, 0, 9, 9, 1), (3, 4, 6, 9, -1)], [(0, 0, [(0, 0), (9, 0), (9, 9), (6, 9), (6, 4), (3, 4), (3, 9), (0, 9)])]),
+}
+_SHEAR = (0.3, 0.2)  # x + 0.3 y, y + 0.2 x
+
+
+def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, y = F.col("p_partkey"), F.col("fy")
+    base = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
+    x0, y0 = ((k % 25) * 8 + (k * 7 + y * 3) % 5).cast("double"), (F.floor(k / 25) * 8 + (k * 5 + y) % 4).cast("double")
+    point = lambda dx, dy: F.array(x0 + dx + (y0 + dy) * _SHEAR[0], y0 + dy + (x0 + dx) * _SHEAR[1])
+    shape = lambda rings: F.array(*(F.array(*(F.array(*(point(*c) for c in corners)) for p, _, corners in rings if p == part)) for part in sorted({r[0] for r in rings})))
+    kind = k % 4
+    geom = F.coalesce(*(F.when(kind == n, shape(rings)) for n, (_, rings) in _KINDS.items()))
+    return base.select(k.alias("geo_pid"), "fy", geom.cast(spatial.GEOMETRY_TYPE).alias("geom"))
+
+
+_OUTLINE_SQL = f"""kinds(kind, dx0, dy0, dx1, dy1, sign) AS (VALUES {", ".join(f"({n}, {', '.join(map(str, box))})" for n, (boxes, _) in _KINDS.items() for box in boxes)}),
+boxes AS (SELECT p_partkey AS geo_pid, y AS fy, p_partkey // 25 AS line, x0 + dx0 AS x0, y0 + dy0 AS y0, x0 + dx1 AS x1, y0 + dy1 AS y1, sign::DOUBLE AS sign
+  FROM (SELECT p_partkey, y, (p_partkey % 25) * 8 + (p_partkey * 7 + y * 3) % 5 AS x0, (p_partkey // 25) * 8 + (p_partkey * 5 + y) % 4 AS y0 FROM part, range(2016, 2020) t(y)) JOIN kinds ON kind = p_partkey % 4),
+own AS (SELECT geo_pid, fy, sum(sign * (x1 - x0) * (y1 - y0)) AS own FROM boxes GROUP BY ALL),
+o AS (SELECT a.geo_pid, a.fy, b.geo_pid AS prev_geo_pid, sum(a.sign * b.sign * greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS common
+  FROM (SELECT *, unnest([-2, -1, 0, 1, 2]) AS d FROM boxes) a JOIN boxes b ON b.fy + 1 = a.fy AND b.line = a.line + d GROUP BY ALL),
+shares AS (SELECT geo_pid, fy, prev_geo_pid, common, common / own AS share FROM o JOIN own USING (geo_pid, fy) WHERE common > 0)"""
+
+
+@query(f"WITH {_OUTLINE_SQL} SELECT geo_pid, fy::INTEGER AS fy, prev_geo_pid, round(common * {1 - _SHEAR[0] * _SHEAR[1]}, 5) AS overlap_area, round(share, 7) AS overlap_share FROM shares")
+def polygon_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps of slanted outlines with corners, holes and two parts, over all parts and years."""
+    shapes = _outlines(spark, sf_dir)
+    prior = shapes.select(F.col("geo_pid").alias("prev_geo_pid"), (F.col("fy") + 1).alias("next"), "geom")
+    met = spatial.overlay(shapes, prior, 10.0, equal=[("fy", "next")]).where("overlap_area > 1e-6")
+    return met.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_area", 5).alias("overlap_area"), F.round("overlap_share", 7).alias("overlap_share"))
+
+
+@query(f"""WITH {_OUTLINE_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY geo_pid, fy ORDER BY round(share, 9) DESC, prev_geo_pid) AS rn FROM shares)
+SELECT geo_pid, fy::INTEGER AS fy, prev_geo_pid, round(share, 6) AS overlap_share FROM best WHERE rn = 1 AND share >= 0.5""")
+def polygon_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best predecessor of each of these outlines."""
+    out = choices.best_predecessors(_outlines(spark, sf_dir), cell=10.0)
+    return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
+
+
 @query(f"WITH {_RECT_SQL} SELECT geo_pid, fy::INTEGER AS fy, x0 + w / 2 AS px, y0 + h / 2 AS py FROM rect")
 def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.representative_points(_rectangles(spark, sf_dir)).select("geo_pid", "fy", "px", "py")

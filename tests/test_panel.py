@@ -130,20 +130,6 @@ def test_quantiles_are_exact_beyond_the_sketch(spark, monkeypatch, accuracy, gro
         assert np.allclose([top[1], top[2]], [np.quantile(smooth, q), np.quantile(few, q)])
 
 
-coordinate = st.integers(-20, 20).map(lambda v: v / 4)
-triangle = st.lists(st.tuples(coordinate, coordinate), min_size=3, max_size=7, unique=True)
-
-
-@settings(max_examples=60, deadline=None)
-@given(triangle, triangle)
-def test_overlap_is_symmetric_and_bounded(a, b):
-    star = lambda pts: sorted(pts, key=lambda p: math.atan2(p[1] - sum(q[1] for q in pts) / len(pts), p[0] - sum(q[0] for q in pts) / len(pts)))
-    p, r = [[[list(v) for v in star(a)]]], [[[list(v) for v in star(b)]]]
-    left, right = g.overlap_area(p, r), g.overlap_area(r, p)
-    assert left == pytest.approx(right, abs=1e-9)
-    assert left <= min(g.area(p), g.area(r)) + 1e-9
-
-
 def test_geometry():
     frame = [[[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]]]
     assert g.area(frame) == 12 and not g.contains(frame, 2, 2) and g.contains(frame, 0.5, 0.5)
