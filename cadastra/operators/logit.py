@@ -238,8 +238,8 @@ def fit_choice(d: ChoiceDesign, nests: Mapping[str, Sequence[str]] | None = None
     """Maximum likelihood of the choices; with ``nests`` (name to alternatives), a nested logit.
 
     Alternatives in no nest are nests of their own; a nest of one has dissimilarity 1. Steps that don't
-    raise the likelihood are halved, directions of the wrong curvature turned, and dissimilarities kept
-    positive. A nested fit starts from the multinomial one. What isn't identified gets the estimate of least
+    raise the likelihood are halved, directions of the wrong curvature turned. A dissimilarity that falls to
+    ``SMALLEST`` stays there, without a standard error. A nested fit starts from the multinomial one. What isn't identified gets the estimate of least
     change from the start and no standard error. ``converged`` in the stats is 0 after ``rounds`` passes.
     """
     layout = Layout(d, nests)
@@ -267,30 +267,32 @@ def fit_choice(d: ChoiceDesign, nests: Mapping[str, Sequence[str]] | None = None
 
     passes, converged = 1, False
     value, grad, hess = at(theta)
+    scales = np.arange(p) >= p - len(layout.free)
     while passes < rounds:
-        bend, axes = np.linalg.eigh(-hess)
+        # a dissimilarity at its bound that would go on stays there
+        moves = ~(scales & (theta <= SMALLEST) & (grad <= 0))
+        bend, axes = np.linalg.eigh(-hess[np.ix_(moves, moves)])
         size = np.abs(bend)
         used = size > 1e-11 * size.max() if len(size) and size.max() > 0 else np.zeros(len(size), bool)
-        move = axes[:, used] @ ((axes[:, used].T @ grad) / size[used])
+        move = np.zeros(p)
+        move[moves] = axes[:, used] @ ((axes[:, used].T @ grad[moves]) / size[used])
+        falls = scales & (move < 0)
+        step = min([1.0, *((theta - SMALLEST)[falls] / -move[falls])])
+        goes = lambda: np.where(scales, np.maximum(theta + step * move, SMALLEST), theta + step * move)  # noqa: B023, E731
         if grad @ move / 2 < tolerance * max(1.0, abs(value)):
-            theta, converged = theta + move, True
+            theta, converged = goes(), True
             break
-        step, lam = 1.0, theta[p - len(layout.free) :]
-        down = move[p - len(layout.free) :]
-        for now, change in zip(lam, down):  # at most half way to the smallest dissimilarity
-            if change < 0:
-                step = min(step, 0.5 * (now - SMALLEST) / -change + 1e-6)
-        while passes < rounds:
-            tried = at(theta + step * move)
+        while passes < rounds and step >= 1e-8:
+            tried = at(goes())
             passes += 1
             if np.isfinite(tried[0]) and tried[0] >= value - 1e-13 * abs(value):
-                theta, (value, grad, hess) = theta + step * move, tried
+                theta, (value, grad, hess) = goes(), tried
                 break
             step /= 2
-            if step < 1e-8:
-                break
         if step < 1e-8:
             break
+    held = scales & (theta <= SMALLEST)
+    hess[held], hess[:, held] = 0, 0
     variance = np.linalg.pinv(-hess, rcond=1e-11, hermitian=True)
     null = np.abs(variance @ -hess - np.eye(p)).max(axis=1) > 1e-6
     errors = np.where(null, np.nan, np.sqrt(np.maximum(np.diag(variance), 0)))

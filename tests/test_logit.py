@@ -132,3 +132,21 @@ def test_fitted_sums_are_observed_sums(spark):
     for j, a in enumerate(ALTERNATIVES):
         for t, term in enumerate(d.terms):
             assert abs(got[a, term] - x[y == j, t].sum()) < 1e-6
+
+
+def test_a_dissimilarity_may_end_at_its_bound(spark):
+    # one alternative of the nest is better for all, so that the nest's choices are as of one without chance
+    x, z, y = drawn(300, 3)
+    z = np.zeros_like(z)
+    y = np.where(y == 2, 1, y)
+    y[:2] = 2
+    d = of_rows(spark, x, z, y)
+    f = logit.fit_choice(d, NESTS)
+    got = {}
+    for r in logit.totals(d, f).collect():
+        key = (r.alternative if r.alternative in ("No Development", "7-20 Units") else "small", r.term)
+        got[key] = got.get(key, 0) + r.fitted
+    for j, a in ((0, "No Development"), (3, "7-20 Units")):
+        for t, term in enumerate(d.terms):
+            assert abs(got[a, term] - x[y == j, t].sum()) < 1e-3
+    assert f.coefficients[-1][2] >= logit.SMALLEST and f.stats["log_likelihood"] >= logit.fit_choice(d).stats["log_likelihood"] - 1e-9
