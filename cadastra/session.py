@@ -22,3 +22,13 @@ def durable(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="cadastra-checkpoints-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of what ``durable`` returned, once all that reads it is durable itself."""
+    for df in frames:
+        kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if kept.isDefined():
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(kept.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

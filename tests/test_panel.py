@@ -157,15 +157,6 @@ def test_the_first_cell_follows_the_fullest(spark):
     assert [spatial._first_cell(there, 32.0, most) for most in (36, 18, 5)] == [32.0, 2.0, 1 / 256]
 
 
-def test_paths_are_those_of_relaxation(spark):
-    rng = np.random.default_rng(4)
-    rows = [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 30, 90), rng.integers(0, 30, 90), rng.integers(1, 9, 90))]
-    edges = spark.createDataFrame(rows, "src long, dst long, length double")
-    sources = spark.createDataFrame([("a", 3), ("a", 9), ("b", 5), ("b", 77)], "category string, node long")
-    one, two = (sorted(map(tuple, f(edges, sources).collect())) for f in (graph.shortest_paths, graph.relaxed_paths))
-    assert one == two and ("b", 77, 0.0) in one
-
-
 def test_ols_is_the_pseudoinverse_on_a_singular_design(spark):
     rng = np.random.default_rng(7)
     n = 400
