@@ -74,22 +74,5 @@ def test_lag_of_rows_without_price_or_point(spark):
     assert {r.id: (r.prior_sales_avg, r.prior_sales_count) for r in out.collect()} == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (10.0, 1)}
 
 
-def test_moran_permutations_by_broadcast_and_by_joins(spark):
-    rng = np.random.default_rng(5)
-    xy = rng.random((90, 2)) * 100
-    z = xy[:, 0] / 60 + rng.standard_normal(90)
-    rows = spark.createDataFrame([(i, 2020, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, z))], "geo_pid int, fy int, centroid_x double, centroid_y double, resid double")
-    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
-    np.fill_diagonal(d, np.inf)
-    c, near = z - z.mean(), np.argsort(d, axis=1)[:, :8]
-    value = lambda v: (v[:, None] * v[near]).sum() / 8 / (v @ v)
-    sims = np.array([value(rng.permutation(c)) for _ in range(4000)])
-    for largest in (10**6, 0):
-        m = stats.moran(rows, permutations=300, largest=largest)
-        assert np.isclose(m["moran_i"], value(c)) and m["moran_n_parcels"] == 90
-        assert abs(m["moran_z"] - (value(c) - sims.mean()) / sims.std()) < 0.2 * abs(m["moran_z"])
-        assert abs(m["moran_p"] - (np.abs(sims - sims.mean()) >= abs(value(c) - sims.mean())).mean()) < 0.03
-
-
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
