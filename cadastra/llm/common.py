@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from cadastra.session import durable, release  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,33 +23,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a
-    temporary folder; on a cluster a machine's own folder would lose rows with the machine.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not (context.master or "").startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="cadastra-checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes the files of what ``durable`` returned, once all that reads it is durable itself."""
-    for df in frames:
-        kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-        if kept.isDefined():
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(kept.get())
-            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def renamed(df: DataFrame, columns: Sequence[str], prefix: str = "in_") -> DataFrame:
     """Only ``columns`` of ``df``, under prefixed names, so that no other column of any name is in the way."""
     return df.select(*(df[f"`{c}`"].alias(prefix + c) for c in columns))
