@@ -1,8 +1,9 @@
-"""``python -m cadastra prepare|model``: the preparation from landed files, and the price models on its output."""
+"""``python -m cadastra prepare|model|choices``: the preparation from landed files, and the models on its outputs."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
@@ -20,10 +21,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--parcels", required=True, help="folder of parcels-fyYYYY.geojson")
     p.add_argument("--neighborhoods", help="GeoJSON")
     p.add_argument("--zoning", help="shapefile")
-    p.add_argument("--tracts", help="folder of tracts-YYYY.shp, by vintage")
+    p.add_argument("--tracts", help="folder of tracts-YYYY.zip or .shp, by vintage")
     p.add_argument("--income", help="folder of income-YYYY.json, by vintage")
     p.add_argument("--county", default="025", help="of the tracts")
-    p.add_argument("--walking", help="folder of nodes, edges and amenities")
+    p.add_argument("--walking", help="folder of nodes, edges, and amenities or features.geojson")
     p.add_argument("--prices", help="market prices by use, Parquet or CSV")
     p.add_argument("--out", required=True)
     p.add_argument("--years", type=int, nargs="*", help="fiscal years, all by default")
@@ -38,17 +39,25 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     m.add_argument("--folds", type=int, default=5)
     m.add_argument("--seed", type=int, default=0)
     m.add_argument("--sample", type=int, help="rows, for a quick look")
+    c = steps.add_parser("choices", help="multinomial and nested logit of what was developed")
+    c.add_argument("--input", required=True, help="devchoice_input.parquet")
+    c.add_argument("--out", required=True)
+    c.add_argument("--variables", nargs="*", default=["acquisition_cost", "land_sf", "dev_activity_600m"])
     return parser.parse_args(argv)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = arguments(argv)
-    spark = spark or SparkSession.builder.appName("cadastra").getOrCreate()
+    spark = spark or SparkSession.builder.appName("cadastra").config("spark.sql.python.filterPushdown.enabled", "true").getOrCreate()
     if args.step == "model":
         rows = spark.read.parquet(args.input)
         if args.sample:
             rows = panel.sampled(rows, args.sample, "parcel_id", args.seed)
-        pipeline.model_reports(spark, rows, args.out, {name: stats.SPECS[name] for name in args.specs}, args.folds, args.seed)
+        pipeline.model_reports(spark, rows, args.out, {name: stats.SPECS[name] for name in args.specs}, args.folds, args.seed, print)
+        return
+    if args.step == "choices":
+        for name, found in pipeline.choice_reports(spark, spark.read.parquet(args.input), args.out, args.variables).items():
+            print(f"{name}: " + ", ".join(f"{k} {v:,.4f}" for k, v in found.items()))
         return
     crs = None if args.planar else MASSACHUSETTS
     years = sorted(files.assessor_files(spark, args.assessors, args.years))
@@ -57,13 +66,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.neighborhoods:
         layers["neighborhoods"] = files.geojson(spark, args.neighborhoods, ["name", "neighborhood_id"], feature_lines=False)
     if args.zoning:
-        layers["zoning"] = spark.read.format("shapefile").option("path", args.zoning).load()
+        layers["zoning"] = files.shapefile(spark, args.zoning)
     if args.tracts and args.income and not args.skip_income:
-        shape = lambda y: files.county_tracts(spark.read.format("shapefile").option("path", f"{args.tracts}/tracts-{y}.shp").load(), args.county)
+        end = lambda y: next((e for e in (".zip", ".shp") if os.path.exists(f"{args.tracts}/tracts-{y}{e}")), ".shp")
+        shape = lambda y: files.county_tracts(files.shapefile(spark, f"{args.tracts}/tracts-{y}{end(y)}"), args.county)
         layers["tracts"] = pipeline.together([pipeline.of_vintage(shape(y), y) for y in args.vintages])
         layers["income"] = pipeline.together([files.census_income(spark, f"{args.income}/income-{y}.json", y) for y in args.vintages])
     if args.walking and not args.skip_walkability:
-        layers["walking"] = files.walking_network(spark, args.walking)
+        layers["walking"] = files.walking_network(spark, args.walking, crs)
     written = pipeline.prepare(files.assessor_panel(spark, args.assessors, args.years), shapes, args.out, files.price_table(spark, args.prices), args.skip_prep, args.rebuild_state, **layers)
     for name, n in sorted(written.items()):
         print(f"{name}: {n:,} rows")

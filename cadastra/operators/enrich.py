@@ -111,7 +111,8 @@ def with_employment_distance(panel: DataFrame, centers: Sequence[tuple[str, floa
 def amenities(features: DataFrame, tags: dict[str, dict[str, object]], category: str = "category") -> DataFrame:
     """Features by category: any tag of the category with an allowed value; True allows any value.
 
-    ``features`` has a map column ``tags``. A feature can be in several categories.
+    ``features`` has a map column ``tags``. A feature can be in several categories; a category without
+    features has no rows. Features that are in none at all go, and if none is left that is an error.
     """
 
     def wanted(rules: dict[str, object]) -> Column:
@@ -122,4 +123,7 @@ def amenities(features: DataFrame, tags: dict[str, dict[str, object]], category:
         return F.coalesce(reduce(Column.__or__, (F.coalesce(h, F.lit(False)) for h in hits)), F.lit(False))
 
     found = F.array_compact(F.array(*(F.when(wanted(rules), F.lit(name)) for name, rules in tags.items())))
-    return features.withColumn(category, F.explode(found))
+    out = features.withColumn(category, F.explode(found))
+    if out.isEmpty():
+        raise ValueError("no feature is an amenity of any category")
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import scalars as s
 from cadastra.session import durable, release
 
-from .spatial import knn_join
+from .spatial import convex_hull, knn_join, near_hull
 
 # Tags of each category; True allows any value.
 AMENITY_TAGS: dict[str, dict[str, object]] = {
@@ -26,6 +26,7 @@ AMENITY_TAGS: dict[str, dict[str, object]] = {
     "transit": {"public_transport": True, "railway": ["station", "tram_stop"], "highway": "bus_stop"},
 }
 LONGEST_WALK, DECAY = 1600.0, 1.0
+BUFFER = 1112.0  # metres, a hundredth of a degree of latitude, around the parcels' hull
 
 
 CELL_EDGES = 100_000  # that one task searches, 24 bytes each
@@ -206,6 +207,17 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, categ
     return out
 
 
+def around(points: DataFrame, nodes: DataFrame, edges: DataFrame, places: DataFrame, buffer: float = BUFFER, x: str = "x", y: str = "y") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and places within ``buffer`` of the points' convex hull; of edges those with both ends there. No node there is an error."""
+    hull = convex_hull(points, x, y)
+    inside = nodes.where(near_hull(hull, F.col("x"), F.col("y"), buffer))
+    if inside.isEmpty():
+        raise ValueError("the walking network has no node around the parcels")
+    ends = inside.select("id").distinct()
+    kept = edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+    return inside, kept, places.where(near_hull(hull, F.col("x"), F.col("y"), buffer))
+
+
 def walk_scores(points: DataFrame, nodes: DataFrame, edges: DataFrame, places: DataFrame, id_column: str = "geo_pid", longest: float = LONGEST_WALK, exponent: float = DECAY, cell: float = 250.0, categories: tuple[str, ...] | None = None, most: int = CELL_EDGES) -> DataFrame:
     """(id, score by category, walkability): decay of the network distance to each category, their mean to two digits.
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -247,6 +248,68 @@ def overlay(current: DataFrame, prior: DataFrame, cell: float, cur_id: str = "ge
     return out.withColumnsRenamed({"_a": cur_id, "_b": pri_id} | {f"_e{i}": p for i, (p, _) in enumerate(equal)})
 
 
+def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise from the lowest of the leftmost; points on an edge aren't corners."""
+    points = np.unique(np.column_stack([x, y]).reshape(-1, 2), axis=0)
+    if len(points) < 3:
+        return points
+    half = []
+    for run in (points, points[::-1]):
+        line: list[np.ndarray] = []
+        for p in run:
+            while len(line) > 1 and (line[-1][0] - line[-2][0]) * (p[1] - line[-2][1]) <= (line[-1][1] - line[-2][1]) * (p[0] - line[-2][0]):
+                line.pop()
+            line.append(p)
+        half += line[:-1]
+    return np.array(half)
+
+
+HULLS = 32  # that one task, and at last the driver, puts together
+
+
+def convex_hull(points: DataFrame, x: str = "centroid_x", y: str = "centroid_y", fan: int = HULLS) -> np.ndarray:
+    """(corners, 2): the hull of all points that have coordinates, from hulls of the tasks' points put together level by level."""
+    rows = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((0, 2))
+        for pdf in batches:
+            held = hull_of(np.append(held[:, 0], pdf["x"]), np.append(held[:, 1], pdf["y"]))
+        if len(held):
+            from pyspark import TaskContext
+
+            yield pd.DataFrame({"at": [TaskContext.get().partitionId()], "x": [held[:, 0]], "y": [held[:, 1]]})
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = hull_of(np.concatenate(pdf["x"].to_list()), np.concatenate(pdf["y"].to_list()))
+        return pd.DataFrame({"at": [int(pdf["at"].iloc[0]) // fan], "x": [held[:, 0]], "y": [held[:, 1]]})
+
+    kinds = "at long, x array<double>, y array<double>"
+    parts, left = rows.mapInPandas(part, kinds), rows.rdd.getNumPartitions()
+    while left > fan:
+        parts, left = parts.groupBy(F.floor(F.col("at") / fan)).applyInPandas(join, kinds), -(-left // fan)
+    got = parts.collect()
+    return hull_of(np.array([v for r in got for v in r.x]), np.array([v for r in got for v in r.y]))
+
+
+def near_hull(hull: np.ndarray, x: Column, y: Column, buffer: float) -> Column:
+    """Whether a point is in the hull or no farther than ``buffer`` from it; without corners nothing is."""
+    if not len(hull):
+        return F.lit(False)
+    corners = [tuple(map(float, p)) for p in hull]
+    sides = list(zip(corners, [*corners[1:], corners[0]]))
+    left = F.lit(len(hull) > 2)
+    close = F.lit(False)
+    for (x1, y1), (x2, y2) in sides:
+        dx, dy = x2 - x1, y2 - y1
+        left = left & (dx * (y - y1) - dy * (x - x1) >= 0)
+        length = dx * dx + dy * dy
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / length)) if length else F.lit(0.0)
+        gx, gy = x - x1 - t * dx, y - y1 - t * dy
+        close = close | (gx * gx + gy * gy <= buffer * buffer)
+    return F.coalesce(left | close, F.lit(False))
+
+
 def representative_points(df: DataFrame, geom: str = "geom") -> DataFrame:
     """``df`` with px, py: a point inside each polygon, null without one."""
 

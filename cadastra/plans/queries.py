@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import scalars as s
 from cadastra.functions.crs import MASSACHUSETTS
 from cadastra.operators import choices, enrich, graph, logit, panel, prices, spatial, stats
+from cadastra.sources import files
 
 YEARS = tuple(range(1995, 2002))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,6 +500,33 @@ def polygon_predecessor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("geo_pid", "fy", "prev_geo_pid", F.round("overlap_share", 6).alias("overlap_share"))
 
 
+@query(f"WITH {_OUTLINE_SQL} SELECT geo_pid, fy::INTEGER AS fy, round(own * {1 - _SHEAR[0] * _SHEAR[1]}, 6) AS area, CASE WHEN geo_pid % 4 = 2 THEN 'MULTIPOLYGON' ELSE 'POLYGON' END AS kind FROM own")
+def wkt_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines written as WKT and read again."""
+    text = _outlines(spark, sf_dir).withColumn("text", files.wkt_text(F.col("geom")))
+    return text.select("geo_pid", "fy", F.round(spatial.area(files.wkt_polygons(F.col("text"))), 6).alias("area"), F.substring_index("text", " ", 1).alias("kind"))
+
+
+# The hull by walking around it: from a corner on to the point of the least turn.
+
+
+@query(f"""
+WITH RECURSIVE {_POINTS_SQL}, spots AS (SELECT DISTINCT x, y FROM pts WHERE x IS NOT NULL AND y IS NOT NULL),
+walk(k, x, y, way, x0, y0) AS (
+  SELECT 0, x, y, -pi() / 2, x, y FROM (SELECT x, y FROM spots ORDER BY x, y LIMIT 1)
+  UNION ALL
+  SELECT k + 1, n.x, n.y, n.way, x0, y0 FROM (
+    SELECT k, x0, y0, arg_min(struct_pack(x := s.x, y := s.y, way := atan2(s.y - w.y, s.x - w.x)), struct_pack(turn := round(atan2(s.y - w.y, s.x - w.x) - way + CASE WHEN atan2(s.y - w.y, s.x - w.x) - way < -1e-9 THEN 2 * pi() ELSE 0 END, 12), far := -((s.x - w.x) * (s.x - w.x) + (s.y - w.y) * (s.y - w.y)))) AS n
+    FROM walk w JOIN spots s ON s.x <> w.x OR s.y <> w.y WHERE (k = 0 OR w.x <> x0 OR w.y <> y0) AND k < 10000 GROUP BY k, x0, y0)
+)
+SELECT x, y FROM walk WHERE k > 0
+""")
+def walking_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of the hull of all points."""
+    corners = spatial.convex_hull(_points(spark, sf_dir), "x", "y")
+    return spark.createDataFrame([tuple(map(float, p)) for p in corners], "x double, y double")
+
+
 @query(f"WITH {_RECT_SQL} SELECT geo_pid, fy::INTEGER AS fy, x0 + w / 2 AS px, y0 + h / 2 AS py FROM rect")
 def representative_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.representative_points(_rectangles(spark, sf_dir)).select("geo_pid", "fy", "px", "py")

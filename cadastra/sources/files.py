@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import struct
+import zipfile
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
+from typing import BinaryIO
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from cadastra.functions import geometry
 from cadastra.functions import scalars as s
@@ -127,33 +130,80 @@ def county_tracts(tracts: DataFrame, county: str) -> DataFrame:
     return out
 
 
-def walking_network(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Landed nodes (id, x, y), edges (src, dst, length) and amenities (category, x, y), Parquet files of these names."""
-    wanted = {"nodes": ("id", "x", "y"), "edges": ("src", "dst", "length"), "amenities": ("category", "x", "y")}
-    return tuple(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").select(*columns) for name, columns in wanted.items())
+def tagged_features(spark: SparkSession, path: str, crs=None) -> DataFrame:  # noqa: ANN001
+    """x, y and the tags (a map) of the features of a GeoJSON, a feature to a line: points as they are, others by a point of theirs.
 
+    A polygon gives its representative point, a line its middle corner, a collection of points its first.
+    Features without a geometry go. ``crs`` takes longitudes and latitudes to its plane.
+    """
+    from cadastra.operators.spatial import representative_points
+
+    text = F.regexp_replace(F.trim("value"), r",$", "")
+    rows = spark.read.text(path).select(F.try_parse_json(text).alias("f")).where(F.try_variant_get("f", "$.geometry.type", "string").isNotNull())
+    kind = F.try_variant_get("f", "$.geometry.type", "string")
+    of = lambda depth: F.try_variant_get("f", "$.geometry.coordinates", "array<" * depth + "double" + ">" * depth)
+    middle = lambda points: F.get(points, F.floor(F.size(points) / 2).cast("int"))
+    spot = F.when(kind == "Point", of(1)).when(kind == "MultiPoint", F.get(of(2), 0)).when(kind == "LineString", middle(of(2))).when(kind == "MultiLineString", middle(F.get(of(3), 0)))
+    geom = F.when(kind == "MultiPolygon", of(4)).when(kind == "Polygon", F.array(of(3)))
+    tags = F.from_json(F.try_variant_get("f", "$.properties", "variant").cast("string"), "map<string,string>")
+    found = representative_points(rows.select(tags.alias("tags"), spot.alias("spot"), geom.alias("geom")))
+    x, y = F.coalesce(F.get("spot", 0), "px"), F.coalesce(F.get("spot", 1), "py")
+    placed = found.select("tags", x.alias("x"), y.alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return placed if crs is None else placed.select("tags", *(c.alias(n) for c, n in zip(crs.columns(F.col("x"), F.col("y")), ("x", "y"))))
+
+
+def walking_network(spark: SparkSession, folder: str, crs=None) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: ANN001
+    """Landed nodes (id, x, y), edges (src, dst, length) and amenities (category, x, y), Parquet files of these names.
+
+    Instead of amenities.parquet there may be features.geojson, whose features are put into categories by
+    their tags; its coordinates are those of ``crs``'s longitudes and latitudes.
+    """
+    from pyspark.errors import AnalysisException
+
+    from cadastra.operators import enrich, graph
+
+    root = folder.rstrip("/")
+    nodes, edges = (spark.read.parquet(f"{root}/{name}.parquet").select(*columns) for name, columns in {"nodes": ("id", "x", "y"), "edges": ("src", "dst", "length")}.items())
+    try:
+        places = spark.read.parquet(f"{root}/amenities.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        places = enrich.amenities(tagged_features(spark, f"{root}/features.geojson", crs), graph.AMENITY_TAGS)
+    return nodes, edges, places.select("category", "x", "y")
 
-def write_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("geo_pid", "fy")) -> None:
-    """``df`` as Parquet, sorted by ``keys`` over all its files."""
-    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
+def counted(df: DataFrame, name: str, key: str = "geo_pid", matched: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """``df`` with counts that are taken while it is written: rows, distinct keys (approximate, to 1 %), years and rows with a value of each of ``matched``."""
+    seen = Observation(name)
+    counts = [F.count(F.lit(1)).alias("rows")]
+    if key in df.columns:
+        counts.append(F.approx_count_distinct(key, 0.01).alias("keys"))
+    if "fy" in df.columns:
+        counts += [F.min("fy").alias("first_fy"), F.max("fy").alias("last_fy")]
+    return df.observe(seen, *counts, *(F.count(c).alias(f"with_{c}") for c in matched if c in df.columns)), seen
 
-def write_years(df: DataFrame, path: str) -> None:
-    """A folder for each fiscal year, so that a read of one year opens no other."""
-    df.write.mode("overwrite").partitionBy("fy").parquet(path)
 
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("geo_pid", "fy"), matched: Sequence[str] = ()) -> dict[str, object]:
+    """``df`` as Parquet, sorted by ``keys`` over all its files; the counts of what was written."""
+    # counted after the exchange: the sampling of its bounds would count rows twice
+    out, seen = counted(df.repartitionByRange(*keys).sortWithinPartitions(*keys), path.rsplit("/", 1)[-1], matched=matched)
+    out.write.mode("overwrite").parquet(path)
+    return seen.get
 
-def swapped(df: DataFrame, path: str, version: str) -> DataFrame:
-    """``df`` written beside what it was read from, under ``version``, and read again; nothing is overwritten while read."""
-    target = f"{path.rstrip('/')}/{version}"
-    df.write.mode("errorifexists").parquet(target)
-    return df.sparkSession.read.parquet(target)
 
+def write_years(df: DataFrame, path: str, matched: Sequence[str] = ()) -> dict[str, object]:
+    """A folder for each fiscal year, so that a read of one year opens no other; the counts of what was written."""
+    out, seen = counted(df, path.rsplit("/", 1)[-1], matched=matched)
+    out.write.mode("overwrite").partitionBy("fy").parquet(path)
+    return seen.get
 
-def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False, needed: Sequence[str] = (), keys: Sequence[str] = ("geo_pid", "fy")) -> DataFrame:  # noqa: ANN001
+
+def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False, needed: Sequence[str] = (), keys: Sequence[str] = ("geo_pid", "fy"), counts: dict | None = None) -> DataFrame:  # noqa: ANN001
     """The table at ``path`` if there is one and it isn't to be rebuilt; else ``build()``, written there sorted by ``keys``.
 
     A kept table without the ``needed`` columns was built for another purpose: that is an error, not a rebuild.
+    ``counts`` gets those of a table that was built.
     """
     from pyspark.errors import AnalysisException
 
@@ -167,7 +217,9 @@ def load_or_build(spark: SparkSession, path: str, build, rebuild: bool = False,
             if missing := [c for c in needed if c not in kept.columns]:
                 raise ValueError(f"{path} lacks {missing}; rebuild it")
             return kept
-    write_sorted(build(), path, keys)
+    built = write_sorted(build(), path, keys)
+    if counts is not None:
+        counts.update(built)
     return spark.read.parquet(path)
 
 
@@ -177,10 +229,13 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 class ShapefileSource(DataSource):
-    """``spark.read.format("shapefile").option("path", "x.shp")``: attributes as text, geom, ordinal.
+    """``spark.read.format("shapefile").option("path", "x.shp" or "x.zip")``: attributes as text, geom, ordinal.
 
-    Polygon records only; one task a file, for boundary layers of some thousand shapes. Files are read
-    from a path that the executors see.
+    Polygon records only. A file is read in ranges of ``records`` (an option, 5,000 by default) found in its
+    .shx index, a task each; of an archive each task opens the members itself. With the option ``filters``
+    (``shapefile`` sets it where Spark pushes filters to Python sources) equalities of attributes are tested
+    before a shape is decoded. Files are read from a
+    path that the executors see.
     """
 
     @classmethod
@@ -188,14 +243,37 @@ class ShapefileSource(DataSource):
         return "shapefile"
 
     def _fields(self) -> list[tuple[str, int]]:
-        with open(self.options["path"][:-4] + ".dbf", "rb") as f:
+        with opened_member(self.options["path"], ".dbf") as f:
             return dbf_fields(f.read(65_536))
 
     def schema(self) -> str:
         return ", ".join(f"`{n}` string" for n, _ in self._fields()) + f", geom {GEOMETRY_TYPE}, ordinal long"
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _ShapefileReader(self.options["path"])
+        kind = _FilteringReader if self.options.get("filters") == "true" else _ShapefileReader
+        return kind(self.options["path"], int(self.options.get("records", "5000")))
+
+
+def shapefile(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The shapes of a .shp or of an archive that holds one; see ``ShapefileSource``."""
+    spark.dataSource.register(ShapefileSource)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("shapefile").options(path=path, filters=pushed, **options).load()
+
+
+@contextmanager
+def opened_member(path: str, end: str) -> Iterator[BinaryIO]:
+    """The file of a shapefile with this ending: beside ``path``, or in the archive ``path``."""
+    if not path.lower().endswith(".zip"):
+        with open(path[:-4] + end, "rb") as f:
+            yield f
+        return
+    with zipfile.ZipFile(path) as archive:
+        found = [n for n in archive.namelist() if n.lower().endswith(end)]
+        if not found:
+            raise FileNotFoundError(f"{path} has no {end}")
+        with archive.open(sorted(found)[0]) as f:
+            yield f
 
 
 def dbf_fields(head: bytes) -> list[tuple[str, int]]:
@@ -207,27 +285,66 @@ def dbf_fields(head: bytes) -> list[tuple[str, int]]:
     return out
 
 
+@dataclass
+class _Records(InputPartition):
+    first: int
+    last: int
+
+
 class _ShapefileReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, records: int) -> None:
+        self.path, self.records, self.wanted = path, max(1, records), {}
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        shp, dbf = (Path(self.path[:-4] + end).read_bytes() for end in (".shp", ".dbf"))
-        fields = dbf_fields(dbf)
-        count, start, width = struct.unpack_from("<IHH", dbf, 4)
-        at = 100
-        for i in range(count):
-            size = struct.unpack_from(">i", shp, at + 4)[0] * 2
-            shape = shape_record(shp[at + 8 : at + 8 + size])
-            at += 8 + size
-            row, where, values = dbf[start + i * width : start + (i + 1) * width], 1, []
-            for _, n in fields:
-                values.append(row[where : where + n].decode("utf-8", "replace").strip() or None)
-                where += n
-            yield (*values, shape, i)
+        with opened_member(self.path, ".dbf") as f:
+            count = struct.unpack_from("<I", f.read(12), 4)[0]
+        return [_Records(i, min(i + self.records, count)) for i in range(0, count, self.records)] or [_Records(0, 0)]
+
+    def _index(self, partition: _Records) -> bytes:
+        """(place, size) of the records, in words; without an index file from the records' own heads."""
+        try:
+            with opened_member(self.path, ".shx") as f:
+                f.seek(100 + 8 * partition.first)
+                return f.read(8 * (partition.last - partition.first))
+        except FileNotFoundError:
+            out, at = [], 100
+            with opened_member(self.path, ".shp") as f:
+                for i in range(partition.last):
+                    f.seek(at + 4)
+                    size = struct.unpack(">i", f.read(4))[0]
+                    out += [struct.pack(">ii", at // 2, size)] if i >= partition.first else []
+                    at += 8 + 2 * size
+            return b"".join(out)
+
+    def read(self, partition: _Records) -> Iterator[tuple]:
+        if partition.first == partition.last:
+            return
+        index = self._index(partition)
+        with opened_member(self.path, ".dbf") as f:
+            head = f.read(65_536)
+            fields = dbf_fields(head)
+            _, start, width = struct.unpack_from("<IHH", head, 4)
+            f.seek(start + partition.first * width)
+            rows = f.read(width * (partition.last - partition.first))
+        with opened_member(self.path, ".shp") as shp:
+            for i in range(partition.last - partition.first):
+                where, values = i * width + 1, []
+                for _, n in fields:
+                    values.append(rows[where : where + n].decode("utf-8", "replace").strip() or None)
+                    where += n
+                if any(values[k] != self.wanted[name] for k, (name, _) in enumerate(fields) if name in self.wanted):
+                    continue
+                at, size = (2 * v for v in struct.unpack_from(">ii", index, 8 * i))
+                shp.seek(at + 8)
+                yield (*values, shape_record(shp.read(size)), partition.first + i)
+
+
+class _FilteringReader(_ShapefileReader):
+    def pushFilters(self, filters: list) -> Iterator:  # noqa: ANN001, N802
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and isinstance(f.value, str):
+                self.wanted[f.attribute[0]] = f.value
+            yield f  # tested again by Spark, as a filter on geom or ordinal is
 
 
 def shape_record(record: bytes) -> list | None:
@@ -248,12 +365,99 @@ def shape_record(record: bytes) -> list | None:
     return parts
 
 
-def wkt_column(c: Column) -> Column:
-    """WKT text as polygons."""
+def wkt_polygons(c: Column) -> Column:
+    """POLYGON and MULTIPOLYGON text as polygons; null and blank text is null, EMPTY has no parts.
+
+    Numbers beyond x and y are left out; what isn't a number where one should be is an error.
+    """
+    inner = F.regexp_extract(c, r"(?s)\((.*)\)", 1)
+    parts = F.when(F.rlike(c, F.lit(r"(?i)^\s*MULTI")), F.split(inner, r"\)\s*\)\s*,\s*\(\s*\(")).otherwise(F.array(inner))
+    point = lambda text: F.transform(F.slice(F.split(F.trim(text), r"\s+"), 1, 2), lambda v: v.cast("double"))
+    ring = lambda text: F.transform(F.split(F.regexp_replace(text, r"[()]", " "), ","), point)
+    shape = F.transform(parts, lambda part: F.transform(F.split(part, r"\)\s*,\s*\("), ring))
+    return F.when(c.isNull() | (F.trim(c) == ""), None).when(~F.contains(c, F.lit("(")), F.array().cast(GEOMETRY_TYPE)).otherwise(shape)
+
+
+def wkt_point(c: Column) -> Column:
+    """POINT text as a struct of x and y; null, blank and empty text is null."""
+    values = F.split(F.trim(F.regexp_extract(c, r"(?is)^\s*POINT[^(]*\((.*)\)", 1)), r"\s+")
+    return F.when(F.size(values) > 1, F.struct(F.get(values, 0).cast("double").alias("x"), F.get(values, 1).cast("double").alias("y")))
+
+
+def wkt_text(geom: Column) -> Column:
+    """Polygons as WKT: POLYGON for one part, MULTIPOLYGON for more, null for null."""
+    ring = lambda r: F.concat(F.lit("("), F.array_join(F.transform(r, lambda p: F.concat_ws(" ", p[0].cast("string"), p[1].cast("string"))), ", "), F.lit(")"))
+    parts = F.transform(geom, lambda part: F.concat(F.lit("("), F.array_join(F.transform(part, ring), ", "), F.lit(")")))
+    several = F.concat(F.lit("MULTIPOLYGON ("), F.array_join(parts, ", "), F.lit(")"))
+    return F.when(F.size(geom) == 0, F.lit("POLYGON EMPTY")).when(F.size(geom) == 1, F.concat(F.lit("POLYGON "), F.get(parts, 0))).when(geom.isNotNull(), several)
 
-    @F.udf(GEOMETRY_TYPE)
-    def parse(text: str | None):  # noqa: ANN202
-        shape = geometry.from_wkt(text)
-        return json.loads(json.dumps(shape), parse_int=float) if shape else shape
 
-    return parse(c)
+def read_wkt_csv(spark: SparkSession, path: str, column: str = "geometry") -> DataFrame:
+    """A landed CSV whose ``column`` holds WKT: the other columns as text, and geom."""
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    if column not in raw.columns:
+        raise ValueError(f"{path} has no column {column}")
+    return raw.withColumn("geom", wkt_polygons(F.col(column))).drop(column)
+
+
+def write_wkt_csv(df: DataFrame, path: str, geom: str = "geom", column: str = "geometry") -> None:
+    """``df`` as CSV with its polygons as WKT under ``column``."""
+    df.withColumn(column, wkt_text(F.col(geom))).drop(geom).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+class Versions:
+    """A Parquet table that is rewritten while it is read: each write is a new folder, and a small file names the current one.
+
+    The name is swapped by one rename, so a reader sees the old table or the new one and keeps what it has
+    opened; a run that dies before the rename leaves the old table current.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):  # noqa: ANN202
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _files(self):  # noqa: ANN202
+        return self._at("CURRENT").getFileSystem(self._conf)
+
+    def current(self) -> str | None:
+        """The folder of the current version; None before the first."""
+        if not self._files().exists(self._at("CURRENT")):
+            return None
+        return f"{self.path}/{self.spark.read.text(f'{self.path}/CURRENT').first()[0]}"
+
+    def read(self) -> DataFrame:
+        folder = self.current()
+        if folder is None:
+            raise FileNotFoundError(f"no version of {self.path}")
+        return self.spark.read.parquet(folder)
+
+    def write(self, df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+        """``df``, which may read this table, as the new version."""
+        name = f"v-{self._jvm.java.util.UUID.randomUUID().toString()}"
+        df.write.partitionBy(*by).parquet(f"{self.path}/{name}")
+        draft = self._at(f"{name}.name")
+        stream = self._files().create(draft, True)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        option = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = option
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.getFileSystem(self._conf).makeQualified(draft).toUri(), self._conf).rename(draft, self._at("CURRENT"), options)
+        return self.read()
+
+    def rewrite(self, step, by: Sequence[str] = ()) -> DataFrame:  # noqa: ANN001
+        """``step`` of the current version as the new one."""
+        return self.write(step(self.read()), by)
+
+    def prune(self) -> int:
+        """Deletes all but the current version, when no reader has an older one open; how many went."""
+        keep, gone = (self.current() or "").rsplit("/", 1)[-1], 0
+        for status in self._files().listStatus(self._at("")) if keep else ():
+            name = status.getPath().getName()
+            if name.startswith("v-") and name != keep:
+                gone += bool(self._files().delete(status.getPath(), True))
+        return gone
