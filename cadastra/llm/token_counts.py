@@ -2,7 +2,7 @@
 
 A text is cut before each run of spaces, where no piece of the vocabulary can reach across, so the
 count of a text is the sum over its pre-tokens. Tier one is a broadcast table of the lengths of
-frequent pre-tokens: those that repeat in a bounded sample of the table's rows, and those that the
+frequent pre-tokens: those that repeat in a bounded sample drawn over the whole table, and those that the
 vocabulary holds as one piece, which its training made a piece because they are frequent. The sample
 decides where a length is looked up, never what it is. Tier two is a cache in each worker of what the
 library gave for all others; it is bounded too and dropping an entry costs time only.
@@ -40,13 +40,22 @@ def model(path: str) -> sentencepiece.SentencePieceProcessor:
 
 
 def frequent_words(df: DataFrame, text_column: str, rows: int) -> list[str]:
-    """The pre-tokens that repeat in the first ``rows`` rows that Spark reads, the most frequent first."""
+    """The pre-tokens that repeat in about ``rows`` rows drawn from all of ``df``, the most frequent first; counted in tasks."""
+    n = df.count() if rows else 0
+    if not n:
+        return []
     text = F.col(text_column)
-    counts: Counter[str] = Counter()
-    for (sample,) in df.select(F.when(F.octet_length(text) <= SAMPLE_BYTES, text)).take(rows):
-        if sample:
-            counts.update(pre_tokens(sample))
-    return [word for word, n in counts.most_common(FREQUENT_ENTRIES) if n > 1 and 0 < len(word) <= CACHED_CHARS]
+    drawn = df.sample(min(1.0, rows / n), seed=0).where(F.octet_length(text) <= SAMPLE_BYTES).select(text_column)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            for sample in batch.column(0).to_pylist():
+                counts.update(w for w in pre_tokens(sample) if 0 < len(w) <= CACHED_CHARS)
+        yield {"word": list(counts), "n": list(counts.values())}
+
+    counted_words = arrow_rows(drawn, make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r.word for r in counted_words.orderBy(F.desc("n"), "word").limit(FREQUENT_ENTRIES).collect()]
 
 
 def frequent_lengths(path: str, counted_words: Iterable[str] = ()) -> dict[str, int]:
@@ -119,9 +128,9 @@ def count_tokens(df: DataFrame, model_path: str, id_columns: tuple[str, ...] = (
 
     Whole texts as the library encodes them without begin or end tokens. A null text counts as empty;
     rows with null or repeated ids stay rows of their own; an empty table gives an empty table; other
-    columns, whatever their names, are ignored. Map-side only: no shuffle. ``sample_rows`` bounds the
-    sample of frequent pre-tokens, which one short job brings to the driver; any number, 0 included, gives
-    the same counts.
+    columns, whatever their names, are ignored. Map-side only: no pre-token of the count is shuffled.
+    ``sample_rows`` is the size of the sample of frequent pre-tokens, which one job draws and counts; any
+    number, 0 included, gives the same counts. A task holds 256 texts and their pre-tokens at a time.
     """
     if not splittable(model_path):
         raise ValueError("this model's pieces can reach across spaces; its texts can't be cut there")
