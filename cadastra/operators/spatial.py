@@ -312,13 +312,16 @@ def near_hull(hull: np.ndarray, x: Column, y: Column, buffer: float) -> Column:
 
 def representative_points(df: DataFrame, geom: str = "geom") -> DataFrame:
     """``df`` with px, py: a point inside each polygon, null without one."""
+    at = df.columns.index(geom)
 
-    @F.pandas_udf("px double, py double")
-    def inside(shapes: pd.Series) -> pd.DataFrame:
-        points = [geometry.representative_point(g) if g is not None and len(g) else None for g in shapes]
-        return pd.DataFrame({"px": [p and p[0] for p in points], "py": [p and p[1] for p in points]}, dtype="float64")
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # lists and not pandas, whose conversion of a deeply nested column of nulls alone can crash a worker
+            points = [geometry.representative_point(g) if g else None for g in batch.column(at).to_pylist()]
+            sides = [pa.array([p and p[i] for p in points], pa.float64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sides], names=[*batch.schema.names, "px", "py"])
 
-    return df.withColumn("_p", inside(geom)).withColumns({"px": F.col("_p.px"), "py": F.col("_p.py")}).drop("_p")
+    return df.mapInArrow(inside, T.StructType([*df.schema.fields, T.StructField("px", T.DoubleType()), T.StructField("py", T.DoubleType())]))
 
 
 def reprojected(geom: Column, crs) -> Column:  # noqa: ANN001

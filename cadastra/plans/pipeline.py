@@ -16,23 +16,31 @@ from cadastra.operators import choices, enrich, graph, logit, panel, prices, sta
 from cadastra.sources import files
 
 
-def build_panel(accounts: DataFrame, shapes: DataFrame, neighborhoods: DataFrame | None = None, tracts: DataFrame | None = None, income: DataFrame | None = None, zoning: DataFrame | None = None, walking: tuple[DataFrame, DataFrame, DataFrame] | None = None, crs: Conic | None = MASSACHUSETTS) -> DataFrame:
-    """Accounts with their parcels and every enrichment whose inputs are given; the others' columns are absent."""
-    out = panel.with_geo_key(accounts, shapes.drop("geom"))
-    if neighborhoods is not None:
-        out = enrich.with_neighborhood(out, neighborhoods, crs=crs)
-    if tracts is not None and income is not None:
-        out = enrich.with_income(out, tracts, income, crs=crs)
-    out = enrich.with_employment_distance(out)
-    if zoning is not None:
-        out = enrich.with_zoning(out, zoning, crs=crs)
-    if walking is not None:
-        nodes, edges, places = walking
-        points = panel.first_points(out).withColumnsRenamed({"centroid_x": "x", "centroid_y": "y"})
-        nodes, edges, places = graph.around(points, nodes, edges, places)
-        scores = graph.walk_scores(points, nodes, edges, places)
-        out = enrich.spread_back(out, scores, ["geo_pid"], ["walkability"])
-    return out
+STEPS = ("neighborhood", "income", "employment", "zoning", "walkability")
+
+
+def enriched(rows: DataFrame, step: str, neighborhoods: DataFrame | None = None, tracts: DataFrame | None = None, income: DataFrame | None = None, zoning: DataFrame | None = None, walking: tuple[DataFrame, DataFrame, DataFrame] | None = None, crs: Conic | None = MASSACHUSETTS) -> DataFrame:
+    """``rows`` with the columns of one of ``STEPS``, which replace those of an earlier run; without the step's inputs as they are."""
+    if step not in STEPS:
+        raise ValueError(f"no step {step}")
+    if step == "neighborhood" and neighborhoods is not None:
+        return enrich.with_neighborhood(rows, neighborhoods, crs=crs)
+    if step == "income" and tracts is not None and income is not None:
+        return enrich.with_income(rows, tracts, income, crs=crs)
+    if step == "employment":
+        return enrich.with_employment_distance(rows)
+    if step == "zoning" and zoning is not None:
+        return enrich.with_zoning(rows, zoning, crs=crs)
+    if step == "walkability" and walking is not None:
+        points = panel.first_points(rows).withColumnsRenamed({"centroid_x": "x", "centroid_y": "y"})
+        scores = graph.walk_scores(points, *graph.around(points, *walking))
+        return enrich.spread_back(rows, scores, ["geo_pid"], ["walkability"])
+    return rows
+
+
+def build_panel(accounts: DataFrame, shapes: DataFrame, **layers) -> DataFrame:  # noqa: ANN003
+    """Accounts with their parcels and every enrichment whose inputs are given (as to ``enriched``); the others' columns are absent."""
+    return reduce(lambda out, step: enriched(out, step, **layers), STEPS, panel.with_geo_key(accounts, shapes.drop("geom")))
 
 
 def together(tables: Sequence[DataFrame]) -> DataFrame:
