@@ -205,7 +205,12 @@ def test_mixing_draws_its_rates(spark):
 def test_mixing_of_edge_rows(spark):
     df = edge_rows(spark)
     out = mixing.shuffled(mixing.mix(df, {"s": 0.9}, 0.1, size=40.0))
-    assert {(r.doc_id, r.text) for r in out.collect()} <= {(i, t) for i, t, _ in EDGES} and out.count() > 100
+    rows = out.collect()
+    assert {(r.doc_id, r.text) for r in rows} <= {(i, t) for i, t, _ in EDGES} and len(rows) > 100
+    # each drawn row is there as often as it says, numbered from 0
+    drawn = Counter((r.doc_id, r.text, r.source, r.copies, r.copy) for r in rows)
+    for (i, t, s, copies, copy), times in drawn.items():
+        assert copy < copies and times == drawn[i, t, s, copies, 0] <= EDGES.count((i, t, s))
     assert mixing.mix(edge_rows(spark, 0)).count() == 0
 
 
@@ -371,5 +376,40 @@ def test_pipeline_stages_take_edge_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES[:4]:
             assert stage(spark, n, sf).columns == wild.columns
             stage(spark, n, sf).collect()
+    # packing takes null ids and a column of its own result's name
+    check_packing(corpus_pipeline.packing_stage(spark, edge_rows(spark), sf).collect(), [(i, t) for i, t, _ in EDGES])
+    assert corpus_pipeline.packing_stage(spark, edge_rows(spark, 0), sf).count() == 0
     repeated = corpus_pipeline.near_duplicate_stage(spark, wild, sf).collect()
     assert len([r for r in repeated if r.text == "a b"]) == 1
+
+
+def test_the_whole_pipeline_takes_edge_rows(spark, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "full/labels.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "none/labels.parquet"))
+    long = " ".join(f"word{i % 977}" for i in range(3000))
+    docs = edge_rows(spark).union(spark.createDataFrame([(i, long if i < 12 else f"{long} {i}", "en", "web", 1, 1, "q") for i in range(10, 16)], edge_rows(spark).schema))
+    docs.write.parquet(str(tmp_path / "full/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    assert {r.doc_id for r in rows} <= {i for i, _, _ in EDGES} | set(range(10, 16))
+    # near copies leave one document, however often the mix repeats it
+    assert len({r.doc_id for r in rows if r.doc_id and r.doc_id >= 10}) <= 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_null_and_empty_texts_have_shards_of_their_own_group(spark):
+    rows = [(i, None if i % 2 else "") for i in range(40)] + [(100 + i, f"text {i}") for i in range(40)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    check_shards(got, rows, 4)
+    where = defaultdict(set)
+    for r in got:
+        where["null" if r.doc_id < 100 and r.doc_id % 2 else "empty" if r.doc_id < 100 else r.doc_id].add(r.shard)
+    assert all(len(v) == 1 for v in where.values())
+
+
+def test_a_hub_of_aliases_shares_one_verdict(spark):
+    link = '<link rel="canonical" href="http://hub.net/fr/page">'
+    rows = [(i, f"http://alias{i}.org/", link) for i in range(300)] + [(1000 + i, f"http://free{i}.org/", None) for i in range(5)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "block" for i in range(300)) and all(got[1000 + i] == "allow" for i in range(5))

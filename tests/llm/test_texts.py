@@ -170,6 +170,14 @@ def test_toxicity_of_edge_rows(spark):
     model = toxicity.fit(docs, spark.createDataFrame([(5, 1), (None, 1), (6, None), (9, 0)], "doc_id long, toxic int"))
     got = toxicity.score(docs, model).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in EDGES)
+    # a text without words scores by the bias alone; others by what they hold
+    alone = float(toxicity.logistic(np.array(model.bias)))
+    assert all(abs(r.score - alone) < 1e-9 for r in got if r.doc_id in (1, 2, 3, 4))
+    text = dict(EDGES[4:6])
+    for r in got:
+        if r.doc_id in text and r.doc_id is not None:
+            z = model.bias + sum(model.weights[k] for k in {i for w in toxicity.words_of(text[r.doc_id]) for i in model.found(w)})
+            assert abs(r.score - float(toxicity.logistic(np.array(z)))) < 1e-9
     assert toxicity.score(edge_rows(spark, 0), model).count() == 0
     nothing = toxicity.fit(edge_rows(spark, 0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, nothing).count() == len(EDGES)
