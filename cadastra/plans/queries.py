@@ -6,6 +6,7 @@ line item, its parcel the part, its fiscal year the ship year; points come from
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from functools import reduce
@@ -430,9 +431,15 @@ _RECT_SQL = """rect AS (SELECT p_partkey AS geo_pid, y AS fy, ((p_partkey % 25)
   FROM part, range(2016, 2020) t(y))"""
 
 
+def _part_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and years, dealt to all tasks: a table's only file may be one split, and outlines are many times its size."""
+    years = F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy")
+    return table(spark, sf_dir, "part").select("p_partkey", years).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey", "fy")
+
+
 def _rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, y = F.col("p_partkey"), F.col("fy")
-    base = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
+    base = _part_years(spark, sf_dir)
     x0, y0 = ((k % 25) * 10 + (k * 7 + y * 3) % 5).cast("double"), (F.floor(k / 25) * 10 + (k * 5 + y) % 4).cast("double")
     x1, y1 = x0 + (7 + (k + y) % 5), y0 + (6 + (k * 3 + y) % 5)
     ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
@@ -465,12 +472,13 @@ _SHEAR = (0.3, 0.2)  # x + 0.3 y, y + 0.2 x
 
 def _outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, y = F.col("p_partkey"), F.col("fy")
-    base = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, range(2016, 2020)))).alias("fy"))
+    base = _part_years(spark, sf_dir)
     x0, y0 = ((k % 25) * 8 + (k * 7 + y * 3) % 5).cast("double"), (F.floor(k / 25) * 8 + (k * 5 + y) % 4).cast("double")
-    point = lambda dx, dy: F.array(x0 + dx + (y0 + dy) * _SHEAR[0], y0 + dy + (x0 + dx) * _SHEAR[1])
-    shape = lambda rings: F.array(*(F.array(*(F.array(*(point(*c) for c in corners)) for p, _, corners in rings if p == part)) for part in sorted({r[0] for r in rings})))
-    kind = k % 4
-    geom = F.coalesce(*(F.when(kind == n, shape(rings)) for n, (_, rings) in _KINDS.items()))
+    corners = [[[list(map(list, corners)) for p, _, corners in rings if p == part] for part in sorted({r[0] for r in rings})] for _, rings in (_KINDS[n] for n in sorted(_KINDS))]
+    # one nested constant; the same outlines written out corner by corner are too much code for the JVM to compile
+    listed = F.from_json(F.lit(json.dumps(corners)), f"array<{spatial.GEOMETRY_TYPE}>")
+    point = lambda p: F.array(x0 + p[0] + (y0 + p[1]) * _SHEAR[0], y0 + p[1] + (x0 + p[0]) * _SHEAR[1])
+    geom = F.transform(F.get(listed, (k % len(_KINDS)).cast("int")), lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
     return base.select(k.alias("geo_pid"), "fy", geom.cast(spatial.GEOMETRY_TYPE).alias("geom"))
 
 

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from cadastra.functions import clipping
 from cadastra.functions import geometry as g
 from cadastra.operators import choices, spatial
+from cadastra.plans import queries
 
 
 def _fans(polygon: list, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,3 +155,25 @@ def test_predecessors_take_the_largest_share(spark):
     df = spark.createDataFrame(rows, f"geo_pid long, fy int, geom {spatial.GEOMETRY_TYPE}")
     got = [tuple(r) for r in choices.best_predecessors(df, 1.0).collect()]
     assert got == [(3, 2021, 1, 0.75)]
+
+
+def test_outlines_that_wind_twice_or_against_themselves_are_cut_into_slabs():
+    square = lambda x, y, s: [[x, y], [x + s, y], [x + s, y + s], [x, y + s]]
+    tie = [[0.0, 0.0], [4.0, 4.0], [4.0, 0.0], [0.0, 4.0]]
+    shapes = [[[square(0, 0, 9)]], [[square(0, 0, 9), square(2, 2, 3)[::-1]]], [[square(0, 0, 9)[::-1], square(2, 2, 3)[::-1]]], [[square(0, 0, 9), square(2, 2, 5)], [square(3, 3, 1)]], [[square(0, 0, 9)], [square(2, 2, 3)]], [[square(0, 0, 9)]] * 2, [[tie]], [[tie[:2] + [[4.0, 1.0]] + tie[2:]]]]
+    shapes = pa.array(shapes, clipping.GEOMETRY)
+    assert clipping.measured(shapes)[3].tolist() == [True] * 4 + [False] * 4
+    assert clipping.measured(shapes)[2].tolist()[:7] == [81.0, 72.0, 72.0, 57.0, 90.0, 162.0, 0.0]
+    for box in ([[square(-1.0, 1.0, 4.5)]], [[square(0.5, 0.5, 20.0)]]):
+        other = pa.array([box] * len(shapes), clipping.GEOMETRY)
+        edges = [clipping.Edges.read(v) for v in (shapes, other)]
+        assert clipping.shared_areas(shapes, other) == pytest.approx(clipping._slab_areas(*edges), abs=1e-12)
+
+
+def test_no_side_of_an_overlay_is_broadcast_and_outlines_come_from_many_tasks(spark):
+    # the size that Spark expects of either side is that of the file of keys
+    for name in ("rect_overlay_predecessor", "polygon_overlay", "polygon_predecessor"):
+        df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert queries._outlines(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
