@@ -1,4 +1,8 @@
-"""Walking scores: nodes near points, multi-source shortest paths, decay scores by category."""
+"""Walking scores: nodes near points, multi-source shortest paths, decay scores by category.
+
+What has a row for each node, edge, point or source is joined by sort and merge. Left to Spark, it is
+broadcast through the driver as long as its file or its compressed shuffle is small.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +52,7 @@ def graph_cells(nodes: DataFrame, edges: DataFrame, most: int = CELL_EDGES) -> D
     """
     ends = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).union(edges.select("src", F.lit(0).cast("long"))).groupBy("node").agg(F.sum("n").alias("n"))
     at = nodes.groupBy(F.col("id").alias("node")).agg(F.min_by(F.struct("x", "y"), F.struct("x", "y")).alias("p")).select("node", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    placed = durable(ends.join(at, "node", "left"))
+    placed = durable(ends.join(at.hint("merge"), "node", "left"))
     total, left, right, low, high = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     groups = max(1, math.ceil(2 * total / most))
     known = F.col("x").isNotNull() & F.col("y").isNotNull()
@@ -82,7 +86,7 @@ def cell_blocks(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """
     least = edges.groupBy("src", "dst").agg(F.min("length").cast("double").alias("length"))
     to, start = cells.select(F.col("node").alias("dst"), "cell"), cells.select(F.col("node").alias("src"), F.col("cell").alias("from_cell"))
-    owned = least.join(to, "dst").join(start, "src").select("cell", "dst", "src", "length", "from_cell")
+    owned = least.join(to.hint("merge"), "dst").join(start.hint("merge"), "src").select("cell", "dst", "src", "length", "from_cell")
     # every node of the cell, marked by a length that no edge has
     owned = owned.union(cells.select("cell", F.col("node").alias("dst"), F.col("node").alias("src"), F.lit(-1.0), F.col("cell").alias("from_cell")))
 
@@ -137,7 +141,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, categ
     cells = graph_cells(nodes, edges, most)
     blocks = cell_blocks(cells, edges)
     given = durable(sources.where(F.col(category).isNotNull() & F.col(node).isNotNull()).select(number.alias("kind"), F.col(node).cast("long").alias("node")).distinct())
-    sent = durable(given.join(cells, "node").select("cell", "kind", "node", F.lit(0.0).alias("distance")))
+    sent = durable(given.join(cells.hint("merge"), "node").select("cell", "kind", "node", F.lit(0.0).alias("distance")))
     states: list[DataFrame] = []
     count = len(kinds)
 
@@ -174,7 +178,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, categ
         active = sent.select("cell").distinct()
         left = blocks.join(active, "cell", "left_semi")
         if states:
-            left = left.join(newest([f.join(active, "cell", "left_semi") for f in states]), "cell", "left")
+            left = left.join(newest([f.join(active, "cell", "left_semi") for f in states]).hint("merge"), "cell", "left")
         else:
             left = left.withColumn("state", F.lit(None).cast("binary"))
         out = durable(left.groupBy("cell").cogroup(sent.groupBy("cell")).applyInPandas(step, "cell long, kind int, node long, distance double, state binary"))
@@ -199,7 +203,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, categ
     none = F.lit(0.0)
     found = given.select("kind", "node", none.alias("distance"))  # sources that no edge touches are their own
     if states:
-        found = found.union(blocks.join(newest(states), "cell").select("nodes", "state").mapInPandas(spread, "kind int, node long, distance double"))
+        found = found.union(blocks.join(newest(states).hint("merge"), "cell").select("nodes", "state").mapInPandas(spread, "kind int, node long, distance double"))
     found = found.groupBy("kind", "node").agg(F.min("distance").alias("distance"))
     name = F.element_at(F.array(*map(F.lit, kinds)), F.col("kind") + 1) if kinds else F.lit(None)
     out = durable(found.select(name.cast(sources.schema[category].dataType).alias(category), F.col("node").cast(sources.schema[node].dataType).alias(node), "distance"))
@@ -214,7 +218,7 @@ def around(points: DataFrame, nodes: DataFrame, edges: DataFrame, places: DataFr
     if inside.isEmpty():
         raise ValueError("the walking network has no node around the parcels")
     ends = inside.select("id").distinct()
-    kept = edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+    kept = edges.join(ends.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi").select(*edges.columns)
     return inside, kept, places.where(near_hull(hull, F.col("x"), F.col("y"), buffer))
 
 
@@ -229,9 +233,9 @@ def walk_scores(points: DataFrame, nodes: DataFrame, edges: DataFrame, places: D
         raise ValueError("exponent must be positive")
     names = categories or tuple(sorted(r[0] for r in places.select("category").distinct().collect()))
     numbered = durable(places.withColumn("_place", F.monotonically_increasing_id()).select("_place", "category", "x", "y"))
-    sources = numbered.join(nearest_node(numbered, nodes, "_place", cell), "_place").select("category", "node")
+    sources = numbered.join(nearest_node(numbered, nodes, "_place", cell).hint("merge"), "_place").select("category", "node")
     paths = shortest_paths(nodes, edges, sources, most=most)
     wide = paths.groupBy("node").pivot("category", list(names)).agg(F.min("distance"))
     at = nearest_node(points, nodes, id_column, cell)
-    scored = at.join(wide, "node", "left").select(id_column, *(s.decay_score(F.col(c), longest, exponent).alias(f"{c}_score") for c in names))
+    scored = at.join(wide.hint("merge"), "node", "left").select(id_column, *(s.decay_score(F.col(c), longest, exponent).alias(f"{c}_score") for c in names))
     return scored.withColumn("walkability", F.bround(s.mean_known([F.col(f"{c}_score") for c in names]), 2))

@@ -91,3 +91,27 @@ def test_walk_scores_by_category(spark):
     points = spark.createDataFrame([("a", 1.0, 1.0), ("b", 810.0, 0.0), ("c", 2400.0, 0.0), ("d", 2801.0, 0.0)], "geo_pid string, x double, y double")
     got = {r.geo_pid: (r.food_score, r.park_score, r.none_score, r.walkability) for r in graph.walk_scores(points, nodes, edges, places, most=3, categories=("food", "none", "park")).collect()}
     assert got == {"a": (100.0, 50.0, None, 75.0), "b": (50.0, 100.0, None, 75.0), "c": (0.0, 0.0, None, 0.0), "d": (None, None, None, None)}
+
+
+def test_nothing_of_the_graphs_size_is_broadcast(spark, monkeypatch):
+    from cadastra.operators import spatial
+
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    durable = graph.durable
+    monkeypatch.setattr(graph, "durable", kept)
+    monkeypatch.setattr(spatial, "durable", kept)
+    nodes = spark.range(20).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    edges = spark.range(19).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("length"))
+    places = nodes.where("id % 7 = 3").select(F.lit("food").alias("category"), "x", "y")
+    scored = graph.walk_scores(nodes, nodes, edges, places, "id", cell=2.0)
+    assert scored.count() == 20
+    # but for the few squares that are too crowded, the squares' names and the cells that a round sent to
+    small = ("square", "cell")
+    for plan in [*plans, scored._jdf.queryExecution().executedPlan().toString()]:
+        joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert all(any(f"[{k}#" in line for k in small) for line in joins), joins
