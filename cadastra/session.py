@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -32,3 +33,9 @@ def release(*frames: DataFrame) -> None:
             context = df.sparkSession.sparkContext
             path = context._jvm.org.apache.hadoop.fs.Path(kept.get())
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Lets the session of ``df`` delete the shuffle files that nothing refers to; Spark does so when the driver's garbage is collected."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
